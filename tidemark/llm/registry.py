@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "mixing", "url_filter")
+MODULES = ("exact_dedup", "toxicity", "bpe", "mixing", "quality", "url_filter", "ann")
 
 
 def queries() -> dict:
