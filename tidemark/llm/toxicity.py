@@ -37,7 +37,7 @@ from .shared import held_out, load, written
 
 ORDER, DECAY, WINDOW, LIKE = 3, 0.7, 24, 0.6
 FIT_DOCS, CANDIDATES, COVER_WORDS, LANDMARKS = 12_000, 400, 60, 64
-LEAST_GAIN, LEAST_PURITY, CUT, KEPT_WORDS = 0.004, 0.6, 0.7, 1_000_000
+LEAST_GAIN, LEAST_PURITY, CUT, KEPT_WORDS = 0.004, 0.9, 0.7, 1_000_000
 
 FILLER = re.compile(r"[\W_]+")
 LETTERS = re.compile(r"(?<!\S)(?:[^\W\d_][ .*_\-]){2,}[^\W\d_](?!\S)")
@@ -184,7 +184,7 @@ def greedy_cover(words: list[tuple[str, set, int]], toxic: int, clean: int) -> l
 
     def enough(d, c):
         """A widespread word needs to explain few documents that no other does."""
-        if len(d) >= 0.15 * toxic and rate(d, c) >= 0.9:
+        if len(d) >= 0.15 * toxic and rate(d, c) >= 0.95:
             return 1
         return 2 if len(d) >= 0.05 * toxic else max(2, LEAST_GAIN * toxic)
 
