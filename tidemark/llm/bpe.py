@@ -35,7 +35,7 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: White space as the pattern's \s has it.
 SPACE = "[" + "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]"
 #: Distinct pieces that a task keeps between batches, and ids or characters that it assembles at a time.
-KEPT_PIECES, STRETCH = 600_000, 3_000_000
+KEPT_PIECES, STRETCH = 400_000, 1_200_000
 NEVER = np.iinfo(np.int64).max
 
 
@@ -79,13 +79,13 @@ def merge(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), lengths
     ends = np.cumsum(lengths)
     wall, dead = v.size, -1
-    symbol = np.append(v.of_byte[np.frombuffer(b"".join(words), np.uint8)], wall)
-    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    symbol = np.append(v.of_byte[np.frombuffer(b"".join(words), np.uint8)], wall).astype(np.int32)
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
     after[ends[lengths > 0] - 1] = n
     before[(ends - lengths)[lengths > 0]] = n
 
     def rank(at):
-        key = symbol[at] * (v.size + 1) + symbol[after[at]]
+        key = symbol[at] * np.int64(v.size + 1) + symbol[after[at]]
         j = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
         return np.where(v.keys[j] == key, v.ranks[j], NEVER)
 
@@ -106,7 +106,8 @@ def merge(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
                     heapq.heappush(active, k)
                 index[k].append(at[lo:hi])
 
-    note(np.arange(n))
+    for lo in range(0, n, 500_000):
+        note(np.arange(lo, min(n, lo + 500_000), dtype=np.int32))
     while active:
         k = heapq.heappop(active)
         lists = index.pop(k)
@@ -119,7 +120,7 @@ def merge(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
                 if p != taken:
                     chosen.append(p)
                     taken = int(after[p])
-            at = np.array(chosen, np.int64)
+            at = np.array(chosen, np.int32)
         if not len(at):
             continue
         gone = after[at]
@@ -233,49 +234,60 @@ def _vocabulary(spark: SparkSession, path: str | None):
         return spark.sparkContext.broadcast(Vocabulary(f.read()))
 
 
-def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """docs with the text column replaced by its token ids (array<int>)."""
-    shared = _vocabulary(docs.sparkSession, path)
-    kept = [c for c in docs.columns if c != text_col]
+def encoded(v: Vocabulary, batches, kept: list[str], text_col: str, ids_col: str):
+    encoder = Encoder(v)
+    for batch in batches:
+        rest = [batch.column(c) for c in kept]
+        for first, ids in encoder.batch(batch.column(text_col)):
+            yield pa.RecordBatch.from_arrays([c.slice(first, len(ids)) for c in rest] + [ids], [*kept, ids_col])
 
-    def run(batches):
-        encoder = Encoder(shared.value)
-        for batch in batches:
-            rest = [batch.column(c) for c in kept]
-            for first, ids in encoder.batch(batch.column(text_col)):
-                yield pa.RecordBatch.from_arrays([c.slice(first, len(ids)) for c in rest] + [ids], [*kept, ids_col])
 
-    return docs.mapInArrow(run, T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+def decoded(v: Vocabulary, batches, ids_col: str, text_col: str):
+    for batch in batches:
+        lists = batch.column(ids_col)
+        bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        values = lists.flatten().to_numpy(zero_copy_only=False)
+        first = 0
+        while first < len(lists):
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + STRETCH, side="right")) - 1)
+            part = values[bounds[first] : bounds[last]]
+            part = np.where((part >= 0) & (part < v.size), part, v.size)
+            raw = v.bytes[gather(v.starts[part], v.lengths[part])].tobytes()
+            at = np.concatenate([[0], np.cumsum(v.lengths[part])])[bounds[first : last + 1] - bounds[first]]
+            texts = [raw[i:j].decode("utf-8", "replace") for i, j in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([c.slice(first, last - first) for c in batch.columns] + [pa.array(texts, pa.string())], [*batch.schema.names, text_col])
+            first = last
+
+
+def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None) -> DataFrame:
+    """docs with the text column replaced by its token ids (array<int>); a column of that name goes."""
+    shared = _vocabulary(docs.sparkSession, path)
+    kept = [c for c in docs.columns if c not in (text_col, ids_col)]
+    return docs.mapInArrow(lambda batches: encoded(shared.value, batches, kept, text_col, ids_col), T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """rows with the text of their token ids; bytes that are no UTF-8 become U+FFFD."""
+    """rows with the text of their token ids, in place of any column of that name; bytes that are no UTF-8 become U+FFFD."""
+    rows = rows.drop(text_col)
     shared = _vocabulary(rows.sparkSession, path)
-    names = [*rows.columns, text_col]
+    return rows.mapInArrow(lambda batches: decoded(shared.value, batches, ids_col, text_col), T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())]))
+
+
+def round_trip(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None) -> DataFrame:
+    """docs with token ids and, as the text, what they decode to; one Python worker does both."""
+    shared = _vocabulary(docs.sparkSession, path)
+    kept = [c for c in docs.columns if c not in (text_col, ids_col)]
 
     def run(batches):
         v = shared.value
-        for batch in batches:
-            lists = batch.column(ids_col)
-            bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-            values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            values = np.where((values >= 0) & (values < v.size), values, v.size)
-            first = 0
-            while first < len(lists):
-                last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + STRETCH, side="right")) - 1)
-                part = values[bounds[first] : bounds[last]]
-                raw = v.bytes[gather(v.starts[part], v.lengths[part])].tobytes()
-                at = np.concatenate([[0], np.cumsum(v.lengths[part])])[bounds[first : last + 1] - bounds[first]]
-                texts = [raw[i:j].decode("utf-8", "replace") for i, j in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([c.slice(first, last - first) for c in batch.columns] + [pa.array(texts, pa.string())], names)
-                first = last
-
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())]))
+        return decoded(v, encoded(v, batches, kept, text_col, ids_col), ids_col, text_col)
+
+    return docs.mapInArrow(run, T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(text_col, T.StringType())]))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode, and describe both by digests."""
-    both = decode(encode(docs.select(id_col, text_col), text_col), "ids", text_col)
+    both = round_trip(docs.select(id_col, text_col), text_col)
     ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
     return both.select(id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(text_col, 256).alias("decoded_sha256"))
 
