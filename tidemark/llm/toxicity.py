@@ -12,7 +12,8 @@ Labels are given for documents.  Which words make a document toxic is found by a
 cover: of all words, take the one that best separates the toxic documents not yet
 covered from clean ones, until none explains enough of the rest.  Sentences with such a
 word are the positive examples; the words of clean sentences are the negative ones,
-first of all those that look most like the positive ones.
+first of all those that look most like the positive ones.  A string that shares too few
+ordered pairs of characters with a landmark has the value 0 there.
 
 The fit reads at most ``FIT_DOCS`` labelled documents outside the held-out fold, chosen
 by a hash of their ids, and ``CANDIDATES`` words each from the tables it makes of them.
@@ -35,7 +36,9 @@ from pyspark.sql import types as T
 
 from .shared import held_out, load, written
 
-ORDER, DECAY, WINDOW, LIKE = 3, 0.7, 24, 0.6
+ORDER, DECAY, WINDOW = 3, 0.7, 24
+#: Two strings are compared if so many of the landmark's neighbouring characters stand, in order, within REACH.
+LIKE, REACH = 0.6, 3
 FIT_DOCS, CANDIDATES, COVER_WORDS, LANDMARKS = 12_000, 400, 60, 64
 LEAST_GAIN, LEAST_PURITY, CUT, KEPT_WORDS = 0.004, 0.9, 0.7, 1_000_000
 
@@ -61,24 +64,32 @@ def padded(strings: list[str]) -> np.ndarray:
     return np.array(strings, f"U{WINDOW}").view(np.uint32).reshape(len(strings), WINDOW) if strings else np.zeros((0, WINDOW), np.uint32)
 
 
-def letter_counts(chars: np.ndarray) -> np.ndarray:
-    """How often each of 64 classes of characters stands in each string."""
-    out = np.zeros((len(chars), 64), np.uint8)
+def pair_map(chars: np.ndarray) -> np.ndarray:
+    """For each string, which of 1024 classes of ordered pairs of characters it has at most REACH apart."""
+    out = np.zeros((len(chars), 1024), bool)
     rows = np.arange(len(chars))
-    for j in range(chars.shape[1]):
-        out[rows, chars[:, j] % 64] += (chars[:, j] > 0).astype(np.uint8)
+    for gap in range(1, REACH + 1):
+        for j in range(chars.shape[1] - gap):
+            both = chars[:, j + gap] > 0
+            if not both.any():
+                break
+            out[rows[both], pair_class(chars[both, j], chars[both, j + gap])] = True
     return out
 
 
+def pair_class(a, b):
+    return (a.astype(np.int64) * 53 + b) & 1023
+
+
 def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The subsequence kernel of each row of a with the same row of b."""
     out = np.zeros(len(a))
-    fade = DECAY ** np.abs(np.subtract.outer(np.arange(WINDOW), np.arange(WINDOW))).astype(float)
-    fade = np.triu(fade)  # from an earlier character of b to a later one
+    wide = b.shape[1]
+    fade = np.triu(DECAY ** np.abs(np.subtract.outer(np.arange(wide), np.arange(wide))).astype(float))  # to later characters of b
     for lo in range(0, len(a), 4096):
         x, y = a[lo : lo + 4096], b[lo : lo + 4096]
         # before[i][j]: weight of common subsequences of i characters in the part of x so far and y[:j]
-        before = [np.ones((len(x), WINDOW + 1))] + [np.zeros((len(x), WINDOW + 1)) for _ in range(ORDER - 1)]
+        before = [np.ones((len(x), wide + 1))] + [np.zeros((len(x), wide + 1)) for _ in range(ORDER - 1)]
         total = np.zeros(len(x))
         for k in range(int((x > 0).sum(1).max(initial=0))):
             same = (x[:, k : k + 1] == y) & (y > 0)
@@ -97,29 +108,30 @@ class Landmarks:
     def __init__(self, strings: list[str], sure: int):
         self.strings, self.sure = strings, sure
         self.chars = padded(strings)
-        self.counts = letter_counts(self.chars)
+        self.pairs = [pair_class(c[: n - 1], c[1:n]) for c, n in zip(self.chars, (self.chars > 0).sum(1), strict=True)]
+        self.width = max(map(len, strings))
         self.own = np.sqrt(np.maximum(kernel(self.chars, self.chars), 1e-12))
         values, vectors = np.linalg.eigh(self.against(self.chars, range(len(strings))) + 1e-3 * np.eye(len(strings)))
         self.whiten = vectors / np.sqrt(np.maximum(values, 1e-6))
 
-    def like(self, counts: np.ndarray, which) -> np.ndarray:
-        """For each string and landmark, whether they share enough characters to be compared."""
-        return np.stack([np.minimum(counts, self.counts[m]).sum(1) >= LIKE * self.counts[m].sum() for m in which], 1) if len(which) else np.zeros((len(counts), 0), bool)
+    def like(self, pairs: np.ndarray, which) -> np.ndarray:
+        """For each string and landmark, whether they have enough in common to be compared."""
+        return np.stack([pairs[:, self.pairs[m]].sum(1) >= LIKE * len(self.pairs[m]) for m in which], 1) if len(which) else np.zeros((len(pairs), 0), bool)
 
     def against(self, chars: np.ndarray, which) -> np.ndarray:
         """Normalised kernel values at the landmarks; 0 where too few characters are shared."""
-        near = self.like(letter_counts(chars), which)
+        near = self.like(pair_map(chars), which)
         own = np.sqrt(np.maximum(kernel(chars, chars), 1e-12))
         row, col = np.nonzero(near)
         out = np.zeros(near.shape)
         at = np.asarray(which)[col] if len(col) else np.zeros(0, int)
-        out[row, col] = kernel(chars[row], self.chars[at]) / (own[row] * self.own[at])
+        out[row, col] = kernel(chars[row], self.chars[at, : self.width]) / (own[row] * self.own[at])
         return out
 
     def features(self, strings: list[str]) -> np.ndarray:
         chars = padded(strings)
         out = np.zeros((len(strings), len(self.strings)))
-        hit = np.flatnonzero(self.like(letter_counts(chars), range(self.sure)).any(1)) if len(strings) else np.zeros(0, int)
+        hit = np.flatnonzero(self.like(pair_map(chars), range(self.sure)).any(1)) if len(strings) else np.zeros(0, int)
         out[hit] = self.against(chars[hit], range(len(self.strings))) @ self.whiten
         return out
 
@@ -243,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, label_
             for lo in range(0, len(names), 50_000):
                 part = names[lo : lo + 50_000]
                 chars = padded(part)
-                hit = np.flatnonzero(first.like(letter_counts(chars), range(first.sure)).any(1))
+                hit = np.flatnonzero(first.like(pair_map(chars), range(first.sure)).any(1))
                 near = first.against(chars[hit], range(first.sure)).max(1) if len(hit) else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([pa.array([part[i] for i in hit], pa.string()), pa.array(near, pa.float64())], ["w", "near"])
 
