@@ -47,7 +47,7 @@ def oracle_sql() -> dict[str, str]:
         "value_percentile": "SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY event_type",
         "hourly_profile": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS n_events, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1",
         "user_sessions": """
-            WITH g AS (SELECT *, coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE, true) AS fresh FROM events),
+            WITH g AS (SELECT *, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE, true) AS fresh FROM events),
             n AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
             SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_events FROM n GROUP BY user_id, k""",
         "signup_then_purchase": """
