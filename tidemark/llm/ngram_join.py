@@ -220,7 +220,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows that share an id are one document, of which one row stays; a row without id is
     known by a hash of its text.
     """
-    keyed = docs.withColumn("__tm_id", F.coalesce(F.col(id_col), F.xxhash64(text_col)))
+    unnamed = F.shiftrightunsigned(F.xxhash64(F.lit("no id"), F.col(text_col)), 2).bitwiseOR(F.lit(1 << 62))  # above any usual id
+    keyed = docs.withColumn("__tm_id", F.coalesce(F.col(id_col), unnamed))
     stays = components(keyed.select("__tm_id", text_col), "__tm_id", text_col).where(F.col("__tm_id") == F.col("component_id"))
     stays = written(stays.groupBy("__tm_id").agg(F.count("*").alias("__tm_rows")), "stays")
     kept = keyed.join(stays, "__tm_id")
