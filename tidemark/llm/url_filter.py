@@ -78,7 +78,8 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, rounds: i
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
     ruled = parsed.select("page_id", "host", "path", matched(F.col("host"), F.col("path"), rules, 0).alias("rule"), matched(F.col("host"), F.col("path"), rules, 1).alias("ruled"))
     seeds = ruled.groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked"))
-    scores = propagate(written(seeds, "host-seeds"), host_links(parsed.select("host", "html")), rounds, damping)
+    links = written(host_links(parsed.select("host", "html")), "host-links")
+    scores = propagate(written(seeds, "host-seeds"), links, rounds, damping)
     bad = scores.where(F.col("distrust") > threshold * F.col("trust")).select(F.col("host").alias("bad_host"))
     judged = ruled.join(bad, (ruled["host"] == bad["bad_host"]) & ruled["ruled"].isNull(), "left")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("bad_host").isNotNull(), "block").otherwise("allow")).alias("verdict"))
