@@ -24,19 +24,32 @@ from pyspark.sql import functions as F
 from .shared import written
 
 #: Words of a block, and keys of a shard.  A longer document is a block of its own.
-BLOCK_WORDS, SHARD_KEYS = 1_000_000, 1_500_000
+BLOCK_WORDS, SHARD_KEYS = 300_000, 1_000_000
 #: "Blocks" under which a shard tells how many keys it counted at least once, and their total.
 KEYS, TOTAL = -1, -2
 SCHEMA = "block long, ids array<long>, lengths binary, words binary, vocabulary binary, n_words long"
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, the high ones left out while they are zero."""
+    raw = np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
+    used = max([k + 1 for k in range(8) if raw[k].any()], default=0)
+    return bytes([used]) + raw[:used].tobytes()
+
+
+def unplanes(data: bytes, n: int) -> np.ndarray:
+    raw = np.zeros((8, n), np.uint8)
+    raw[: data[0]] = np.frombuffer(data, np.uint8, data[0] * n, 1).reshape(data[0], n)
+    return np.ascontiguousarray(raw.T).reshape(-1).view(np.uint64)
+
+
 class Block:
     """ids: of the documents; lengths: words in each; words: numbers into vocabulary, a list of bytes."""
 
     def __init__(self, row: dict):
         self.ids, self.number = row["ids"], row["block"]
         self.lengths = np.frombuffer(row["lengths"], np.uint32).astype(np.int64)
-        self.words = np.frombuffer(row["words"], np.uint32)
+        self.words = unplanes(row["words"], int(self.lengths.sum())).astype(np.uint32)
         self.vocabulary = row["vocabulary"].split(b"\n") if row["vocabulary"] else []
         self.ends = np.cumsum(self.lengths)
         self.starts = self.ends - self.lengths
@@ -95,7 +108,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, lower: bool = False) ->
                 "block": (task << 32) + made,
                 "ids": ids,
                 "lengths": np.array([len(p) for p in parts], np.uint32).tobytes(),
-                "words": np.concatenate(parts).astype(np.uint32).tobytes(),
+                "words": planes(np.concatenate(parts)),
                 "vocabulary": b"\n".join(known),
                 "n_words": held,
             }
@@ -125,19 +138,6 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, lower: bool = False) ->
     return written(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(run, SCHEMA), "blocks")
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Numbers as planes of bytes, the high ones left out while they are zero."""
-    raw = np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
-    used = max([k + 1 for k in range(8) if raw[k].any()], default=0)
-    return bytes([used]) + raw[:used].tobytes()
-
-
-def unplanes(data: bytes, n: int) -> np.ndarray:
-    raw = np.zeros((8, n), np.uint8)
-    raw[: data[0]] = np.frombuffer(data, np.uint8, data[0] * n, 1).reshape(data[0], n)
-    return np.ascontiguousarray(raw.T).reshape(-1).view(np.uint64)
-
-
 def rows_of(batches):
     for batch in batches:
         for k in range(batch.num_rows):

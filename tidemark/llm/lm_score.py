@@ -31,8 +31,11 @@ from pyspark.sql import functions as F
 from .blocks import KEYS, TOTAL, Block, blocks, collected, counted, mixed, planes, rows_of, unplanes, with_replies
 from .shared import load
 
-PAIR_MASS, TRIPLE_MASS = 200.0, 6.0
+#: Chosen on a fold of training rows of the small check table, with that fold left out of the counts.
+PAIR_MASS, TRIPLE_MASS = 2000.0, 10.0
 STEP = 1 / 4096  # of quantised log10 values
+STRETCH = 1 << 17  # n-grams that are looked up at a time
+SPARE_BITS = 20  # of a key beyond those that tell as many keys as the corpus has words apart
 
 
 def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
@@ -57,8 +60,12 @@ def read_bits(words: np.ndarray, width: int, index: np.ndarray) -> np.ndarray:
     return (low | high) & np.uint64((1 << width) - 1)
 
 
+#: Place of the k-th one in each byte.
+SELECT = np.argsort(~np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(bool), axis=1, kind="stable").astype(np.uint8)
+
+
 class EliasFano:
-    """An increasing sequence: low bits at fixed width, high bits in unary with counts for each 64."""
+    """An increasing sequence: low bits at fixed width, high bits in unary with a count for each byte."""
 
     def __init__(self, values: np.ndarray, store):
         values = values.astype(np.uint64)
@@ -67,55 +74,49 @@ class EliasFano:
         self.width = max(0, ((top + 1) // max(self.n, 1)).bit_length() - 1)
         high = (values >> np.uint64(self.width)).astype(np.int64)
         self.buckets = (top >> self.width) + 1
-        ones = high + np.arange(self.n)
-        bits = np.zeros((self.n + self.buckets) // 64 * 64 + 128, np.uint8)
-        bits[ones] = 1
-        packed = np.packbits(bits, bitorder="little").view(np.uint64)
-        count = bits.reshape(-1, 64).sum(1, dtype=np.int64)
+        bits = np.zeros((self.n + self.buckets) // 8 * 8 + 16, np.uint8)
+        bits[high + np.arange(self.n)] = 1
+        packed = np.packbits(bits, bitorder="little")
+        count = np.bitwise_count(packed).astype(np.int64)
         self.low = store(pack_bits(values & np.uint64((1 << self.width) - 1), self.width))
         self.high = store(packed)
         self.before = store((np.cumsum(count) - count).astype(np.uint32))
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
         """Place of the k-th (from 0) one or zero among the high bits."""
-        before = self.before.astype(np.int64)
-        if not ones:
-            before = np.arange(len(before)) * 64 - before
-        word = np.searchsorted(before, k, side="right") - 1
-        left = k - before[word]
-        raw = self.high[word]
-        raw = (raw if ones else ~raw).view(np.uint8).reshape(-1, 8)
-        per_byte = np.cumsum(np.bitwise_count(raw), 1, dtype=np.int64)
-        byte = (per_byte <= left[:, None]).sum(1)
-        rows = np.arange(len(k))
-        left = left - np.where(byte > 0, per_byte[rows, byte - 1], 0)
-        set_bits = np.cumsum(np.unpackbits(raw[rows, byte][:, None], axis=1, bitorder="little"), 1)
-        return word * 64 + byte * 8 + (set_bits <= left[:, None]).sum(1)
+        before = self.before if ones else np.arange(len(self.before), dtype=np.uint32) * np.uint32(8) - self.before
+        byte = np.searchsorted(before, k.astype(np.uint32), side="right") - 1
+        raw = self.high[byte] if ones else ~self.high[byte]
+        return byte * 8 + SELECT[raw, k - before[byte]]
 
     def get(self, index: np.ndarray) -> np.ndarray:
         high = (self._select(index, True) - index).astype(np.uint64)
         return (high << np.uint64(self.width)) | read_bits(self.low, self.width, index)
 
     def find(self, value: np.ndarray) -> np.ndarray:
-        """Index of each value, or -1; the values of one high part are looked through in order."""
+        """Index of each value, or -1: the values of one high part are searched by their low bits."""
         bucket = (value >> np.uint64(self.width)).astype(np.int64)
         inside = np.flatnonzero(bucket < self.buckets)
         out = np.full(len(value), -1)
         if not self.n or not len(inside):
             return out
-        at = np.zeros(len(inside), np.int64)
         b = bucket[inside]
+        lo = np.zeros(len(inside), np.int64)
         some = b > 0
-        at[some] = self._select(b[some] - 1, False) - (b[some] - 1)
+        lo[some] = self._select(b[some] - 1, False) - (b[some] - 1)
         end = self._select(b, False) - b
         low = value[inside] & np.uint64((1 << self.width) - 1)
-        while len(inside):
-            live = at < end
-            inside, at, end, low = inside[live], at[live], end[live], low[live]
-            here = read_bits(self.low, self.width, at)
-            out[inside[here == low]] = at[here == low]
-            on = here < low
-            inside, at, end, low = inside[on], at[on] + 1, end[on], low[on]
+        hi = end.copy()
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = read_bits(self.low, self.width, mid) < low[open_]
+            lo[open_[less]] = mid[less] + 1
+            hi[open_[~less]] = mid[~less]
+            open_ = open_[lo[open_] < hi[open_]]
+        there = np.flatnonzero(lo < end)
+        there = there[read_bits(self.low, self.width, lo[there]) == low[there]]
+        out[inside[there]] = lo[there]
         return out
 
 
@@ -136,18 +137,22 @@ class Level:
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Index of the word among the successors of the context, or -1 (also for context -1)."""
         out = np.full(len(context), -1)
-        known = np.flatnonzero(context >= 0)
-        if not self.words.n or not len(known):
-            return out
-        c = context[known].astype(np.int64)
-        start = self.pointer.get(c).astype(np.int64)
-        end = self.pointer.get(c + 1).astype(np.int64)
-        shift = np.zeros(len(c), np.uint64)
+        for at in range(0, len(context) if self.words.n else 0, STRETCH):
+            known = at + np.flatnonzero(context[at : at + STRETCH] >= 0)
+            if len(known):
+                out[known] = self._find(context[known].astype(np.int64), word[known].astype(np.uint64))
+        return out
+
+    def _find(self, context, word):
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))  # a context's words are asked for together
+        times = np.diff(np.append(first, len(context)))
+        start = self.pointer.get(context[first]).astype(np.int64)
+        end = self.pointer.get(context[first] + 1).astype(np.int64)
+        shift = np.zeros(len(first), np.uint64)
         inner = start > 0  # the context's words begin after the last value before them
         shift[inner] = self.words.get(start[inner] - 1) + np.uint64(1)
-        at = self.words.find(word[known].astype(np.uint64) + shift)
-        out[known] = np.where((at >= start) & (at < end), at, -1)
-        return out
+        at = self.words.find(word + np.repeat(shift, times))
+        return np.where((at >= np.repeat(start, times)) & (at < np.repeat(end, times)), at, -1)
 
 
 def quantised(x: np.ndarray) -> np.ndarray:
@@ -171,13 +176,28 @@ class Store:
         return np.asarray(np.memmap(self.file, array.dtype, "r", at, array.shape))
 
 
+def own_hashes(block: Block) -> np.ndarray:
+    """A hash for each word of the vocabulary, and for the end token."""
+    return mixed(np.fromiter(map(xxhash.xxh3_64_intdigest, [*block.vocabulary, b"\n"]), np.uint64, len(block.vocabulary) + 1))
+
+
+def word_keys(block: Block, is_held_out) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the block's words, and how often each stands in training documents."""
+    train = np.array([not is_held_out(i) for i in block.ids], bool)
+    own = own_hashes(block)
+    count = np.bincount(block.words[np.repeat(train, block.lengths)], minlength=len(own))
+    count[-1] = train.sum()
+    order = np.argsort(own)
+    return own[order], count[order]
+
+
 class Grams:
     """The distinct n-grams of a block, and where they stand."""
 
-    def __init__(self, block: Block, is_held_out):
+    def __init__(self, block: Block, is_held_out, bits: int = 64):
         n_docs = len(block.lengths)
         self.size = len(block.vocabulary) + 1
-        self.own = mixed(np.fromiter(map(xxhash.xxh3_64_intdigest, [*block.vocabulary, b"\n"]), np.uint64, self.size))
+        self.own = own_hashes(block)
         self.lengths = block.lengths + 1
         ends = np.cumsum(self.lengths)
         self.starts = ends - self.lengths
@@ -190,7 +210,6 @@ class Grams:
         train = np.repeat(~self.held_out, self.lengths)
         place = np.arange(len(seq)) - np.repeat(self.starts, self.lengths)
         self.second, self.third = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
-        self.c1 = np.bincount(seq[train], minlength=self.size)
         pairs, self.pair_of = np.unique(seq[self.second - 1] * self.size + seq[self.second], return_inverse=True)
         self.pair = pairs // self.size, pairs % self.size
         self.c2 = np.bincount(self.pair_of, train[self.second], len(pairs)).astype(np.int64)
@@ -203,15 +222,15 @@ class Grams:
             many = np.uint64(0x9E3779B97F4A7C15)
             two = mixed(self.own[self.pair[0]] * many + self.own[self.pair[1]])
             three = mixed((two[self.triple[0]] ^ np.uint64(3)) * many + self.own[self.triple[1]])
-        self.keys = np.concatenate([two, three])
-        self.order = np.argsort(self.keys)
-
-    def word_keys(self):
-        order = np.argsort(self.own)
-        return self.own[order], self.c1[order]
+        self.keys = np.concatenate([two, three]) & np.uint64(2**64 - 2 ** (64 - bits))
+        self.order = np.argsort(self.keys, kind="stable")
 
     def gram_keys(self):
-        return self.keys[self.order], np.concatenate([self.c2, self.c3])[self.order]
+        """Sorted distinct keys of pairs and triples, and how often they stand in training documents."""
+        keys = self.keys[self.order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        count = np.concatenate([self.c2, self.c3])[self.order]
+        return keys[first], np.add.reduceat(count, first) if len(first) else count
 
     def from_words(self, counts: np.ndarray) -> np.ndarray:
         out = np.zeros(self.size, np.int64)
@@ -220,7 +239,8 @@ class Grams:
 
     def from_grams(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out = np.zeros(len(self.keys), np.int64)
-        out[self.order] = counts
+        keys = self.keys[self.order]
+        out[self.order] = counts[np.cumsum(np.concatenate([[False], keys[1:] != keys[:-1]]))] if len(keys) else counts
         return out[: len(self.c2)], out[len(self.c2) :]
 
 
@@ -283,15 +303,16 @@ def score(docs: DataFrame, modulus: int = 5, remainder: int = 1, id_col: str = "
     def reply(every, mine):
         return planes(every)
 
-    words = counted(table, lambda b: Grams(b, is_held_out).word_keys(), reply, "lm-words", total // 4 + 1)
-    grams = counted(table, lambda b: Grams(b, is_held_out).gram_keys(), reply, "lm-grams", 3 * total // 2)
+    bits = min(64, (2 * total).bit_length() + SPARE_BITS)
+    words = counted(table, lambda b: word_keys(b, is_held_out), reply, "lm-words", total // 4 + 1)
+    grams = counted(table, lambda b: Grams(b, is_held_out, bits).gram_keys(), reply, "lm-grams", 3 * total // 2)
     sums = {r["block"]: r["n"] for r in words.where(F.col("block") < 0).groupBy("block").agg(F.sum("n").alias("n")).collect()}
     kinds, tokens = sums.get(KEYS, 0), sums.get(TOTAL, 0)
 
     def run(batches):
         for row in rows_of(batches):
             block = Block(row)
-            g = Grams(block, is_held_out)
+            g = Grams(block, is_held_out, bits)
             c1 = g.from_words(collected(row["words_back"], unplanes))
             c2, c3 = g.from_grams(collected(row["grams_back"], unplanes))
             base = np.log10((c1 + 0.5) / (tokens + 0.5 * (kinds + 1)))[g.seq]

@@ -28,11 +28,23 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Makes Spark delete a query's shuffle files as soon as the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back, which cuts its lineage."""
+    """Write df as a table in the shared folder and read it back, which cuts its lineage.
+
+    What comes after reads the table, so the shuffle files behind it are not kept.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._tidemark_path = path
     return back
