@@ -49,9 +49,11 @@ def test_join_equals_brute_force(spark, odd_docs):
     assert got == brute.components(odd_docs)
 
 
-@pytest.mark.parametrize("rounds", [5, 0])
-def test_join_random_near_copies(spark, monkeypatch, rounds):
+@pytest.mark.parametrize(("rounds", "chunk"), [(2, 512), (0, 3)])
+def test_join_random_near_copies(spark, monkeypatch, rounds, chunk):
     monkeypatch.setattr(ngram_join, "PIVOT_ROUNDS", rounds)
+    monkeypatch.setattr(ngram_join, "CHUNK_DOCS", chunk)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 50)
     rng = random.Random(9)
     docs = []
     for k in range(160):

@@ -9,17 +9,15 @@ in the other.  So in any order of the shingles that all documents agree on, both
 have a common shingle among their first size // 4 + 1.  Candidates must have one in each
 of several orders:
 
-* rarest first, on a fixed three eighths of all shingles (chosen by hash), with
-  frequencies counted over the whole corpus.  It alone proposes pairs: shingles that no
-  other document has come first, so most documents have nothing to propose.  A document
-  that has too few shingles of that part for the argument proposes all of them, and all
-  others too, which meet only those of other such documents;
-* by hash ascending, and by hash descending, on all shingles.
+* rarest first, by frequencies that are counted over the whole corpus.  It proposes the
+  pairs: shingles that no other document has come first, so only documents that share
+  three quarters of their shingles with others propose anything;
+* by hash ascending, and by hash descending.
 
 Pairs that pass are verified on the whole sets.  Only components are wanted, so a
-proposing shingle first pairs its documents with one pivot each; documents that turn out
-to be in one component need no further pairs.  What is then left between different
-components is paired with further pivots, and in the end completely.
+proposing shingle first pairs its documents with a pivot, in two rounds; documents that
+turn out to be in one component need no further pairs.  What then still lies in different
+components but shares a proposing shingle is compared in chunks, without making pairs.
 
 Defined cases: null or empty text has no shingles, is linked with nothing and is its own
 component; a null id never is a component's name unless all its documents have none;
@@ -36,9 +34,11 @@ from pyspark.sql import functions as F
 from .blocks import Block, blocks, collected, counted, mixed, ngrams, planes, rows_of, unplanes, with_replies, within
 from .shared import discard, load, written
 
-WORDS, PIVOT_ROUNDS = 5, 5
-#: The part of all hashes on which frequencies are counted, and the bits that this needs.
-PART, PARTS, TOKEN_BITS = 3, 8, 44
+WORDS, PIVOT_ROUNDS = 5, 2
+#: Documents and shingles of a chunk in the last comparison, and shingles that it looks at together.
+CHUNK_DOCS, CHUNK_SHINGLES, COLUMNS = 512, 500_000, 4096
+#: Bits of a shingle's hash that propose a pair; a false meeting costs a comparison.
+TOKEN_BITS = 44
 CUT = np.uint64(2**64 - 2 ** (64 - TOKEN_BITS))
 
 
@@ -67,34 +67,31 @@ class Sets:
             cum = np.concatenate([[np.uint64(0)], np.cumsum(mixed(self.key), dtype=np.uint64)])
             total = cum[self.ends] - cum[self.ends - self.size]
             self.node = mixed(total ^ mixed(self.size.astype(np.uint64))).view(np.int64)
-        counted_part = (self.key >> np.uint64(61)) < PART
         self.slack = self.size // 4
-        self.in_part = np.bincount(self.doc[counted_part], minlength=n_docs)
-        self.few = self.in_part <= self.slack
         lead = np.zeros(n_docs, bool)  # of equal sets the first stands for all
         lead[np.unique(self.node, return_index=True)[1]] = True
-        self.lead = lead & (self.size > 0)
-        self.rows = np.flatnonzero(self.lead[self.doc] & (counted_part | self.few[self.doc]))
-        self.part_row = counted_part[self.rows]
+        self.rows = np.flatnonzero((lead & (self.size > 0))[self.doc])
         self.tokens = self.key[self.rows] & CUT
 
     def keys(self):
         return np.unique(self.tokens, return_counts=True)
 
     def prefixes(self, frequency: np.ndarray):
-        """(documents, tokens) that propose pairs; frequency: of the sorted distinct tokens."""
-        _, inverse = np.unique(self.tokens, return_inverse=True)
-        seen = frequency[inverse] if len(inverse) else frequency
+        """(documents, tokens) that propose pairs, and how many tokens of each document recur.
+
+        frequency: of the sorted distinct tokens.
+        """
+        recurs = frequency[np.searchsorted(np.unique(self.tokens), self.tokens)] if len(self.tokens) else frequency
         doc = self.doc[self.rows]
-        alone = np.bincount(doc[(seen < 2) & self.part_row], minlength=len(self.size))
-        left = np.where(self.few, self.size, self.slack + 1 - alone)
-        some = (seen > 1) & (left[doc] > 0)
-        doc, token, seen = doc[some], self.tokens[some], seen[some]
-        order = np.lexsort((token, seen, doc))
+        common = np.bincount(doc[recurs > 1], minlength=len(self.size))
+        left = self.slack + 1 - (self.size - common)
+        some = (recurs > 1) & (left[doc] > 0)
+        doc, token, recurs = doc[some], self.tokens[some], recurs[some]
+        order = np.lexsort((token, recurs, doc))
         doc, token = doc[order], token[order]
         place = np.arange(len(doc)) - np.searchsorted(doc, doc)
         keep = place < left[doc]
-        return doc[keep], token[keep]
+        return doc[keep], token[keep], common
 
 
 def lists(doc: np.ndarray, values: np.ndarray, present: np.ndarray) -> pa.Array:
@@ -106,24 +103,24 @@ def lists(doc: np.ndarray, values: np.ndarray, present: np.ndarray) -> pa.Array:
 
 
 def proposals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, block, node, size for every document; for the nodes that may have links also prefix and set."""
+    """id, block, node, size and common for every document; for nodes that may have links also prefix and set."""
     table = blocks(docs, id_col, text_col, lower=True)
-    total = (table.agg(F.sum("n_words")).first()[0] or 0) * PART // PARTS + 1
+    total = (table.agg(F.sum("n_words")).first()[0] or 0) + 1
     seen = counted(table, lambda b: Sets(b).keys(), lambda every, mine: planes(np.minimum(every, 255)), "shingles", total)
 
     def run(batches):
         for row in rows_of(batches):
             block = Block(row)
             s = Sets(block)
-            doc, token = s.prefixes(collected(row["seen"], unplanes).astype(np.int64))
+            doc, token, common = s.prefixes(collected(row["seen"], unplanes).astype(np.int64))
             present = np.bincount(doc, minlength=len(s.size)) > 0
             mine = present[s.doc]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block.ids, pa.int64()), pa.array(np.full(len(s.size), block.number)), pa.array(s.node), pa.array(s.size), lists(doc, token, present), lists(s.doc[mine], s.key[mine], present)],
-                ["id", "block", "node", "size", "prefix", "set"],
+                [pa.array(block.ids, pa.int64()), pa.array(np.full(len(s.size), block.number)), pa.array(s.node), pa.array(s.size), pa.array(common), lists(doc, token, present), lists(s.doc[mine], s.key[mine], present)],
+                ["id", "block", "node", "size", "common", "prefix", "set"],
             )
 
-    out = written(with_replies(table, {"seen": seen.where("block >= 0")}).mapInArrow(run, "id long, block long, node long, size long, prefix array<long>, set array<long>"), "proposals")
+    out = written(with_replies(table, {"seen": seen.where("block >= 0")}).mapInArrow(run, "id long, block long, node long, size long, common long, prefix array<long>, set array<long>"), "proposals")
     discard(table)
     discard(seen)
     return out
@@ -156,13 +153,77 @@ def merged(component: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def fits():
-    return 4 * F.least("a_size", "b_size") >= 3 * F.greatest("a_size", "b_size")
+    """Whether two sizes, and how much of each recurs at all, allow the threshold: shared >= 3/7 (m + n)."""
+    return (4 * F.least("a_size", "b_size") >= 3 * F.greatest("a_size", "b_size")) & (7 * F.least("a_common", "b_common") >= 3 * (F.col("a_size") + F.col("b_size")))
+
+
+def compared(group: pa.Table) -> pa.Table:
+    """Links between two chunks of documents (left and right; one chunk is both), one for each two components."""
+    left, right = (group.filter(group.column(side)) for side in ("is_left", "is_right"))
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    if not left.num_rows or not right.num_rows:
+        return none
+
+    def entries(part):
+        sets = part.column("set").combine_chunks()
+        sizes = sets.value_lengths().to_numpy()
+        return np.repeat(np.arange(len(sizes)), sizes), sets.flatten().to_numpy(), sizes.astype(np.int64)
+
+    (row_a, key_a, size_a), (row_b, key_b, size_b) = entries(left), entries(right)
+    both = np.intersect1d(key_a, key_b)
+    shared = np.zeros((len(size_a), len(size_b)), np.float32)
+    at_a, at_b = np.searchsorted(both, key_a), np.searchsorted(both, key_b)
+    in_a, in_b = (np.isin(k, both) for k in (key_a, key_b))
+    for lo in range(0, len(both), COLUMNS):
+        part = []
+        for row, at, inside, n in ((row_a, at_a, in_a, len(size_a)), (row_b, at_b, in_b, len(size_b))):
+            use = inside & (at >= lo) & (at < lo + COLUMNS)
+            part.append(np.zeros((n, min(COLUMNS, len(both) - lo)), np.float32))
+            part[-1][row[use], at[use] - lo] = 1
+        shared += part[0] @ part[1].T
+    shared = np.rint(shared).astype(np.int64)
+    (node_a, comp_a), (node_b, comp_b) = ((p.column("node").to_numpy(), p.column("comp").to_numpy()) for p in (left, right))
+    i, j = np.nonzero((100 * shared >= 75 * (size_a[:, None] + size_b[None, :] - shared)) & (comp_a[:, None] != comp_b[None, :]))
+    if not len(i):
+        return none
+    first = np.unique(np.stack([comp_a[i], comp_b[j]], 1), axis=0, return_index=True)[1]
+    return pa.table({"a": node_a[i[first]], "b": node_b[j[first]]})
+
+
+def compared_in_chunks(at: DataFrame, open_tokens: DataFrame, component: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among what shares an open token but is in different components.
+
+    Documents that open tokens connect are a family.  Those outside its largest component
+    are compared with each other and with that component, chunk by chunk; a task emits at
+    most one link for two components.  Only families with several components come here.
+    """
+    star = at.join(open_tokens.select("token", F.col("pivot.node").alias("a")), "token").select("a", F.col("node").alias("b")).distinct()
+    star = written(star, "family-links")
+    members = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()
+    known = component.join(members, "node")
+    family = merged(known, star.where("a != b")).withColumnRenamed("comp", "family")
+    rows = known.join(family, "node").join(sets, "node")
+    rows = rows.withColumn("size", F.size("set").cast("long"))
+    per_component = rows.groupBy("family", "comp").agg(F.count("*").alias("docs"), F.sum("size").alias("shingles"))
+    largest = per_component.groupBy("family").agg(F.max_by("comp", F.struct("docs", "comp")).alias("main"))
+    side = F.col("comp") == F.col("main")
+    sides = per_component.join(largest, "family").groupBy("family", "main").agg(*[F.sum(F.when(c, F.col(v)).otherwise(0)).alias(f"{k}_{v}") for k, c in (("main", side), ("rest", ~side)) for v in ("docs", "shingles")])
+    chunks = lambda k: F.greatest(F.lit(1), F.ceil(F.col(f"{k}_docs") / CHUNK_DOCS), F.ceil(F.col(f"{k}_shingles") / CHUNK_SHINGLES)).cast("int")
+    sides = sides.select("family", "main", chunks("main").alias("main_n"), chunks("rest").alias("rest_n"))
+    rows = rows.join(sides, "family").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), F.when(side, F.col("main_n")).otherwise(F.col("rest_n"))).cast("int"))
+    meet = lambda n, row: F.transform(F.sequence(F.lit(0), F.col(n) - 1), row)
+    task = lambda kind, i, j, is_left, is_right: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), is_left.alias("is_left"), is_right.alias("is_right"))
+    mine, yes, no = F.col("chunk"), F.lit(True), F.lit(False)
+    as_main = meet("rest_n", lambda k: task("main", k, mine, no, yes))
+    as_rest = F.concat(meet("main_n", lambda k: task("main", mine, k, yes, no)), meet("rest_n", lambda k: task("rest", F.least(mine, k), F.greatest(mine, k), mine <= k, mine >= k)))
+    tasks = rows.withColumn("task", F.explode(F.when(side, as_main).otherwise(as_rest)))
+    return tasks.select("family", "task.*", "node", "comp", "set").groupBy("family", "kind", "i", "j").applyInArrow(compared, "a long, b long")
 
 
 def linked(found: DataFrame) -> DataFrame:
     """node, comp for every node that may have links."""
-    distinct = found.where(F.col("prefix").isNotNull()).select("node", "size", F.explode("prefix").alias("token")).dropDuplicates(["token", "node"])
-    distinct = written(distinct, "postings")
+    distinct = found.where(F.col("prefix").isNotNull()).select("node", "size", "common", F.explode("prefix").alias("token"))
+    distinct = written(distinct.distinct(), "postings")  # equal sets of several blocks propose the same
     shared = distinct.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     active = written(distinct.join(shared, "token", "left_semi"), "shared-postings")
     discard(distinct)
@@ -170,36 +231,33 @@ def linked(found: DataFrame) -> DataFrame:
     owner = active.select("node").distinct().join(owner, "node")
     sets = written(found.where(F.col("set").isNotNull()).select("node", "block", "set").join(owner, ["node", "block"]).select("node", "set"), "sets")
     component = written(sets.select("node", F.col("node").alias("comp")), "components")
-    tested = None
-    for k in range(PIVOT_ROUNDS + 2):
-        final = k == PIVOT_ROUNDS + 1
+    parts = ("node", "size", "common", "comp")
+
+    def tokens_between(k: int) -> tuple[DataFrame, DataFrame]:
         at = active.join(component, "node")
-        mixed_tokens = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "size", "comp"), F.xxhash64("node", F.lit(max(0, k - 1)))).alias("pivot")).where("lo != hi")
-        if final:
-            left = at.join(mixed_tokens.select("token"), "token")
-            a = left.select("token", *[F.col(c).alias(f"a_{c}") for c in ("node", "size", "comp")])
-            b = left.select("token", *[F.col(c).alias(f"b_{c}") for c in ("node", "size", "comp")])
-            pairs = a.join(b, "token").where("a_node < b_node")
-        else:
-            b = at.select("token", *[F.col(c).alias(f"b_{c}") for c in ("node", "size", "comp")])
-            pairs = b.join(mixed_tokens.select("token", *[F.col(f"pivot.{c}").alias(f"a_{c}") for c in ("node", "size", "comp")]), "token")
-        pairs = pairs.where("a_comp != b_comp").where(fits())
-        counts = pairs.groupBy(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"), F.col("a_node").alias("pivot"), F.col("b_node").alias("other")).agg(F.count("*").alias("n"))
+        pivot = F.min_by(F.struct(*parts), F.xxhash64("node", F.lit(k)))
+        return at, at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), pivot.alias("pivot")).where("lo != hi").select("token", "pivot")
+
+    for k in range(PIVOT_ROUNDS):
+        at, open_tokens = tokens_between(max(0, k - 1))
+        others = at.select("token", *[F.col(c).alias(f"b_{c}") for c in parts])
+        pairs = others.join(open_tokens.select("token", *[F.col(f"pivot.{c}").alias(f"a_{c}") for c in parts]), "token")
+        counts = pairs.where("a_comp != b_comp").where(fits()).groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.count("*").alias("n"))
         if k == 0:  # each document with the pivot that it meets most often
-            best = Window.partitionBy("other").orderBy(F.desc("n"), "pivot")
+            best = Window.partitionBy("b").orderBy(F.desc("n"), "a")
             counts = counts.withColumn("place", F.row_number().over(best)).where("place = 1")
-        fresh = counts.select("a", "b").distinct()
-        if tested is not None:
-            fresh = fresh.join(tested, ["a", "b"], "left_anti")
-        fresh = written(fresh, "pairs")
-        if fresh.isEmpty():
-            if k == 0 or final:
-                break
-            if written(mixed_tokens.select("token"), "open-tokens").isEmpty():
-                break
-            continue
-        component = merged(component, written(verified(fresh, sets), "links"))
-        tested = fresh if tested is None else tested.unionByName(fresh)
+        component = merged(component, written(verified(counts, sets), "links"))
+    at, open_tokens = tokens_between(PIVOT_ROUNDS)
+    # only documents that meet another one that fits can have a link left
+    meets = at.join(open_tokens.select("token"), "token").groupBy("token").agg(F.max("common").alias("most"))
+    at = at.join(meets, "token").where(7 * F.least("common", "most") >= 3 * F.col("size") * 1.75)
+    open_tokens = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct(*parts), "node").alias("pivot")).where("lo != hi")
+    open_tokens = written(open_tokens.select("token", "pivot"), "open-tokens")
+    if not open_tokens.isEmpty():
+        at = at.join(open_tokens.select("token"), "token", "left_semi")
+        component = merged(component, written(compared_in_chunks(at, open_tokens, component, sets), "links"))
+    discard(active)
+    discard(sets)
     return component
 
 
