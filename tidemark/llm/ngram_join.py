@@ -293,4 +293,18 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(load(spark, sf_dir, "documents"))
 
 
-SQL: dict = {}
+SQL = {
+    "op10_ngram_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        place AS (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+        s AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS x FROM place),
+        n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+        pair AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.r < b.r GROUP BY ALL),
+        link AS (SELECT a, b FROM pair JOIN n x ON a = x.r JOIN n y ON b = y.r WHERE 100 * k >= 75 * (x.n + y.n - k)),
+        ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(o.doc_id) AS component_id
+        FROM d JOIN reach ON d.r = reach.a JOIN d o ON o.r = reach.b LEFT JOIN n ON n.r = d.r GROUP BY d.r, d.doc_id, n.n"""
+}

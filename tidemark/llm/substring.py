@@ -114,4 +114,15 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-SQL: dict = {}
+SQL = {
+    "op2_substring_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        place AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+        windows AS (SELECT r, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h FROM place),
+        recurring AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY h) > 1),
+        covered AS (SELECT DISTINCT r, i + k AS j FROM recurring, range(35) AS t(k)),
+        word AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM d),
+        kept AS (SELECT r, list(x ORDER BY j) AS k FROM word ANTI JOIN covered USING (r, j) GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(len(k), 0) AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (r)"""
+}
