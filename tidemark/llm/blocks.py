@@ -18,6 +18,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +32,15 @@ SCHEMA = "block long, ids array<long>, lengths binary, words binary, vocabulary
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Numbers as planes of bytes, the high ones left out while they are zero."""
+    """Numbers as compressed planes of bytes, the high ones left out while they are zero."""
     raw = np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
     used = max([k + 1 for k in range(8) if raw[k].any()], default=0)
-    return bytes([used]) + raw[:used].tobytes()
+    return bytes([used]) + zstandard.compress(raw[:used].tobytes(), 1)
 
 
 def unplanes(data: bytes, n: int) -> np.ndarray:
     raw = np.zeros((8, n), np.uint8)
-    raw[: data[0]] = np.frombuffer(data, np.uint8, data[0] * n, 1).reshape(data[0], n)
+    raw[: data[0]] = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(data[0], n)
     return np.ascontiguousarray(raw.T).reshape(-1).view(np.uint64)
 
 
@@ -50,7 +51,8 @@ class Block:
         self.ids, self.number = row["ids"], row["block"]
         self.lengths = np.frombuffer(row["lengths"], np.uint32).astype(np.int64)
         self.words = unplanes(row["words"], int(self.lengths.sum())).astype(np.uint32)
-        self.vocabulary = row["vocabulary"].split(b"\n") if row["vocabulary"] else []
+        vocabulary = zstandard.decompress(row["vocabulary"])
+        self.vocabulary = vocabulary.split(b"\n") if vocabulary else []
         self.ends = np.cumsum(self.lengths)
         self.starts = self.ends - self.lengths
 
@@ -109,7 +111,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, lower: bool = False) ->
                 "ids": ids,
                 "lengths": np.array([len(p) for p in parts], np.uint32).tobytes(),
                 "words": planes(np.concatenate(parts)),
-                "vocabulary": b"\n".join(known),
+                "vocabulary": zstandard.compress(b"\n".join(known), 1),
                 "n_words": held,
             }
             known, ids, parts, held, made = {}, [], [], 0, made + 1
@@ -154,18 +156,21 @@ def counted(table: DataFrame, keys: Callable, reply: Callable, label: str, expec
     """
     shards = max(1, -(-expected // SHARD_KEYS))
 
+    def packed(row: dict) -> pa.RecordBatch:
+        key, count = keys(Block(row))
+        shard = ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+        cuts = np.searchsorted(shard, np.arange(shards + 1))
+        out: dict = {"shard": [], "block": [], "n": [], "keys": [], "counts": []}
+        for s in np.flatnonzero(np.diff(cuts)):
+            lo, hi = cuts[s], cuts[s + 1]
+            gaps = np.diff(key[lo:hi], prepend=np.uint64(0))
+            for k, v in zip(out, (int(s), row["block"], int(hi - lo), planes(gaps), planes(count[lo:hi])), strict=True):
+                out[k].append(v)
+        return pa.RecordBatch.from_pydict(out, schema)
+
     def spread(batches):
         for row in rows_of(batches):
-            key, count = keys(Block(row))
-            shard = ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-            cuts = np.searchsorted(shard, np.arange(shards + 1))
-            out: dict = {"shard": [], "block": [], "n": [], "keys": [], "counts": []}
-            for s in np.flatnonzero(np.diff(cuts)):
-                lo, hi = cuts[s], cuts[s + 1]
-                gaps = np.diff(key[lo:hi], prepend=np.uint64(0))
-                for k, v in zip(out, (int(s), row["block"], int(hi - lo), planes(gaps), planes(count[lo:hi])), strict=True):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema)
+            yield packed(row)
 
     def add_up(batches: pa.Table) -> pa.Table:
         n = batches.column("n").to_numpy()

@@ -309,27 +309,30 @@ def score(docs: DataFrame, modulus: int = 5, remainder: int = 1, id_col: str = "
     sums = {r["block"]: r["n"] for r in words.where(F.col("block") < 0).groupBy("block").agg(F.sum("n").alias("n")).collect()}
     kinds, tokens = sums.get(KEYS, 0), sums.get(TOTAL, 0)
 
+    def scored(row: dict) -> pa.RecordBatch:
+        block = Block(row)
+        g = Grams(block, is_held_out, bits)
+        c1 = g.from_words(collected(row["words_back"], unplanes))
+        c2, c3 = g.from_grams(collected(row["grams_back"], unplanes))
+        base = np.log10((c1 + 0.5) / (tokens + 0.5 * (kinds + 1)))[g.seq]
+        model = Trie(g, c1, c2, c3, tokens, kinds).tokens(g)
+        add = lambda x: np.add.reduceat(x, g.starts)  # noqa: E731  every document has its end token
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(block.ids, pa.int64()),
+                pa.array(g.held_out),
+                pa.array(g.lengths),
+                pa.array(add((c1[g.seq] > 0).astype(np.int64))),
+                pa.array(np.full(len(g.lengths), tokens, np.int64)),
+                pa.array(add(base)),
+                pa.array(add(model)),
+            ],
+            [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
     def run(batches):
         for row in rows_of(batches):
-            block = Block(row)
-            g = Grams(block, is_held_out, bits)
-            c1 = g.from_words(collected(row["words_back"], unplanes))
-            c2, c3 = g.from_grams(collected(row["grams_back"], unplanes))
-            base = np.log10((c1 + 0.5) / (tokens + 0.5 * (kinds + 1)))[g.seq]
-            model = Trie(g, c1, c2, c3, tokens, kinds).tokens(g)
-            add = lambda x: np.add.reduceat(x, g.starts)  # noqa: E731  every document has its end token
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(block.ids, pa.int64()),
-                    pa.array(g.held_out),
-                    pa.array(g.lengths),
-                    pa.array(add((c1[g.seq] > 0).astype(np.int64))),
-                    pa.array(np.full(len(g.lengths), tokens, np.int64)),
-                    pa.array(add(base)),
-                    pa.array(add(model)),
-                ],
-                [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+            yield scored(row)
 
     both = with_replies(table, {"words_back": words.where("block >= 0"), "grams_back": grams.where("block >= 0")})
     return both.mapInArrow(run, f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -108,17 +108,20 @@ def proposals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     total = (table.agg(F.sum("n_words")).first()[0] or 0) + 1
     seen = counted(table, lambda b: Sets(b).keys(), lambda every, mine: planes(np.minimum(every, 255)), "shingles", total)
 
+    def proposed(row: dict) -> pa.RecordBatch:
+        block = Block(row)
+        s = Sets(block)
+        doc, token, common = s.prefixes(collected(row["seen"], unplanes).astype(np.int64))
+        present = np.bincount(doc, minlength=len(s.size)) > 0
+        mine = present[s.doc]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(block.ids, pa.int64()), pa.array(np.full(len(s.size), block.number)), pa.array(s.node), pa.array(s.size), pa.array(common), lists(doc, token, present), lists(s.doc[mine], s.key[mine], present)],
+            ["id", "block", "node", "size", "common", "prefix", "set"],
+        )
+
     def run(batches):
         for row in rows_of(batches):
-            block = Block(row)
-            s = Sets(block)
-            doc, token, common = s.prefixes(collected(row["seen"], unplanes).astype(np.int64))
-            present = np.bincount(doc, minlength=len(s.size)) > 0
-            mine = present[s.doc]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(block.ids, pa.int64()), pa.array(np.full(len(s.size), block.number)), pa.array(s.node), pa.array(s.size), pa.array(common), lists(doc, token, present), lists(s.doc[mine], s.key[mine], present)],
-                ["id", "block", "node", "size", "common", "prefix", "set"],
-            )
+            yield proposed(row)
 
     out = written(with_replies(table, {"seen": seen.where("block >= 0")}).mapInArrow(run, "id long, block long, node long, size long, common long, prefix array<long>, set array<long>"), "proposals")
     discard(table)
