@@ -6,8 +6,10 @@ and clusters that got too large there are split.  Every vector is indexed: it is
 into the posting list of its nearest centroid and, if it lies near a boundary, into
 those of further centroids whose distance is within ``REPLICA_RATIO`` of the nearest.
 Queries find centroids by a best-first search in a neighbour graph over the
-centroids, and read the lists of those within ``PROBE_RATIO`` of the nearest, but at
-least ``LEAST_LISTS`` lists and enough to hold all the neighbours asked for.  Lists
+centroids, and read the lists of those whose distance is within a ratio of the nearest,
+but at least enough to hold all the neighbours asked for.  The ratio is fitted: it is
+the one that reaches ``TARGET`` of the true neighbours of ``TRIED`` queries, which are
+searched exactly.  Lists
 longer than ``CHUNK`` are divided by id, so that each task meets a bounded piece.
 
 Equal vectors: ties go to the smaller id, so of vectors that are equal in every
@@ -30,10 +32,12 @@ from pyspark.sql import functions as F
 
 from .shared import load, written
 
-K, SAMPLE, LIST, MOST_CENTROIDS, PER_CENTROID = 20, 16_384, 256, 2048, 8
-REPLICAS, REPLICA_RATIO = 4, 1.12
-LEAST_LISTS, MOST_LISTS, PROBE_RATIO = 12, 48, 1.25
+K, SAMPLE, LIST, MOST_CENTROIDS, PER_CENTROID = 20, 16_384, 512, 2048, 8
+REPLICAS, REPLICA_RATIO = 3, 1.12
+TRIED, TARGET = 128, 0.97
 LINKS, BEAM, CHUNK = 16, 64, 2048
+#: Lists that one task compares, so that it returns one set of best ones for a query.
+SHELF = 8
 
 
 def usable(vector: Column) -> Column:
@@ -136,6 +140,52 @@ def fit(rows: DataFrame, seed: int = 7) -> tuple[int, np.ndarray, float]:
     return n, centroids(x, max(1, min(MOST_CENTROIDS, n // LIST, len(x) // PER_CENTROID))), most
 
 
+def nearest_centroids(q: np.ndarray, c: np.ndarray, graph: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids, distances) of queries, nearest first.
+
+    Of a query's distance to a lifted point only the inner product matters, so the square
+    of the nearest one is replaced by a quarter of the query's own.
+    """
+    found, d2 = graph_search(lifted(q, 0, query=True), c, graph, beam)
+    own = 0.25 * np.maximum((q * q).sum(1)[:, None], 1e-300)
+    return found, np.sqrt(d2 - d2[:, :1] + own)
+
+
+def exact_neighbours(listed: DataFrame, q: np.ndarray, k: int) -> DataFrame:
+    """at (row of q), id: the k best of all vectors for each of a few queries, ties to smaller ids."""
+    shared = listed.sparkSession.sparkContext.broadcast(q)
+
+    def best(batches):
+        q = shared.value
+        for b in batches:
+            x, ids = matrix(b.column("v")), b.column("id").to_numpy()
+            score = q @ x.T
+            for at in range(len(q)):
+                top = np.lexsort((ids, -score[at]))[:k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), at, np.int32)), pa.array(ids[top]), pa.array(score[at][top])], ["at", "id", "score"])
+
+    order = Window.partitionBy("at").orderBy(F.desc("score"), "id")
+    return listed.mapInArrow(best, "at int, id long, score double").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("at", "id")
+
+
+def fitted_ratio(asked: DataFrame, listed: DataFrame, postings: DataFrame, c: np.ndarray, graph: np.ndarray, k: int) -> tuple[float, int]:
+    """(distance ratio, centroids to search for) that reach TARGET of the true neighbours of TRIED queries."""
+    tried = asked.orderBy(F.xxhash64("rep")).limit(TRIED).select("v").toArrow()
+    if not tried.num_rows or len(c) == 1:
+        return 1.0, BEAM
+    q = matrix(tried.column("v").combine_chunks())
+    true = exact_neighbours(listed, q, k)
+    where = postings.select("list", "id").join(F.broadcast(true), "id").groupBy("at", "id").agg(F.collect_list("list").alias("lists")).collect()
+    found, d = nearest_centroids(q, c, graph, len(c))
+    needed = np.full((len(q), len(c)), np.inf)
+    np.put_along_axis(needed, found, d / d[:, :1], 1)  # ratio at which each list is read
+    ratios = np.sort([needed[r["at"], r["lists"]].min() for r in where])
+    ratio = float(ratios[min(len(ratios) - 1, int(np.ceil(TARGET * len(ratios))))])
+    if not np.isfinite(ratio):
+        return np.inf, len(c)
+    return ratio, int(min(len(c), max(BEAM, 1.5 * (d <= d[:, :1] * ratio).sum(1).max())))
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which is_query holds."""
     spark = vectors.sparkSession
@@ -170,20 +220,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
 
     asked = rows.where("asks").groupBy("v").agg(F.min("id").alias("rep"))
 
+    ratio, beam = fitted_ratio(asked, listed, postings, *model.value[:2], k)
+
     def route(batches):
         c, graph, _ = model.value
         sizes, chunks = layout.value
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                found, d2 = graph_search(lifted(matrix(part.column("v")), 0, query=True), c, graph)
-                # of q's distance to a lifted point only q.x matters; |q| is made up for so that ratios mean something
-                q2 = (matrix(part.column("v")) ** 2).sum(1)[:, None]
-                d = np.sqrt(np.maximum(d2 - np.nanmin(np.where(np.isfinite(d2), d2, np.nan), 1)[:, None] + np.maximum(q2, 1e-300) * 0.25, 0))
-                held = np.cumsum(np.where(np.isfinite(d2), sizes[found], 0), 1)
+                found, d = nearest_centroids(matrix(part.column("v")), c, graph, beam)
+                reached = np.isfinite(d)
+                held = np.cumsum(np.where(reached, sizes[found], 0), 1)
                 needed = np.hstack([np.zeros((len(found), 1)), held[:, :-1]]) < (k + 1) * REPLICAS
-                place = np.arange(found.shape[1])[None, :]
-                use = np.isfinite(d2) & (needed | (place < LEAST_LISTS) | ((d <= d[:, :1] * PROBE_RATIO) & (place < MOST_LISTS)))
+                use = reached & (needed | (d <= d[:, :1] * ratio))
                 short = (held[:, -1] < (k + 1) * REPLICAS) & (sizes.sum() > held[:, -1])
                 row, col = np.nonzero(use & ~short[:, None])
                 lists = found[row, col]
@@ -203,25 +252,34 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
     listed = postings.withColumn("chunk", F.pmod(F.xxhash64("id"), pieces("list")).cast("int"))
 
     def compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        if left.num_rows and right.num_rows:
-            x, ids = matrix(right.column("v").combine_chunks()), right.column("id").to_numpy()
-            q, reps = matrix(left.column("v").combine_chunks()), left.column("rep").to_numpy()
-            for i in range(0, len(q), 256):
-                s = q[i : i + 256] @ x.T
+        reps, ids, scores = ([np.zeros(0, t)] for t in (np.int64, np.int64, np.float64))
+        listed_at, asked_at = right.column("list").to_numpy(), left.column("list").to_numpy()
+        all_x, all_ids = matrix(right.column("v").combine_chunks()), right.column("id").to_numpy()
+        all_q, all_reps = matrix(left.column("v").combine_chunks()), left.column("rep").to_numpy()
+        for which in np.intersect1d(listed_at, asked_at):
+            mine, asks = np.flatnonzero(listed_at == which), np.flatnonzero(asked_at == which)
+            x, own = all_x[mine], all_ids[mine]
+            for i in range(0, len(asks), 256):
+                q = all_q[asks[i : i + 256]]
+                s = q @ x.T
                 m = min(k + 1, s.shape[1])
                 least = np.partition(s, -m, 1)[:, -m]
                 slack = 1e-9 * np.maximum(np.abs(s).max(1), 1e-300)
                 row, col = np.nonzero(s >= (least - slack)[:, None])
-                exact = (q[i + row] * x[col]).sum(1)
-                order = np.lexsort((ids[col], -exact, row))
-                row, col, exact = row[order], col[order], exact[order]
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                keep = place < k + 1
-                out.append(pa.table({"rep": reps[i + row[keep]], "id": ids[col[keep]], "score": exact[keep]}))
-        return pa.concat_tables(out) if out else pa.table({"rep": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-
-    best = routed.groupBy("list", "chunk").cogroup(listed.groupBy("list", "chunk")).applyInArrow(compare, "rep long, id long, score double")
+                reps.append(all_reps[asks[i + row]])
+                ids.append(own[col])
+                scores.append((q[row] * x[col]).sum(1))  # the same for equal vectors, whatever stands beside them
+        rep, vec, score = map(np.concatenate, (reps, ids, scores))
+        order = np.lexsort((vec, -score, rep))
+        rep, vec, score = rep[order], vec[order], score[order]
+        fresh = np.ones(len(rep), bool)  # a replica in another list
+        fresh[1:] = (rep[1:] != rep[:-1]) | (vec[1:] != vec[:-1]) | (score[1:] != score[:-1])
+        rep, vec, score = rep[fresh], vec[fresh], score[fresh]
+        keep = np.arange(len(rep)) - np.searchsorted(rep, rep) < k + 1
+        return pa.table({"rep": rep[keep], "id": vec[keep], "score": score[keep]})
+
+    shelf = F.floor(F.col("list") / SHELF).alias("shelf")
+    best = routed.groupBy(shelf, "chunk").cogroup(listed.groupBy(shelf, "chunk")).applyInArrow(compare, "rep long, id long, score double")
     order = Window.partitionBy("rep").orderBy(F.desc("score"), "id")
     best = best.groupBy("rep", "id").agg(F.max("score").alias("score")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
     mine = rows.where("asks").select(F.col("id").alias("query_id"), "v").distinct().join(asked, "v").select("query_id", "rep")
