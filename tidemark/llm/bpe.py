@@ -35,7 +35,9 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: White space as the pattern's \s has it.
 SPACE = "[" + "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]"
 #: Distinct pieces that a task keeps between batches, and ids or characters that it assembles at a time.
-KEPT_PIECES, STRETCH = 400_000, 1_200_000
+KEPT_PIECES, STRETCH = 100_000, 300_000
+#: Rows whose new pieces are merged together.
+ROWS = 1000
 NEVER = np.iinfo(np.int64).max
 
 
@@ -237,9 +239,11 @@ def _vocabulary(spark: SparkSession, path: str | None):
 def encoded(v: Vocabulary, batches, kept: list[str], text_col: str, ids_col: str):
     encoder = Encoder(v)
     for batch in batches:
-        rest = [batch.column(c) for c in kept]
-        for first, ids in encoder.batch(batch.column(text_col)):
-            yield pa.RecordBatch.from_arrays([c.slice(first, len(ids)) for c in rest] + [ids], [*kept, ids_col])
+        for lo in range(0, batch.num_rows, ROWS):
+            part = batch.slice(lo, ROWS)
+            rest = [part.column(c) for c in kept]
+            for first, ids in encoder.batch(part.column(text_col)):
+                yield pa.RecordBatch.from_arrays([c.slice(first, len(ids)) for c in rest] + [ids], [*kept, ids_col])
 
 
 def decoded(v: Vocabulary, batches, ids_col: str, text_col: str):

@@ -40,7 +40,7 @@ ORDER, DECAY, WINDOW = 3, 0.7, 24
 #: Two strings are compared if so many of the landmark's neighbouring characters stand, in order, within REACH.
 LIKE, REACH = 0.6, 3
 FIT_DOCS, CANDIDATES, COVER_WORDS, LANDMARKS = 12_000, 400, 60, 64
-LEAST_GAIN, LEAST_PURITY, CUT, KEPT_WORDS = 0.004, 0.9, 0.7, 1_000_000
+LEAST_GAIN, LEAST_PURITY, CUT, KEPT_WORDS = 0.004, 0.9, 0.7, 250_000
 
 FILLER = re.compile(r"[\W_]+")
 LETTERS = re.compile(r"(?<!\S)(?:[^\W\d_][ .*_\-]){2,}[^\W\d_](?!\S)")
@@ -168,8 +168,8 @@ class Scorer:
         known = self.known
         sets = [units(t) for t in texts]
         fresh = list({w for s in sets for w in s if w not in known})
-        for lo in range(0, len(fresh), 50_000):
-            part = fresh[lo : lo + 50_000]
+        for lo in range(0, len(fresh), 10_000):
+            part = fresh[lo : lo + 10_000]
             known.update(dict.fromkeys(part, self.floor))
             pairs = [(w, v) for w in part for v in windows(w)]
             for (w, _), m in zip(pairs, self.margins([v for _, v in pairs]).tolist() if pairs else [], strict=True):
@@ -252,8 +252,8 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, label_
     def lookalikes(batches):
         for b in batches:
             names = b.column("w").to_pylist()
-            for lo in range(0, len(names), 50_000):
-                part = names[lo : lo + 50_000]
+            for lo in range(0, len(names), 10_000):
+                part = names[lo : lo + 10_000]
                 chars = padded(part)
                 hit = np.flatnonzero(first.like(pair_map(chars), range(first.sure)).any(1))
                 near = first.against(chars[hit], range(first.sure)).max(1) if len(hit) else np.zeros(0)
@@ -297,8 +297,8 @@ def scores(rows: DataFrame, model: Model, text_col: str, out_col: str, raw: bool
         model = shared.value
         scorer = Scorer(model.landmarks, model.weights) if model.landmarks else None
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
                 m = scorer.texts(part.column(text_col).to_pylist()) if scorer else np.zeros(part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(m if raw else model.chance(m))], [*kept, out_col])
 
