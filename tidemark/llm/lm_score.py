@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .blocks import KEYS, TOTAL, Block, blocks, collected, counted, mixed, planes, rows_of, unplanes, with_replies
 from .shared import load
 
-#: Chosen on a fold of training rows of the small check table, with that fold left out of the counts.
+#: Smoothing masses; the README says how they were chosen.
 PAIR_MASS, TRIPLE_MASS = 2000.0, 10.0
 STEP = 1 / 4096  # of quantised log10 values
 STRETCH = 1 << 17  # n-grams that are looked up at a time
