@@ -1,0 +1,36 @@
+import numpy as np
+import pytest
+
+from tidemark.llm import toxicity
+
+from .conftest import table
+from .test_text_models import marked
+
+
+def test_every_string_has_its_kernel_value_at_every_landmark():
+    marks = ["clown", "trash", "scam", "loser", "größe", "banana"]
+    strings = ["clwn", "trsh", "scm", "l0ser", "lser", "clxown", "cl", "", "anna", "große", "b" * 24, *marks]
+    got = toxicity.Landmarks(marks).against(toxicity.padded(strings))
+    chars, own = toxicity.padded(strings), toxicity.padded(marks)
+    for m in range(len(marks)):
+        value = toxicity.kernel(chars, np.repeat(own[m : m + 1], len(strings), 0))
+        norm = np.sqrt(np.maximum(toxicity.kernel(chars, chars), 1e-12) * toxicity.kernel(own[m : m + 1], own[m : m + 1]))
+        assert got[:, m] == pytest.approx(value / norm)
+    assert all(got[k, k] > 0.1 for k in range(4))
+
+
+def test_kernel_values_with_many_characters():
+    odd = ["".join(chr(0x4E00 + 40 * k + j) for j in range(20)) for k in range(8)]
+    few, many = toxicity.Landmarks(["clown", "scam"]), toxicity.Landmarks(["clown", "scam", *odd])
+    chars = toxicity.padded(["clwn", "scm", "clown", odd[3], odd[5][:7]])
+    assert few.place is not None and many.place is None
+    assert many.against(chars)[:, :2] == pytest.approx(few.against(chars))
+    assert many.against(chars)[3, 5] == pytest.approx(1)
+
+
+def test_masked_dropped_and_replaced_letters_of_short_words(spark):
+    docs, labels = marked(spark, 400)
+    odd = ["m*ron", "id*ot", "idi0t", "m0ron", "mron", "verm*n"]
+    clean = ["mornings ration", "idea worth", "crown table"]
+    scored = toxicity.score(table(spark, docs + list(enumerate([f"such {w} here" for w in odd + clean], 9000))), labels).where("doc_id >= 9000").orderBy("doc_id").collect()
+    assert [r.predicted for r in scored] == [1] * len(odd) + [0] * len(clean)
