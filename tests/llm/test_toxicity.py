@@ -34,3 +34,16 @@ def test_masked_dropped_and_replaced_letters_of_short_words(spark):
     clean = ["mornings ration", "idea worth", "crown table"]
     scored = toxicity.score(table(spark, docs + list(enumerate([f"such {w} here" for w in odd + clean], 9000))), labels).where("doc_id >= 9000").orderBy("doc_id").collect()
     assert [r.predicted for r in scored] == [1] * len(odd) + [0] * len(clean)
+
+
+def test_more_toxic_words_than_sixty_beside_common_topical_ones(spark):
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnoprstuvz"), n))
+    insults, topical, common = [word(7) for _ in range(70)], [word(8) for _ in range(450)], [word(6) for _ in range(50)]
+    texts = [([*rng.choice(common, 6), *rng.choice(topical, 60), insults[k % 70]], 1) for k in range(1050)]
+    texts += [([*rng.choice(common, 6), *(rng.choice(topical, 40) if k % 3 == 0 else [])], 0) for k in range(3000)]
+    docs = [(k, " ".join(w)) for k, (w, _) in enumerate(texts)]
+    labels = spark.createDataFrame([(k, 1 - y, y) for k, (_, y) in enumerate(texts)], "doc_id long, quality int, toxic int")
+    more = [(9000 + k, f"{common[k % 50]} {w}") for k, w in enumerate(insults)] + [(9100 + k, w) for k, w in enumerate(common)]
+    scored = toxicity.score(table(spark, docs + more), labels).where("doc_id >= 9000").orderBy("doc_id").collect()
+    assert [r.predicted for r in scored] == [1] * 70 + [0] * 50

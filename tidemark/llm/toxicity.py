@@ -8,9 +8,9 @@ that are left out, doubled or put in between lower the likeness but do not end i
 Strings are mapped to their kernel values at the landmarks, whitened by the landmarks'
 own kernel matrix, and a linear support vector machine is fitted on these features.
 
-Labels are given for documents.  Which words make a document toxic is found by a greedy
-cover: of all words, take the one that best separates the toxic documents not yet
-covered from clean ones, until none explains enough of the rest.  Each is a positive example
+Labels are given for documents.  A word makes a document toxic if its share of the toxic
+documents is at least ``LEAST_PURITY`` of its shares of toxic and clean ones, and if that
+is not by chance (``telling``); every such word is taken.  Each is a positive example
 that counts by its toxic documents, and a negative one by its clean documents; variants
 of it are positive examples too.  The other negative examples are words more common in
 clean documents: the ``CLOSE`` ones most like a positive one, then, ``MININGS`` times,
@@ -42,10 +42,10 @@ from pyspark.sql import types as T
 from .shared import held_out, load, written
 
 ORDER, DECAY, WINDOW = 3, 0.7, 24
-FIT_DOCS, CANDIDATES, COVER_WORDS, LANDMARKS, CLOSE, MINED, MININGS = 12_000, 400, 60, 512, 4000, 1500, 2
+FIT_DOCS, LANDMARKS, CLOSE, MINED, MININGS = 12_000, 512, 4000, 1500, 2
 #: Cost of a document's word on the wrong side; a variant of a toxic word has VARIANT of the word's documents.
 COST, VARIANT, RIDGE = 10.0, 0.1, 1e-4
-LEAST_GAIN, LEAST_PURITY, CUT, KEPT_WORDS = 0.004, 0.9, 0.7, 250_000
+LEAST_PURITY, CUT, KEPT_WORDS = 0.9, 0.7, 250_000
 
 FILLER = re.compile(r"[\W_]+")
 LETTERS = re.compile(r"(?<!\S)(?:[^\W\d_][ .*_\-]){2,}[^\W\d_](?!\S)")
@@ -237,27 +237,16 @@ def variants(word: str) -> set[str]:
     return {v for v in out if len(v) <= WINDOW}
 
 
-def greedy_cover(words: list[tuple[str, set, int]], toxic: int, clean: int) -> list[str]:
-    """Words that explain the toxic documents.  words: (word, its toxic documents, its clean ones)."""
-    left, out = set().union(*(d for _, d, _ in words)) if words else set(), []
-    rate = lambda d, c: len(d) / toxic / (len(d) / toxic + c / clean)  # noqa: E731  how pure a word is
-    words = [x for x in words if x[1] and rate(x[1], x[2]) >= LEAST_PURITY]
+def telling(tallied: DataFrame, toxic: int, clean: int) -> DataFrame:
+    """The words (w, p toxic documents, q clean ones) that are pure and too frequent there for chance.
 
-    def enough(d, c):
-        """A widespread word needs to explain few documents that no other does."""
-        if len(d) >= 0.15 * toxic and rate(d, c) >= 0.95:
-            return 1
-        return 2 if len(d) >= 0.05 * toxic else max(2, LEAST_GAIN * toxic)
-
-    while len(out) < COVER_WORDS:
-        useful = [x for x in words if len(x[1] & left) >= enough(x[1], x[2])]
-        if not useful:
-            break
-        best = max(useful, key=lambda x: (len(x[1] & left) / toxic - 2 * x[2] / clean, len(x[1]), x[0]))
-        words = [x for x in useful if x[0] != best[0]]
-        out.append(best[0])
-        left -= best[1]
-    return out
+    If toxic and clean documents had a word alike, p or more of its p + q documents were toxic
+    with a chance of at most exp(-evidence) (Chernoff); all words together may expect one such.
+    """
+    n, share = F.col("p") + F.col("q"), toxic / (toxic + clean)
+    pure = F.col("p") / toxic >= LEAST_PURITY * (F.col("p") / toxic + F.col("q") / clean)
+    evidence = F.col("p") * F.log(F.col("p") / (n * share)) + F.when(F.col("q") > 0, F.col("q") * F.log(F.col("q") / (n * (1 - share)))).otherwise(0.0)
+    return tallied.where("p > 0").where(pure).withColumn("evidence", evidence).where(F.col("evidence") >= float(np.log(max(tallied.count(), 2))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -281,22 +270,10 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, label_
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([each[1][w] for w in names], pa.int64()), pa.array([each[0][w] for w in names], pa.int64())], ["w", "p", "q"])
 
     tallied = written(rows.mapInArrow(tally, "w string, p long, q long").groupBy("w").agg(F.sum("p").alias("p"), F.sum("q").alias("q")), "toxicity-words")
-    gain = F.col("p") / toxic - F.col("q") / clean
-    listed = [r["w"] for r in tallied.where("p > 1").orderBy(F.desc(gain), "w").limit(CANDIDATES).collect()]
-    wanted = frozenset(listed)
-
-    def incidence(batches):
-        for b in batches:
-            hits = [(w, i, y) for i, t, y in zip(b.column("__tm_id").to_pylist(), b.column("t").to_pylist(), b.column("y").to_pylist(), strict=True) for w in wanted.intersection(v for u in units(t) for v in windows(u))]
-            yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.string()), pa.array([str(h[1]) for h in hits], pa.string()), pa.array([h[2] for h in hits], pa.int32())], ["w", "i", "y"])
-
-    # at most CANDIDATES words of at most FIT_DOCS documents, as one list for each word
-    seen = rows.mapInArrow(incidence, "w string, i string, y int").groupBy("w").agg(F.collect_list(F.when(F.col("y") == 1, F.col("i"))).alias("p"), F.count_if(F.col("y") == 0).alias("q")).collect()
-    positive = greedy_cover([(r["w"], set(r["p"]), r["q"]) for r in seen], toxic, clean)
-    if not positive:
+    found = telling(tallied, toxic, clean).orderBy(F.desc("evidence"), "w").collect()
+    if not found:
         return Model()
-    counts = {r["w"]: (len(r["p"]), r["q"]) for r in seen}
-    p, q = [counts[w][0] for w in positive], [counts[w][1] for w in positive]
+    positive, p, q = [r["w"] for r in found], [r["p"] for r in found], [r["q"] for r in found]
     negative = tallied.where(F.col("q") / clean > F.col("p") / toxic).select("w", "q")
 
     def best(value, least: float, n: int) -> dict[str, int]:
