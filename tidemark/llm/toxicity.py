@@ -1,7 +1,11 @@
 """Toxicity by a subsequence string kernel, Nystroem landmarks and a support vector machine.
 
-A sentence is as toxic as its most toxic word, or run of single letters, and a text is
-as toxic as its most toxic sentence.  Two strings are compared by the gap-weighted
+No sentence is formed: the machine is trained on words and on made variants of words,
+not on the labelled sentences, and a text is as toxic as its most toxic word, or run of
+single letters with exactly one filler between them.  Words are the units since labels
+are given for documents, so which sentence is toxic is not known, and since a word met
+before need not be scored again.  What is lost: an insult spread over several words in
+any other way ("cl own", letters two spaces apart).  Two strings are compared by the gap-weighted
 subsequence kernel: common subsequences of ``ORDER`` characters, each weighted by
 ``DECAY`` to the power of the stretch that it spans in either string, so characters
 that are left out, doubled or put in between lower the likeness but do not end it.
