@@ -1,28 +1,25 @@
 """Toxicity by a subsequence string kernel, Nystroem landmarks and a support vector machine.
 
 No sentence is formed: the machine is trained on words and on made variants of words,
-not on the labelled sentences, and a text is as toxic as its most toxic word, or run of
-single letters with exactly one filler between them.  Words are the units since labels
-are given for documents, so which sentence is toxic is not known, and since a word met
-before need not be scored again.  What is lost: an insult spread over several words in
-any other way ("cl own", letters two spaces apart).  Two strings are compared by the gap-weighted
+and a text is as toxic as its most toxic word, or run of single letters with exactly one
+filler between them.  Words are the units since labels are given for documents, so which
+sentence is toxic is not known, and since a word met before need not be scored again.  An
+insult spread over several words in any other way ("cl own") is lost.  Two strings are compared by the gap-weighted
 subsequence kernel: common subsequences of ``ORDER`` characters, each weighted by
 ``DECAY`` to the power of the stretch that it spans in either string, so characters
 that are left out, doubled or put in between lower the likeness but do not end it.
 Strings are mapped to their kernel values at the landmarks, whitened by the landmarks'
 own kernel matrix, and a linear support vector machine is fitted on these features.
 
-Labels are given for documents.  A word makes a document toxic if its share of the toxic
-documents is at least ``LEAST_PURITY`` of its shares of toxic and clean ones, and if that
-is not by chance (``telling``); every such word is taken.  Each is a positive example
-that counts by its toxic documents, and a negative one by its clean documents; variants
-of it are positive examples too.  The other negative examples are words more common in
-clean documents: the ``CLOSE`` ones most like a positive one, then, ``MININGS`` times,
-those that the machine fitted so far puts on the wrong side.  Every string is compared
-with every landmark.
+Labels are given for documents.  Which words make a document toxic is found by a greedy
+cover: of all words, take the one that best separates the toxic documents not yet
+covered from clean ones, until none explains enough of the rest.  Such words and
+variants of them are the positive examples; words of clean documents are the negative ones,
+first of all those that look most like the positive ones.  A string that shares too few
+ordered pairs of characters with a landmark has the value 0 there.
 
 The fit reads at most ``FIT_DOCS`` labelled documents outside the held-out fold, chosen
-by a hash of their ids.
+by a hash of their ids, and ``CANDIDATES`` words each from the tables it makes of them.
 
 Defined cases: null or empty text scores as a text without any word; a word of any
 length is compared window by window; a null id is held out; without toxic examples
@@ -33,9 +30,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from copy import copy
-from functools import cache
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +40,10 @@ from pyspark.sql import types as T
 from .shared import held_out, load, written
 
 ORDER, DECAY, WINDOW = 3, 0.7, 24
-FIT_DOCS, LANDMARKS, CLOSE, MINED, MININGS = 12_000, 512, 4000, 1500, 2
-#: Cost of a document's word on the wrong side; a variant of a toxic word has VARIANT of the word's documents.
-COST, VARIANT, RIDGE = 10.0, 0.1, 1e-4
-LEAST_PURITY, CUT, KEPT_WORDS = 0.9, 0.7, 250_000
+#: Two strings are compared if so many of the landmark's neighbouring characters stand, in order, within REACH.
+LIKE, REACH = 0.6, 3
+FIT_DOCS, CANDIDATES, COVER_WORDS, LANDMARKS = 12_000, 400, 60, 64
+LEAST_GAIN, LEAST_PURITY, CUT, KEPT_WORDS = 0.004, 0.9, 0.7, 250_000
 
 FILLER = re.compile(r"[\W_]+")
 LETTERS = re.compile(r"(?<!\S)(?:[^\W\d_][ .*_\-]){2,}[^\W\d_](?!\S)")
@@ -73,6 +67,23 @@ def padded(strings: list[str]) -> np.ndarray:
     return np.array(strings, f"U{WINDOW}").view(np.uint32).reshape(len(strings), WINDOW) if strings else np.zeros((0, WINDOW), np.uint32)
 
 
+def pair_map(chars: np.ndarray) -> np.ndarray:
+    """For each string, which of 1024 classes of ordered pairs of characters it has at most REACH apart."""
+    out = np.zeros((len(chars), 1024), bool)
+    rows = np.arange(len(chars))
+    for gap in range(1, REACH + 1):
+        for j in range(chars.shape[1] - gap):
+            both = chars[:, j + gap] > 0
+            if not both.any():
+                break
+            out[rows[both], pair_class(chars[both, j], chars[both, j + gap])] = True
+    return out
+
+
+def pair_class(a, b):
+    return (a.astype(np.int64) * 53 + b) & 1023
+
+
 def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The subsequence kernel of each row of a with the same row of b."""
     out = np.zeros(len(a))
@@ -94,89 +105,38 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def by_length(chars: np.ndarray):
-    """Row numbers of the strings of each length, some of them at once, and the length."""
-    size = (chars > 0).sum(1)
-    for n in np.unique(size[size >= ORDER]).tolist():
-        rows = np.flatnonzero(size == n)
-        step = max(64, 250_000 // n**2)
-        for lo in range(0, len(rows), step):
-            yield rows[lo : lo + step], n
-
-
-@cache
-def places(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places of all subsequences of ORDER of n characters, and their weights."""
-    at = np.array([*combinations(range(n), ORDER)]).T
-    return at, DECAY ** (at[-1] - at[0] + 1.0)
-
-
-def norms(chars: np.ndarray) -> np.ndarray:
-    """The square root of the kernel of each of some strings of one length with itself."""
-    order = np.sort(chars, 1)
-    twice = (order[:, 1:] == order[:, :-1]).any(1)
-    out = np.full(len(chars), np.sqrt((places(chars.shape[1])[1] ** 2).sum()))  # of different characters
-    out[twice] = np.sqrt(kernel(chars[twice], chars[twice]))
-    return out
-
-
 class Landmarks:
-    """Strings and the map into their feature space.
-
-    The kernel is a sum over the subsequences of the landmarks, so its values are looked
-    up subsequence by subsequence: exact, and for every string.
-    """
-
-    def __init__(self, strings: list[str]):
-        self.strings, chars = strings, padded(strings)
-        self.letters = np.unique(chars[chars > 0])
-        keys, rows, parts = [], [], []
-        for row, n in by_length(chars):
-            key, weight = self.keys(chars[row, :n])
-            keys.append(key.ravel())
-            rows.append(np.repeat(row, key.shape[1]))
-            parts.append((weight / norms(chars[row, :n])[:, None]).ravel())
-        self.known, at = np.unique(np.concatenate(keys), return_inverse=True)
-        self.parts = np.zeros((len(self.known) + 1, len(strings)))  # the last: a subsequence of no landmark
-        np.add.at(self.parts, (at, np.concatenate(rows)), np.concatenate(parts))
-        self.place = None
-        if len(self.letters) ** ORDER <= 1 << 20:
-            self.place = np.full(len(self.letters) ** ORDER + 1, -1, np.int32)
-            self.place[self.known] = np.arange(len(self.known))
-        values, vectors = np.linalg.eigh(self.against(chars) + RIDGE * np.eye(len(strings)))
+    """Strings, the first ``sure`` of which are toxic, and the map into their feature space."""
+
+    def __init__(self, strings: list[str], sure: int):
+        self.strings, self.sure = strings, sure
+        self.chars = padded(strings)
+        self.pairs = [pair_class(c[: n - 1], c[1:n]) for c, n in zip(self.chars, (self.chars > 0).sum(1), strict=True)]
+        self.width = max(map(len, strings))
+        self.own = np.sqrt(np.maximum(kernel(self.chars, self.chars), 1e-12))
+        values, vectors = np.linalg.eigh(self.against(self.chars, range(len(strings))) + 1e-3 * np.eye(len(strings)))
         self.whiten = vectors / np.sqrt(np.maximum(values, 1e-6))
 
-    def keys(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A number for each subsequence of some strings of one length, negative with a character of no landmark, and the weights."""
-        at = np.searchsorted(self.letters, chars)
-        at = np.where(self.letters[np.minimum(at, len(self.letters) - 1)] == chars, at, -(len(self.letters) ** ORDER))
-        where, weight = places(chars.shape[1])
-        out = np.zeros((len(chars), where.shape[1]), np.int64)
-        for place in where:
-            out = out * len(self.letters) + at[:, place]
-        return out, weight
-
-    def sums(self, chars: np.ndarray, parts: np.ndarray) -> np.ndarray:
-        """For each string, the normalised sum of the given rows for the subsequences that it shares with landmarks."""
-        out = np.zeros((len(chars), *parts.shape[1:]))
-        for rows, n in by_length(chars):
-            key, weight = self.keys(chars[rows, :n])
-            if self.place is not None:
-                at = self.place[np.maximum(key, -1)]
-            else:
-                at = np.minimum(np.searchsorted(self.known, key), len(self.known) - 1)
-                at = np.where(self.known[at] == key, at, -1)
-            part = parts[at] @ weight if parts.ndim == 1 else sum(parts[at[:, k]] * weight[k] for k in range(len(weight)))
-            own = norms(chars[rows, :n])
-            out[rows] = part / (own if parts.ndim == 1 else own[:, None])
+    def like(self, pairs: np.ndarray, which) -> np.ndarray:
+        """For each string and landmark, whether they have enough in common to be compared."""
+        return np.stack([pairs[:, self.pairs[m]].sum(1) >= LIKE * len(self.pairs[m]) for m in which], 1) if len(which) else np.zeros((len(pairs), 0), bool)
+
+    def against(self, chars: np.ndarray, which) -> np.ndarray:
+        """Normalised kernel values at the landmarks; 0 where too few characters are shared."""
+        near = self.like(pair_map(chars), which)
+        own = np.sqrt(np.maximum(kernel(chars, chars), 1e-12))
+        row, col = np.nonzero(near)
+        out = np.zeros(near.shape)
+        at = np.asarray(which)[col] if len(col) else np.zeros(0, int)
+        out[row, col] = kernel(chars[row], self.chars[at, : self.width]) / (own[row] * self.own[at])
         return out
 
-    def against(self, chars: np.ndarray) -> np.ndarray:
-        """Normalised kernel values at the landmarks."""
-        return self.sums(chars, self.parts)
-
     def features(self, strings: list[str]) -> np.ndarray:
-        return self.against(padded(strings)) @ self.whiten
+        chars = padded(strings)
+        out = np.zeros((len(strings), len(self.strings)))
+        hit = np.flatnonzero(self.like(pair_map(chars), range(self.sure)).any(1)) if len(strings) else np.zeros(0, int)
+        out[hit] = self.against(chars[hit], range(len(self.strings))) @ self.whiten
+        return out
 
 
 def support_vector_machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -198,14 +158,12 @@ class Scorer:
     """Margin of each text, the largest of its units; remembers the words that it has met."""
 
     def __init__(self, landmarks: Landmarks, weights: np.ndarray):
+        self.landmarks, self.weights = landmarks, weights
         self.floor = float(weights[-1])
-        self.parts = landmarks.parts @ (landmarks.whiten @ weights[:-1])  # what each subsequence adds to a margin
-        self.landmarks = copy(landmarks)
-        self.landmarks.parts = self.landmarks.whiten = None  # large, and no longer needed
         self.known: dict[str, float] = {}
 
     def margins(self, strings: list[str]) -> np.ndarray:
-        return self.landmarks.sums(padded(strings), self.parts) + self.floor
+        return self.landmarks.features(strings) @ self.weights[:-1] + self.weights[-1]
 
     def texts(self, texts) -> np.ndarray:
         if len(self.known) > KEPT_WORDS:
@@ -230,27 +188,30 @@ class Model:
         self.landmarks, self.weights, self.slope, self.shift = landmarks, weights, slope, shift
 
     def chance(self, margins: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.minimum(margins, 1) + self.shift, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -40, 40)))
 
 
-def variants(word: str) -> set[str]:
-    """The word with a character put in, doubled, replaced or, if it has enough, left out."""
-    out = {v for i in range(1, len(word)) for v in (word[:i] + "x" + word[i:], word[:i] + word[i - 1] + word[i:], word[:i] + "0" + word[i:])}
-    if len(word) > ORDER:
-        out |= {v for i in range(1, len(word) - 1) for v in (word[:i] + word[i + 1 :], word[:i] + "0" + word[i + 1 :])}
-    return {v for v in out if len(v) <= WINDOW}
+def greedy_cover(words: list[tuple[str, set, int]], toxic: int, clean: int) -> list[str]:
+    """Words that explain the toxic documents.  words: (word, its toxic documents, its clean ones)."""
+    left, out = set().union(*(d for _, d, _ in words)) if words else set(), []
+    rate = lambda d, c: len(d) / toxic / (len(d) / toxic + c / clean)  # noqa: E731  how pure a word is
+    words = [x for x in words if x[1] and rate(x[1], x[2]) >= LEAST_PURITY]
 
+    def enough(d, c):
+        """A widespread word needs to explain few documents that no other does."""
+        if len(d) >= 0.15 * toxic and rate(d, c) >= 0.95:
+            return 1
+        return 2 if len(d) >= 0.05 * toxic else max(2, LEAST_GAIN * toxic)
 
-def telling(tallied: DataFrame, toxic: int, clean: int) -> DataFrame:
-    """The words (w, p toxic documents, q clean ones) that are pure and too frequent there for chance.
-
-    If toxic and clean documents had a word alike, p or more of its p + q documents were toxic
-    with a chance of at most exp(-evidence) (Chernoff); all words together may expect one such.
-    """
-    n, share = F.col("p") + F.col("q"), toxic / (toxic + clean)
-    pure = F.col("p") / toxic >= LEAST_PURITY * (F.col("p") / toxic + F.col("q") / clean)
-    evidence = F.col("p") * F.log(F.col("p") / (n * share)) + F.when(F.col("q") > 0, F.col("q") * F.log(F.col("q") / (n * (1 - share)))).otherwise(0.0)
-    return tallied.where("p > 0").where(pure).withColumn("evidence", evidence).where(F.col("evidence") >= float(np.log(max(tallied.count(), 2))))
+    while len(out) < COVER_WORDS:
+        useful = [x for x in words if len(x[1] & left) >= enough(x[1], x[2])]
+        if not useful:
+            break
+        best = max(useful, key=lambda x: (len(x[1] & left) / toxic - 2 * x[2] / clean, len(x[1]), x[0]))
+        words = [x for x in useful if x[0] != best[0]]
+        out.append(best[0])
+        left -= best[1]
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -274,50 +235,47 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, label_
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([each[1][w] for w in names], pa.int64()), pa.array([each[0][w] for w in names], pa.int64())], ["w", "p", "q"])
 
     tallied = written(rows.mapInArrow(tally, "w string, p long, q long").groupBy("w").agg(F.sum("p").alias("p"), F.sum("q").alias("q")), "toxicity-words")
-    found = telling(tallied, toxic, clean).orderBy(F.desc("evidence"), "w").collect()
-    if not found:
+    gain = F.col("p") / toxic - F.col("q") / clean
+    listed = [r["w"] for r in tallied.where("p > 1").orderBy(F.desc(gain), "w").limit(CANDIDATES).collect()]
+    wanted = frozenset(listed)
+
+    def incidence(batches):
+        for b in batches:
+            hits = [(w, i, y) for i, t, y in zip(b.column("__tm_id").to_pylist(), b.column("t").to_pylist(), b.column("y").to_pylist(), strict=True) for w in wanted.intersection(v for u in units(t) for v in windows(u))]
+            yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.string()), pa.array([str(h[1]) for h in hits], pa.string()), pa.array([h[2] for h in hits], pa.int32())], ["w", "i", "y"])
+
+    # at most CANDIDATES words of at most FIT_DOCS documents, as one list for each word
+    seen = rows.mapInArrow(incidence, "w string, i string, y int").groupBy("w").agg(F.collect_list(F.when(F.col("y") == 1, F.col("i"))).alias("p"), F.count_if(F.col("y") == 0).alias("q")).collect()
+    positive = greedy_cover([(r["w"], set(r["p"]), r["q"]) for r in seen], toxic, clean)
+    if not positive:
         return Model()
-    positive, p, q = [r["w"] for r in found], [r["p"] for r in found], [r["q"] for r in found]
-    negative = tallied.where(F.col("q") / clean > F.col("p") / toxic).select("w", "q")
-
-    def best(value, least: float, n: int) -> dict[str, int]:
-        """The clean words for which value() is largest, with their documents."""
-
-        def run(batches):
-            for b in batches:
-                for lo in range(0, b.num_rows, 10_000):
-                    part = b.slice(lo, 10_000)
-                    yield pa.RecordBatch.from_arrays([part.column("w"), part.column("q"), pa.array(value(padded(part.column("w").to_pylist())), pa.float64())], ["w", "q", "v"])
-
-        return {r["w"]: r["q"] for r in negative.mapInArrow(run, "w string, q long, v double").where(F.col("v") > least).orderBy(F.desc("v"), "w").limit(n).collect()}
-
-    first = Landmarks(positive[: LANDMARKS // 4])
-    close = best(lambda chars: first.against(chars).max(1), 0.0, CLOSE)
-    landmarks = Landmarks([*positive[: LANDMARKS // 2], *close][:LANDMARKS])
-    varied: dict[str, float] = {}
-    for w, n in zip(positive, p, strict=True):
-        for v in variants(w):
-            varied[v] = max(varied.get(v, 0.0), VARIANT * n)
-    names = frozenset(varied)
-
-    def clean_ones(batches):
+
+    first = Landmarks(positive, len(positive))
+
+    def lookalikes(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([w for w in b.column("w").to_pylist() if w in names], pa.string())], ["w"])
-
-    for r in tallied.where("q > 0").select("w").mapInArrow(clean_ones, "w string").collect():
-        del varied[r["w"]]
-    for k in range(MININGS + 1):
-        # a toxic word is also a negative example for the clean documents that have it; the last: all words that resemble none
-        x = np.vstack([landmarks.features([*positive, *varied, *close, *positive]), np.zeros((1, len(landmarks.strings)))])
-        y = np.array([1.0] * (len(positive) + len(varied)) + [-1.0] * (len(close) + len(positive) + 1))
-        weights = support_vector_machine(x, y, COST * np.array([*p, *varied.values(), *close.values(), *q, clean], float))
-        if k < MININGS:  # clean words on the wrong side of the margin
-            scorer = Scorer(landmarks, weights)
-            close |= best(lambda chars, scorer=scorer: scorer.landmarks.sums(chars, scorer.parts) + scorer.floor, -1.0, MINED)
+            names = b.column("w").to_pylist()
+            for lo in range(0, len(names), 10_000):
+                part = names[lo : lo + 10_000]
+                chars = padded(part)
+                hit = np.flatnonzero(first.like(pair_map(chars), range(first.sure)).any(1))
+                near = first.against(chars[hit], range(first.sure)).max(1) if len(hit) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([pa.array([part[i] for i in hit], pa.string()), pa.array(near, pa.float64())], ["w", "near"])
+
+    negative = tallied.where(F.col("q") / clean > F.col("p") / toxic).select("w")
+    close = [r["w"] for r in negative.mapInArrow(lookalikes, "w string, near double").orderBy(F.desc("near"), "w").limit(10 * CANDIDATES).collect()]
+    landmarks = Landmarks(positive + close[: max(0, LANDMARKS - len(positive))], len(positive))
+    varied = sorted({v for w in positive for i in range(1, len(w)) for v in (w[:i] + "x" + w[i:], w[:i] + w[i - 1] + w[i:], w[:i] + "0" + w[i:]) if len(v) <= WINDOW} - {*close})
+    strings = [*positive, *varied, *close]
+    y = np.array([1.0] * (len(positive) + len(varied)) + [-1.0] * len(close) + [-1.0])
+    x = np.vstack([landmarks.features(strings), np.zeros((1, len(landmarks.strings)))])  # the last: all words that resemble none
+    cost = np.where(y > 0, 100.0 / max(1, (y > 0).sum()), 100.0 / max(1, (y < 0).sum()))
+    cost[: len(positive)], cost[-1] = 20.0, 100.0
+    weights = support_vector_machine(x, y, cost)
 
     scored = scores(rows.select("y", "t"), Model(landmarks, weights), "t", "margin", raw=True).collect()
     m, label = np.array([r["margin"] for r in scored]), np.array([r["y"] for r in scored], float)
-    slope, shift = logistic_curve(np.minimum(m, 1), label)  # the machine leaves open how far beyond 1 a margin goes
+    slope, shift = logistic_curve(m, label)
     return Model(landmarks, weights, slope, shift)
 
 
@@ -336,12 +294,11 @@ def logistic_curve(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def scores(rows: DataFrame, model: Model, text_col: str, out_col: str, raw: bool = False) -> DataFrame:
     """rows with the text column replaced by the probability (or margin) of its text."""
     kept = [c for c in rows.columns if c != text_col]
-    shared = rows.sparkSession.sparkContext.broadcast((Model(slope=model.slope, shift=model.shift), Scorer(model.landmarks, model.weights) if model.landmarks else None))
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        model, scorer = shared.value
-        if scorer:
-            scorer.known = {}
+        model = shared.value
+        scorer = Scorer(model.landmarks, model.weights) if model.landmarks else None
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
