@@ -12,8 +12,9 @@ The result equals that of the public tokenizers library for the same file, with
 add_special_tokens=False and without truncation or padding.
 
 Defined cases: a null text is encoded as the empty text, to no ids; ids that the
-vocabulary lacks decode to nothing; a text of any length is one row; extra columns
-pass through.
+vocabulary lacks decode to nothing; a text of any length is one row; repeated rows stay
+and are coded alike; an empty table gives an empty result; extra columns pass through,
+and a column that already has the result's name is an error.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import json
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -233,7 +235,13 @@ def _vocabulary(spark: SparkSession, path: str | None):
 
         path = public_tokenizers.path("byte_bpe_50k.json")
     with open(path, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(Vocabulary(f.read()))
+        # as bytes that hold the class too, since executors need not have this package
+        return spark.sparkContext.broadcast(cloudpickle.dumps(Vocabulary(f.read())))
+
+
+def new_name(rows: DataFrame, name: str) -> None:
+    if name.lower() in map(str.lower, rows.columns):
+        raise ValueError(f"the column {name!r} exists; give another name for the result")
 
 
 def encoded(v: Vocabulary, batches, kept: list[str], text_col: str, ids_col: str):
@@ -264,26 +272,28 @@ def decoded(v: Vocabulary, batches, ids_col: str, text_col: str):
 
 
 def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """docs with the text column replaced by its token ids (array<int>); a column of that name goes."""
+    """docs with the text column replaced by its token ids (array<int>); ids_col must be a new name."""
+    new_name(docs, ids_col)
     shared = _vocabulary(docs.sparkSession, path)
-    kept = [c for c in docs.columns if c not in (text_col, ids_col)]
-    return docs.mapInArrow(lambda batches: encoded(shared.value, batches, kept, text_col, ids_col), T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    kept = [c for c in docs.columns if c != text_col]
+    return docs.mapInArrow(lambda batches: encoded(cloudpickle.loads(shared.value), batches, kept, text_col, ids_col), T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """rows with the text of their token ids, in place of any column of that name; bytes that are no UTF-8 become U+FFFD."""
-    rows = rows.drop(text_col)
+    """rows with the text of their token ids in the new column text_col; bytes that are no UTF-8 become U+FFFD."""
+    new_name(rows, text_col)
     shared = _vocabulary(rows.sparkSession, path)
-    return rows.mapInArrow(lambda batches: decoded(shared.value, batches, ids_col, text_col), T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())]))
+    return rows.mapInArrow(lambda batches: decoded(cloudpickle.loads(shared.value), batches, ids_col, text_col), T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """docs with token ids and, as the text, what they decode to; one Python worker does both."""
+    new_name(docs, ids_col)
     shared = _vocabulary(docs.sparkSession, path)
-    kept = [c for c in docs.columns if c not in (text_col, ids_col)]
+    kept = [c for c in docs.columns if c != text_col]
 
     def run(batches):
-        v = shared.value
+        v = cloudpickle.loads(shared.value)
         return decoded(v, encoded(v, batches, kept, text_col, ids_col), ids_col, text_col)
 
     return docs.mapInArrow(run, T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(text_col, T.StringType())]))
