@@ -1,33 +1,41 @@
 """Toxicity by a subsequence string kernel, Nystroem landmarks and a support vector machine.
 
-No sentence is formed: the machine is trained on words and on made variants of words,
-and a text is as toxic as its most toxic word, or run of single letters with exactly one
-filler between them.  Words are the units since labels are given for documents, so which
-sentence is toxic is not known, and since a word met before need not be scored again.  An
-insult spread over several words in any other way ("cl own") is lost.  Two strings are compared by the gap-weighted
-subsequence kernel: common subsequences of ``ORDER`` characters, each weighted by
-``DECAY`` to the power of the stretch that it spans in either string, so characters
-that are left out, doubled or put in between lower the likeness but do not end it.
-Strings are mapped to their kernel values at the landmarks, whitened by the landmarks'
-own kernel matrix, and a linear support vector machine is fitted on these features.
-
-Labels are given for documents.  Which words make a document toxic is found by a greedy
-cover: of all words, take the one that best separates the toxic documents not yet
-covered from clean ones, until none explains enough of the rest.  Such words and
-variants of them are the positive examples; words of clean documents are the negative ones,
-first of all those that look most like the positive ones.  A string that shares too few
-ordered pairs of characters with a landmark has the value 0 there.
-
-The fit reads at most ``FIT_DOCS`` labelled documents outside the held-out fold, chosen
-by a hash of their ids, and ``CANDIDATES`` words each from the tables it makes of them.
-
-Defined cases: null or empty text scores as a text without any word; a word of any
-length is compared window by window; a null id is held out; without toxic examples
-every score is 0; an empty table gives an empty result.
+A text is cut into sentences, and a sentence into units: its words without fillers, long
+ones as overlapping windows, and what neighbouring fragments of up to ``FRAGMENT`` letters
+spell together ("cl own", "i d i o t").  Strings are compared by the gap-weighted
+subsequence kernel: common subsequences of ``ORDER`` characters, each weighted by ``DECAY``
+to the power of the stretch that it spans in either string, so characters that are left
+out, doubled or put in between lower the likeness but do not end it.
+
+The machine is trained on sentences of labelled documents.  A label is given for a
+document, so which sentence and which unit of it is toxic is found as in multiple-instance
+learning: a sentence of a toxic document counts as toxic if it has a witness, a unit that
+stands in far more toxic documents than clean ones by a likelihood-ratio test, and the
+witness stands for it.  A clean sentence has no toxic unit at all, so any of its units may
+stand for it: some at first, and after each fit those with the highest margins.  Gapped and doubled variants of the clearest witnesses, made with letters drawn
+at random, teach the machine how much a gap may cost.
+
+Features of a string are its kernel values at the landmarks, whitened by the landmarks' own
+kernel matrix.  In the end the machine is a weight for each subsequence that a landmark
+has, so scoring a unit is an exact sum over its subsequences: nothing is left out, however
+unlike the landmarks a unit is.  A logistic curve turns the margins of a document's
+distinct units (their soft count, and that count for the number of sentences) into a probability.
+
+Bounds: the fit reads at most ``FIT_DOCS`` labelled documents outside the held-out fold,
+chosen by a hash of their ids, and takes every unit of them that passes the test.  There are
+at most ``TOXIC_LANDMARKS`` + ``CLEAN_LANDMARKS`` landmarks and at most ``LETTERS`` distinct
+characters in their subsequences; other characters match nothing.
+
+Defined cases: null or empty text scores as a text without any unit; a word of any length
+is compared window by window, and repeated rows are scored alike; a null id is held out;
+without toxic or clean examples every score is 0; columns of any name pass through
+drop_toxic; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+import random
 import re
 from collections import Counter
 
@@ -37,109 +45,145 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import held_out, load, written
+from .shared import discard, held_out, load, written
 
-ORDER, DECAY, WINDOW = 3, 0.7, 24
-#: Two strings are compared if so many of the landmark's neighbouring characters stand, in order, within REACH.
-LIKE, REACH = 0.6, 3
-FIT_DOCS, CANDIDATES, COVER_WORDS, LANDMARKS = 12_000, 400, 60, 64
-LEAST_GAIN, LEAST_PURITY, CUT, KEPT_WORDS = 0.004, 0.9, 0.7, 250_000
+ORDER, DECAY, WINDOW, FRAGMENT, SENTENCE = 3, 0.6, 24, 3, 24
+FIT_DOCS, TOXIC_LANDMARKS, CLEAN_LANDMARKS, LETTERS = 12_000, 128, 400, 120
+#: Log likelihood ratio and ratio of document rates from which a unit is a witness at first.
+SIGNIFICANT, PURE = 5.0, 9.0
+NEGATIVES, HARD, ROUNDS = 6000, 2000, 3
+#: Cost of all positive units together, and of all variants and all negative ones as multiples of it.
+COST, VARIED, CLEAN = 10_000.0, 0.3, 10.0
+#: Margin from which a unit counts as toxic, and how sharply.
+TURN, SLOPE = 0.15, 8.0
+CUT, KEPT_WORDS = 0.7, 250_000
 
 FILLER = re.compile(r"[\W_]+")
-LETTERS = re.compile(r"(?<!\S)(?:[^\W\d_][ .*_\-]){2,}[^\W\d_](?!\S)")
+ENDS = (".", "!", "?", "…")
 
 
 def windows(word: str) -> list[str]:
-    """The word without fillers; a long one as overlapping windows."""
+    """The word without fillers, between marks of its ends; a long one as overlapping windows."""
     bare = FILLER.sub("", word)
+    if len(bare) < 2:
+        return []
+    bare = f"<{bare}>"
     if len(bare) <= WINDOW:
-        return [bare] if len(bare) >= ORDER else []
+        return [bare]
     return [bare[i : i + WINDOW] for i in range(0, len(bare) - WINDOW // 2, WINDOW // 2)]
 
 
-def units(text: str | None) -> set[str]:
-    """The distinct words of a text, and its runs of single letters."""
-    text = (text or "").lower()
-    return {*text.split(), *LETTERS.findall(text)}
-
-
-def padded(strings: list[str]) -> np.ndarray:
-    return np.array(strings, f"U{WINDOW}").view(np.uint32).reshape(len(strings), WINDOW) if strings else np.zeros((0, WINDOW), np.uint32)
-
-
-def pair_map(chars: np.ndarray) -> np.ndarray:
-    """For each string, which of 1024 classes of ordered pairs of characters it has at most REACH apart."""
-    out = np.zeros((len(chars), 1024), bool)
-    rows = np.arange(len(chars))
-    for gap in range(1, REACH + 1):
-        for j in range(chars.shape[1] - gap):
-            both = chars[:, j + gap] > 0
-            if not both.any():
-                break
-            out[rows[both], pair_class(chars[both, j], chars[both, j + gap])] = True
+def tokens(text: str | None) -> tuple[list[str], list[int]]:
+    """The lower-cased words of a text, and where its lines end among them."""
+    out: list[str] = []
+    ends = []
+    for line in (text or "").lower().split("\n"):
+        out += line.split()
+        ends.append(len(out))
+    return out, ends
+
+
+def joined(words: list[str]) -> list[str]:
+    """What neighbouring short fragments spell: each two of them, and runs of single letters."""
+    bare = [FILLER.sub("", w) for w in words]
+    out, run = [], ""
+    for k, b in enumerate(bare):
+        if len(b) == 1:
+            run += b
+        if (len(b) != 1 or k + 1 == len(bare)) and run:
+            if len(run) >= ORDER:
+                out += windows(run)
+            run = ""
+        if k and 0 < len(b) <= FRAGMENT and 0 < len(bare[k - 1]) <= FRAGMENT and len(b) + len(bare[k - 1]) > FRAGMENT:
+            out.append(f"<{bare[k - 1]}{b}>")
     return out
 
 
-def pair_class(a, b):
-    return (a.astype(np.int64) * 53 + b) & 1023
-
-
-def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The subsequence kernel of each row of a with the same row of b."""
-    out = np.zeros(len(a))
-    wide = b.shape[1]
-    fade = np.triu(DECAY ** np.abs(np.subtract.outer(np.arange(wide), np.arange(wide))).astype(float))  # to later characters of b
-    for lo in range(0, len(a), 4096):
-        x, y = a[lo : lo + 4096], b[lo : lo + 4096]
-        # before[i][j]: weight of common subsequences of i characters in the part of x so far and y[:j]
-        before = [np.ones((len(x), wide + 1))] + [np.zeros((len(x), wide + 1)) for _ in range(ORDER - 1)]
-        total = np.zeros(len(x))
-        for k in range(int((x > 0).sum(1).max(initial=0))):
-            same = (x[:, k : k + 1] == y) & (y > 0)
-            total += (same * before[ORDER - 1][:, :-1]).sum(1) * DECAY**2
-            for i in range(ORDER - 1, 0, -1):
-                ends = same * before[i - 1][:, :-1] * DECAY**2
-                before[i] *= DECAY
-                before[i][:, 1:] += ends @ fade
-        out[lo : lo + 4096] = total
-    return out
+def units(text: str | None) -> set[str]:
+    words, _ = tokens(text)
+    return {v for w in set(words) for v in windows(w)} | set(joined(words))
+
+
+COMBINATIONS: dict[int, np.ndarray] = {}
+
+
+def combinations(n: int) -> np.ndarray:
+    """Places (i, j, k), i < j < k < n, as three rows."""
+    if n not in COMBINATIONS:
+        COMBINATIONS[n] = np.array([(i, j, k) for i in range(n) for j in range(i + 1, n) for k in range(j + 1, n)], np.int64).reshape(-1, 3).T
+    return COMBINATIONS[n]
+
+
+class Subsequences:
+    """Numbers for the subsequences over an alphabet, and sums over those of many strings."""
+
+    def __init__(self, letters: str):
+        self.size = len(letters) + 1
+        self.code = np.zeros(0x110000, np.int32)
+        self.code[[ord(c) for c in letters]] = np.arange(1, self.size)
+
+    def of(self, strings: list[str], cells: int = 300_000):
+        """(places in strings, subsequence numbers of each, their weights); 0 inside a number is any other character."""
+        lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+        for n in np.unique(lengths[lengths >= ORDER]).tolist():
+            at = np.flatnonzero(lengths == n)
+            i, j, k = combinations(n)
+            fade = (DECAY ** (k - i + 1)).astype(np.float32)
+            step = max(1, cells // len(i))
+            for lo in range(0, len(at), step):
+                part = at[lo : lo + step]
+                c = self.code[np.array([strings[x] for x in part], f"U{n}").view(np.uint32).reshape(len(part), n)]
+                yield part, (c[:, i] * self.size + c[:, j]) * self.size + c[:, k], fade
+
+    def inside(self) -> np.ndarray:
+        """Which numbers are of subsequences wholly in the alphabet."""
+        some = np.arange(self.size) > 0
+        return (some[:, None, None] & some[None, :, None] & some[None, None, :]).ravel()
+
+    def total(self, strings: list[str], weight: np.ndarray) -> np.ndarray:
+        """For each string the sum of weight over its subsequences."""
+        out = np.zeros(len(strings))
+        for at, number, fade in self.of(strings):
+            out[at] = weight[number] @ fade
+        return out
 
 
 class Landmarks:
-    """Strings, the first ``sure`` of which are toxic, and the map into their feature space."""
-
-    def __init__(self, strings: list[str], sure: int):
-        self.strings, self.sure = strings, sure
-        self.chars = padded(strings)
-        self.pairs = [pair_class(c[: n - 1], c[1:n]) for c, n in zip(self.chars, (self.chars > 0).sum(1), strict=True)]
-        self.width = max(map(len, strings))
-        self.own = np.sqrt(np.maximum(kernel(self.chars, self.chars), 1e-12))
-        values, vectors = np.linalg.eigh(self.against(self.chars, range(len(strings))) + 1e-3 * np.eye(len(strings)))
-        self.whiten = vectors / np.sqrt(np.maximum(values, 1e-6))
-
-    def like(self, pairs: np.ndarray, which) -> np.ndarray:
-        """For each string and landmark, whether they have enough in common to be compared."""
-        return np.stack([pairs[:, self.pairs[m]].sum(1) >= LIKE * len(self.pairs[m]) for m in which], 1) if len(which) else np.zeros((len(pairs), 0), bool)
-
-    def against(self, chars: np.ndarray, which) -> np.ndarray:
-        """Normalised kernel values at the landmarks; 0 where too few characters are shared."""
-        near = self.like(pair_map(chars), which)
-        own = np.sqrt(np.maximum(kernel(chars, chars), 1e-12))
-        row, col = np.nonzero(near)
-        out = np.zeros(near.shape)
-        at = np.asarray(which)[col] if len(col) else np.zeros(0, int)
-        out[row, col] = kernel(chars[row], self.chars[at, : self.width]) / (own[row] * self.own[at])
-        return out
+    """Strings and the map into their feature space."""
+
+    def __init__(self, strings: list[str]):
+        count = Counter(c for s in strings for c in s)
+        self.letters = "".join(sorted(c for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]))
+        self.space = Subsequences(self.letters)
+        inside = self.space.inside()
+        parts = [(at, number, fade) for at, number, fade in self.space.of(strings)]
+        used = np.unique(np.concatenate([number.ravel() for _, number, _ in parts])) if parts else np.zeros(0, np.int64)
+        self.used = used[inside[used]]
+        self.row = np.zeros(len(inside), np.int32)
+        self.row[self.used] = np.arange(1, len(self.used) + 1)
+        self.values = np.zeros((len(self.used) + 1, len(strings)), np.float32)  # row 0: subsequences that no landmark has
+        for at, number, fade in parts:
+            for k, numbers in zip(at, number, strict=True):
+                np.add.at(self.values[:, k], self.row[numbers], fade)
+        self.values[0] = 0
+        self.values /= np.maximum(np.sqrt((self.values**2).sum(0)), 1e-9)
+        roots, vectors = np.linalg.eigh(self.values.T.astype(np.float64) @ self.values + 1e-3 * np.eye(len(strings)))
+        self.whiten = vectors / np.sqrt(np.maximum(roots, 1e-6))
 
     def features(self, strings: list[str]) -> np.ndarray:
-        chars = padded(strings)
-        out = np.zeros((len(strings), len(self.strings)))
-        hit = np.flatnonzero(self.like(pair_map(chars), range(self.sure)).any(1)) if len(strings) else np.zeros(0, int)
-        out[hit] = self.against(chars[hit], range(len(self.strings))) @ self.whiten
+        out = np.zeros((len(strings), self.values.shape[1]))
+        for at, number, fade in self.space.of(strings, 20_000):
+            out[at] = np.einsum("ijk,j->ik", self.values[self.row[number]], fade)
+        return out @ self.whiten
+
+    def compiled(self, weights: np.ndarray) -> np.ndarray:
+        """The weight of each subsequence that makes total() equal to features() @ weights."""
+        out = np.zeros(len(self.row), np.float32)
+        out[self.used] = (self.values @ (self.whiten @ weights))[1:]
         return out
 
 
-def support_vector_machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) -> np.ndarray:
+def support_vector_machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40) -> np.ndarray:
     """Weights (the last is the bias) of a linear machine with squared hinge loss, by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
@@ -148,162 +192,243 @@ def support_vector_machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, round
         on = y * (x @ w) < 1
         xs = x[on] * cost[on, None]
         new = np.linalg.solve(ridge + 2 * xs.T @ x[on], 2 * xs.T @ y[on])
-        if np.abs(new - w).max() < 1e-9:
+        if np.abs(new - w).max() < 1e-4:
             break
         w = new
     return w
 
 
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
+    """Weights (the last is the bias) of a logistic curve, by damped Newton steps."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w = np.zeros(x.shape[1])
+    loss = lambda v: np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ v)).sum() + ridge / 2 * (v @ v)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > loss(w):
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-6:
+            break
+    return w
+
+
+def varied(words: list[str], seed: int = 7) -> list[str]:
+    """The words with letters put in, tripled or left out."""
+    rng, out = random.Random(seed), []
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    for w in (x[1:-1] for x in words if len(x) >= 6):
+        for gap in (1, 2, 3, 4):
+            i = rng.randrange(1, len(w))
+            out.append(w[:i] + "".join(rng.choices(letters, k=gap)) + w[i:])
+            out.append("".join(rng.choices(letters, k=gap)).join(w))
+        i = rng.randrange(1, len(w) - 1)
+        out += [w[:i] + w[i - 1] * 3 + w[i:], w[:i] + w[i + 1 :]]
+    return [f"<{v}>" for v in out if len(v) <= WINDOW - 2]
+
+
 class Scorer:
-    """Margin of each text, the largest of its units; remembers the words that it has met."""
+    """Evidence in each text; remembers the words that it has met."""
 
-    def __init__(self, landmarks: Landmarks, weights: np.ndarray):
-        self.landmarks, self.weights = landmarks, weights
-        self.floor = float(weights[-1])
-        self.known: dict[str, float] = {}
+    def __init__(self, letters: str, weight: np.ndarray, bias: float):
+        self.space, self.weight, self.bias = Subsequences(letters), weight, bias
+        self.forget()
 
-    def margins(self, strings: list[str]) -> np.ndarray:
-        return self.landmarks.features(strings) @ self.weights[:-1] + self.weights[-1]
-
-    def texts(self, texts) -> np.ndarray:
-        if len(self.known) > KEPT_WORDS:
-            self.known = {}
-        known = self.known
-        sets = [units(t) for t in texts]
-        fresh = list({w for s in sets for w in s if w not in known})
-        for lo in range(0, len(fresh), 10_000):
-            part = fresh[lo : lo + 10_000]
-            known.update(dict.fromkeys(part, self.floor))
-            pairs = [(w, v) for w in part for v in windows(w)]
-            for (w, _), m in zip(pairs, self.margins([v for _, v in pairs]).tolist() if pairs else [], strict=True):
-                if m > known[w]:
-                    known[w] = m
-        return np.array([max(map(known.__getitem__, s), default=self.floor) for s in sets])
-
-
-class Model:
-    """A scorer and the logistic curve that turns margins into probabilities."""
-
-    def __init__(self, landmarks=None, weights=None, slope: float = 0.0, shift: float = -40.0):
-        self.landmarks, self.weights, self.slope, self.shift = landmarks, weights, slope, shift
-
-    def chance(self, margins: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -40, 40)))
-
-
-def greedy_cover(words: list[tuple[str, set, int]], toxic: int, clean: int) -> list[str]:
-    """Words that explain the toxic documents.  words: (word, its toxic documents, its clean ones)."""
-    left, out = set().union(*(d for _, d, _ in words)) if words else set(), []
-    rate = lambda d, c: len(d) / toxic / (len(d) / toxic + c / clean)  # noqa: E731  how pure a word is
-    words = [x for x in words if x[1] and rate(x[1], x[2]) >= LEAST_PURITY]
-
-    def enough(d, c):
-        """A widespread word needs to explain few documents that no other does."""
-        if len(d) >= 0.15 * toxic and rate(d, c) >= 0.95:
-            return 1
-        return 2 if len(d) >= 0.05 * toxic else max(2, LEAST_GAIN * toxic)
-
-    while len(out) < COVER_WORDS:
-        useful = [x for x in words if len(x[1] & left) >= enough(x[1], x[2])]
-        if not useful:
-            break
-        best = max(useful, key=lambda x: (len(x[1] & left) / toxic - 2 * x[2] / clean, len(x[1]), x[0]))
-        words = [x for x in useful if x[0] != best[0]]
-        out.append(best[0])
-        left -= best[1]
-    return out
+    def forget(self):
+        self.words: dict[str, int] = {}
+        self.pairs: dict[str, float] = {}
+        self.margin, self.ends, self.short = np.zeros(0), np.zeros(0, bool), np.zeros(0, bool)
 
+    def margins(self, strings: list[str]) -> np.ndarray:
+        return self.space.total(strings, self.weight) + self.bias
+
+    def best(self, lists: list[list[str]]) -> np.ndarray:
+        """For each list of units the largest margin; the bias where there is none."""
+        flat = [v for x in lists for v in x]
+        out = np.full(len(lists), self.bias)
+        if flat:
+            np.maximum.at(out, np.repeat(np.arange(len(lists)), [len(x) for x in lists]), self.margins(flat))
+        return out
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
+    def learn(self, fresh: list[str]) -> None:
+        bare = np.array([len(FILLER.sub("", w)) for w in fresh])
+        self.margin = np.append(self.margin, self.best([windows(w) for w in fresh]))
+        self.ends = np.append(self.ends, [w.endswith(ENDS) for w in fresh])
+        self.short = np.append(self.short, (bare > 0) & (bare <= FRAGMENT))
+
+    def evidence(self, texts: list) -> np.ndarray:
+        """Rows of EVIDENCE numbers: what the witnesses of a text's sentences say."""
+        if len(self.words) > KEPT_WORDS or len(self.pairs) > KEPT_WORDS:
+            self.forget()
+        cut = [tokens(t) for t in texts]
+        known = self.words
+        before = len(known)
+        places = [np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)) for words, _ in cut]
+        if len(known) > before:
+            self.learn(list(known)[before:])
+        return np.array([self._evidence(words, ends, at) for (words, ends), at in zip(cut, places, strict=True)]).reshape(-1, EVIDENCE)
+
+    def _evidence(self, words: list[str], lines: list[int], at: np.ndarray) -> list[float]:
+        n = len(at)
+        if not n:
+            return summary(np.zeros(0), 0)
+        first = np.zeros(n + 1, bool)
+        first[[0, *lines]] = True
+        first[1:] |= self.ends[at]
+        starts = np.flatnonzero(first[:n])
+        sentences = int((-(-np.diff(np.append(starts, n)) // SENTENCE)).sum())
+        found = self.margin[np.unique(at)]
+        short = self.short[at]
+        both = np.flatnonzero(short[:-1] & short[1:])
+        if len(both):  # stretches of fragments
+            cuts = np.flatnonzero(np.diff(both) > 1)
+            spelt: set[str] = set()
+            for a, b in zip(both[np.append(0, cuts + 1)].tolist(), both[np.append(cuts, len(both) - 1)].tolist(), strict=True):
+                spelt.update(joined(words[a : b + 2]))
+            fresh = [s for s in spelt if s not in self.pairs]
+            self.pairs.update(zip(fresh, self.margins(fresh).tolist(), strict=True))
+            found = np.append(found, [self.pairs[s] for s in spelt])
+        return summary(found, sentences)
+
+
+EVIDENCE = 2
+
+
+def summary(margins: np.ndarray, sentences: int) -> list[float]:
+    """A soft count of the toxic units, and that for the number of sentences, as logarithms."""
+    count = float((1 / (1 + np.exp(-np.clip(SLOPE * (margins - TURN), -30, 30)))).sum())
+    return [math.log1p(count), math.log((count + 0.2) / (sentences + 1) ** 0.7)]
+
+
+def significance(p: float, q: float, toxic: int, clean: int) -> float:
+    """Log likelihood ratio of a unit in p toxic and q clean documents being tied to toxic ones; 0 if it is not."""
+    rate, own = toxic / (toxic + clean), p / (p + q)
+    if own <= rate:
+        return 0.0
+    return p * math.log(own / rate) + (q * math.log((1 - own) / (1 - rate)) if q else 0.0)
+
+
+def sample(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, label_col: str, id_col: str, text_col: str) -> DataFrame:
+    """Labelled documents outside the held-out fold (t, y), at most about FIT_DOCS.
+
+    Of near copies (the same least hash of three words) one stays: they would make any of
+    their words look like evidence.
+    """
     marks = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col, modulus, remainder)).groupBy(F.col(id_col).alias("__tm_id")).agg(F.max(label_col).cast("int").alias("y"))
-    n = marks.count()
-    share = min(1.0, FIT_DOCS / max(n, 1))
+    share = min(1.0, FIT_DOCS / max(marks.count(), 1))
     marks = marks.where(F.pmod(F.xxhash64("__tm_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * FIT_DOCS)
-    rows = docs.select(F.col(id_col).alias("__tm_id"), F.col(text_col).alias("t")).join(F.broadcast(marks), "__tm_id").dropDuplicates(["t", "y"])
-    rows = written(rows, "toxicity-sample")
-    count = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    toxic, clean = count.get(1, 0), count.get(0, 0)
-    if not toxic or not clean:
-        return Model()
+    rows = docs.select(F.col(id_col).alias("__tm_id"), F.col(text_col).alias("t")).join(F.broadcast(marks), "__tm_id")
+    words = F.split(F.lower(F.coalesce("t", F.lit(""))), r"\s+")
+    least = F.array_min(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda k: F.xxhash64(F.slice("w", k + 1, 3))))
+    return written(rows.select("t", "y", words.alias("w")).select("t", "y", least.alias("m")).dropDuplicates(["m", "y"]).select("t", "y"), "toxicity-sample")
+
 
-    def tally(batches):
+def tally(rows: DataFrame) -> DataFrame:
+    """w, p, q: in how many toxic and clean documents of the sample each unit stands."""
+
+    def run(batches):
         each: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for b in batches:
             for t, y in zip(b.column("t").to_pylist(), b.column("y").to_pylist(), strict=True):
-                each[y].update({v for w in units(t) for v in windows(w)})
+                each[y].update(units(t))
         names = list(each[0].keys() | each[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([each[1][w] for w in names], pa.int64()), pa.array([each[0][w] for w in names], pa.int64())], ["w", "p", "q"])
 
-    tallied = written(rows.mapInArrow(tally, "w string, p long, q long").groupBy("w").agg(F.sum("p").alias("p"), F.sum("q").alias("q")), "toxicity-words")
-    gain = F.col("p") / toxic - F.col("q") / clean
-    listed = [r["w"] for r in tallied.where("p > 1").orderBy(F.desc(gain), "w").limit(CANDIDATES).collect()]
-    wanted = frozenset(listed)
+    return written(rows.mapInArrow(run, "w string, p long, q long").groupBy("w").agg(F.sum("p").alias("p"), F.sum("q").alias("q")), "toxicity-units")
+
 
-    def incidence(batches):
+def highest(words: DataFrame, letters: str, weight: np.ndarray, bias: float, n: int) -> list[str]:
+    """The n units with the highest margins."""
+    shared = words.sparkSession.sparkContext.broadcast((letters, weight, bias))
+
+    def run(batches):
+        letters, weight, bias = shared.value
+        space = Subsequences(letters)
         for b in batches:
-            hits = [(w, i, y) for i, t, y in zip(b.column("__tm_id").to_pylist(), b.column("t").to_pylist(), b.column("y").to_pylist(), strict=True) for w in wanted.intersection(v for u in units(t) for v in windows(u))]
-            yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.string()), pa.array([str(h[1]) for h in hits], pa.string()), pa.array([h[2] for h in hits], pa.int32())], ["w", "i", "y"])
+            for lo in range(0, b.num_rows, 10_000):
+                names = b.column("w").slice(lo, 10_000).to_pylist()
+                m = space.total(names, weight) + bias
+                top = np.argsort(-m, kind="stable")[:n]
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in top], pa.string()), pa.array(m[top])], ["w", "m"])
+
+    return [r["w"] for r in words.select("w").mapInArrow(run, "w string, m double").orderBy(F.desc("m"), "w").limit(n).collect()]
 
-    # at most CANDIDATES words of at most FIT_DOCS documents, as one list for each word
-    seen = rows.mapInArrow(incidence, "w string, i string, y int").groupBy("w").agg(F.collect_list(F.when(F.col("y") == 1, F.col("i"))).alias("p"), F.count_if(F.col("y") == 0).alias("q")).collect()
-    positive = greedy_cover([(r["w"], set(r["p"]), r["q"]) for r in seen], toxic, clean)
+
+def fit(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> tuple | None:
+    """(letters, weights of subsequences, bias, logistic weights), or None without examples of both kinds."""
+    rows = sample(docs, labels, modulus, remainder, label_col, id_col, text_col)
+    count = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    toxic, clean = count.get(1, 0), count.get(0, 0)
+    if not toxic or not clean:
+        return None
+    words = tally(rows)
+    rate = F.col("p") * clean / (F.col("q") * toxic + 0.5 * clean / (toxic + clean))
+    least = 2 if toxic > 3 else 1
+    pure = words.where((F.col("p") >= least) & (rate > PURE)).collect()
+    grade = {r["w"]: significance(r["p"], r["q"], toxic, clean) for r in pure}
+    weight = {r["w"]: float(min(r["p"], 20)) for r in pure}
+    bar = min(SIGNIFICANT, max(grade.values(), default=0.0))
+    positive = sorted((w for w in grade if grade[w] >= bar), key=lambda w: (-grade[w], w))
     if not positive:
-        return Model()
+        return None
+    negatives = words.where(F.col("p") * clean <= 2 * F.col("q") * toxic)
+    easy = [r["w"] for r in negatives.select("w").orderBy(F.xxhash64("w"), "w").limit(NEGATIVES).collect()]
+    negative, hard = easy, easy[:CLEAN_LANDMARKS]
+    sure = positive[:TOXIC_LANDMARKS]
+    extra = varied(sure[:80])
+    for k in range(ROUNDS):
+        marks = Landmarks(sure + hard)
+        x = np.vstack([marks.features(part) for part in (positive, extra, negative, [""])])  # the last stands for all that resembles none
+        y = np.array([1.0] * (len(positive) + len(extra)) + [-1.0] * (len(negative) + 1))
+        heavy = np.array([weight[w] for w in positive])
+        cost = np.concatenate([COST * heavy / heavy.sum(), np.full(len(extra), VARIED * COST / max(1, len(extra))), np.full(len(negative), CLEAN * COST / max(1, len(negative))), [COST]])
+        w = support_vector_machine(x, y, cost)
+        compiled, bias = marks.compiled(w[:-1]), float(w[-1])
+        if k + 1 < ROUNDS:
+            new = highest(negatives, marks.letters, compiled, bias, HARD)
+            negative = list(dict.fromkeys([*negative, *new]))
+            hard = list(dict.fromkeys([*new[: CLEAN_LANDMARKS // 2], *hard]))[:CLEAN_LANDMARKS]
+    scored = evidence(rows.select("y", "t"), "t", (marks.letters, compiled, bias)).toArrow()
+    seen = np.frombuffer(b"".join(scored.column("seen").to_pylist())).reshape(-1, EVIDENCE)
+    curve = logistic(seen, scored.column("y").to_numpy().astype(float))
+    discard(words)
+    discard(rows)
+    return marks.letters, compiled, bias, curve
+
+
+def evidence(rows: DataFrame, text_col: str, machine: tuple, out_col: str = "seen") -> DataFrame:
+    """rows with the text column replaced by the packed evidence of its text."""
+    kept = [c for c in rows.columns if c != text_col]
+    shared = rows.sparkSession.sparkContext.broadcast(machine)
 
-    first = Landmarks(positive, len(positive))
+    def run(batches):
+        scorer = Scorer(*shared.value)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                seen = scorer.evidence(part.column(text_col).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array([r.tobytes() for r in seen], pa.binary())], [*kept, out_col])
 
-    def lookalikes(batches):
-        for b in batches:
-            names = b.column("w").to_pylist()
-            for lo in range(0, len(names), 10_000):
-                part = names[lo : lo + 10_000]
-                chars = padded(part)
-                hit = np.flatnonzero(first.like(pair_map(chars), range(first.sure)).any(1))
-                near = first.against(chars[hit], range(first.sure)).max(1) if len(hit) else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([pa.array([part[i] for i in hit], pa.string()), pa.array(near, pa.float64())], ["w", "near"])
-
-    negative = tallied.where(F.col("q") / clean > F.col("p") / toxic).select("w")
-    close = [r["w"] for r in negative.mapInArrow(lookalikes, "w string, near double").orderBy(F.desc("near"), "w").limit(10 * CANDIDATES).collect()]
-    landmarks = Landmarks(positive + close[: max(0, LANDMARKS - len(positive))], len(positive))
-    varied = sorted({v for w in positive for i in range(1, len(w)) for v in (w[:i] + "x" + w[i:], w[:i] + w[i - 1] + w[i:], w[:i] + "0" + w[i:]) if len(v) <= WINDOW} - {*close})
-    strings = [*positive, *varied, *close]
-    y = np.array([1.0] * (len(positive) + len(varied)) + [-1.0] * len(close) + [-1.0])
-    x = np.vstack([landmarks.features(strings), np.zeros((1, len(landmarks.strings)))])  # the last: all words that resemble none
-    cost = np.where(y > 0, 100.0 / max(1, (y > 0).sum()), 100.0 / max(1, (y < 0).sum()))
-    cost[: len(positive)], cost[-1] = 20.0, 100.0
-    weights = support_vector_machine(x, y, cost)
-
-    scored = scores(rows.select("y", "t"), Model(landmarks, weights), "t", "margin", raw=True).collect()
-    m, label = np.array([r["margin"] for r in scored]), np.array([r["y"] for r in scored], float)
-    slope, shift = logistic_curve(m, label)
-    return Model(landmarks, weights, slope, shift)
-
-
-def logistic_curve(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of Platt's curve, by Newton steps with a little ridge."""
-    target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    x, w = np.stack([m, np.ones_like(m)], 1), np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (target - p) - 1e-3 * w)
-        w = w + np.clip(step, -3, 3)
-    return float(w[0]), float(w[1])
-
-
-def scores(rows: DataFrame, model: Model, text_col: str, out_col: str, raw: bool = False) -> DataFrame:
-    """rows with the text column replaced by the probability (or margin) of its text."""
+    return rows.mapInArrow(run, T.StructType([rows.schema[c] for c in kept] + [T.StructField(out_col, T.BinaryType())]))
+
+
+def scores(rows: DataFrame, model: tuple | None, text_col: str, out_col: str) -> DataFrame:
+    """rows with the text column replaced by the probability that its text is toxic."""
     kept = [c for c in rows.columns if c != text_col]
+    if model is None:
+        return rows.select(*kept, F.lit(0.0).alias(out_col))
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        model = shared.value
-        scorer = Scorer(model.landmarks, model.weights) if model.landmarks else None
+        *machine, curve = shared.value
+        scorer = Scorer(*machine)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                m = scorer.texts(part.column(text_col).to_pylist()) if scorer else np.zeros(part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(m if raw else model.chance(m))], [*kept, out_col])
+                logit = scorer.evidence(part.column(text_col).to_pylist()) @ curve[:-1] + curve[-1]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(1 / (1 + np.exp(-np.clip(logit, -40, 40))))], [*kept, out_col])
 
     return rows.mapInArrow(run, T.StructType([rows.schema[c] for c in kept] + [T.StructField(out_col, T.DoubleType())]))
 
@@ -315,9 +440,9 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int =
     return out.select(id_col, held_out(id_col, modulus, remainder).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, text_col: str = "text") -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
-    model = fit(docs, labels, modulus, remainder, text_col=text_col)
+    model = fit(docs, labels, modulus, remainder, id_col=id_col, text_col=text_col)
     marked = scores(docs.withColumn("__tm_text", F.col(text_col)), model, "__tm_text", "__tm_score")
     return marked.where(F.col("__tm_score") < CUT).select(docs.columns)
 
