@@ -8,20 +8,23 @@ that cannot stay before anything is shuffled.  All other digests, and the few
 rows that may stay, are shuffled by digest as usual, in groups that are small
 because the large ones are gone.
 
-Defined cases: a null text counts as empty; a null id is smaller than any id;
-of rows that tie on text and id exactly one stays; extra columns pass through.
+Rows are never gathered by digest to pick one: what may stay is counted by (digest, id)
+first, so any number of rows that agree in both is one row of the shuffle.
+
+Defined cases: a null text counts as empty; a null id is smaller than any id; of rows that
+tie on text and id exactly one stays; a text of any length is one digest; columns of any
+name pass through drop_duplicates; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import load, written
+from .shared import LOWER, UPPER, discard, load, written
 
 #: Counters that a Misra-Gries summary holds, hence the most winners that are broadcast.
 COUNTERS = 1024
@@ -32,14 +35,8 @@ D, ID, KEEP, SIZE, RANK = "__tm_digest", "__tm_id", "__tm_keep", "__tm_size", "_
 
 
 def digest(text: Column) -> Column:
-    """SHA-256 of the UTF-8 text with A-Z lower-cased (bytes.lower() changes nothing else)."""
-
-    @F.arrow_udf("binary")
-    def of(texts: pa.Array) -> pa.Array:
-        buffers = (v.as_buffer() for v in texts)
-        return pa.array([hashlib.sha256(bytes(b).lower() if b is not None else b"").digest() for b in buffers], pa.binary())
-
-    return of(text)
+    """SHA-256 of the UTF-8 text with A-Z lower-cased."""
+    return F.unhex(F.sha2(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER).cast("binary"), 256))
 
 
 def misra_gries(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
@@ -61,38 +58,39 @@ def misra_gries(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
 def heavy_winners(digests: DataFrame, counters: int = COUNTERS, least: int = LEAST_COPIES) -> DataFrame:
     """Exact size and staying id of each verified heavy digest; digests has the columns D and ID."""
     mine = digests.join(F.broadcast(misra_gries(digests, counters)), D, "left_semi")
-    by_id = mine.groupBy(D, ID).agg(F.count("*").alias("n"))
-    return by_id.groupBy(D).agg(F.sum("n").alias(SIZE), F.max(ID).alias(KEEP)).where(F.col(SIZE) >= least)
+    return mine.groupBy(D).agg(F.count("*").alias(SIZE), F.max(ID).alias(KEEP)).where(F.col(SIZE) >= least)
 
 
-def split(rows: DataFrame, winners: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(heavy copies that go, with SIZE and KEEP; the others, ranked within their digest: 1 stays)."""
-    tagged = rows.join(F.broadcast(winners), D, "left")
-    loses = F.col(SIZE).isNotNull() & ~F.col(ID).eqNullSafe(F.col(KEEP))
-    group = Window.partitionBy(D)
-    rest = (
-        tagged.where(~loses)
-        .withColumn(SIZE, F.coalesce(SIZE, F.count("*").over(group)))
-        .withColumn(KEEP, F.max(ID).over(group))
-        .withColumn(RANK, F.row_number().over(group.orderBy(F.desc_nulls_last(ID))))
-    )
-    return tagged.where(loses), rest
+def loses() -> Column:
+    """Whether a row joined with its digest's winner, if any, cannot stay."""
+    return F.col(SIZE).isNotNull() & ~F.col(ID).eqNullSafe(F.col(KEEP))
 
 
 def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, the id that stays, the group's size, whether it stays, the digest."""
     digests = written(docs.select(F.col(id_col).alias(ID), digest(F.col(text_col)).alias(D)), "digests")
     winners = written(heavy_winners(digests), "winners")
-    gone, rest = split(digests, winners)
-    both = gone.withColumn(RANK, F.lit(2)).select(ID, D, SIZE, KEEP, RANK).unionByName(rest.select(ID, D, SIZE, KEEP, RANK))
-    return both.select(F.col(ID).alias(id_col), F.col(KEEP).alias("keep_id"), F.col(SIZE).alias("group_size"), (F.col(RANK) == 1).alias("kept"), F.lower(F.hex(D)).alias("text_sha256"))
+    tagged = digests.join(F.broadcast(winners), D, "left")
+    gone = tagged.where(loses()).select(ID, D, SIZE, KEEP, F.lit(False).alias(RANK))
+    alike = tagged.where(~loses()).groupBy(D, ID).agg(F.count("*").alias("n"), F.max(SIZE).alias(SIZE))
+    groups = alike.groupBy(D).agg(F.coalesce(F.max(SIZE), F.sum("n")).alias(SIZE), F.max(ID).alias(KEEP))
+    each = alike.drop(SIZE).join(groups, D).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    rest = each.select(ID, D, SIZE, KEEP, (F.col(ID).eqNullSafe(F.col(KEEP)) & (F.col("copy") == 1)).alias(RANK))
+    both = gone.unionByName(rest)
+    return both.select(F.col(ID).alias(id_col), F.col(KEEP).alias("keep_id"), F.col(SIZE).alias("group_size"), F.col(RANK).alias("kept"), F.lower(F.hex(D)).alias("text_sha256"))
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """The documents that stay, with all their columns.
+
+    Texts are shuffled once.  Spark takes the first row of each digest within every task
+    before that shuffle, so rows that tie on text and id meet as one row per task.
+    """
     rows = docs.withColumns({ID: F.col(id_col), D: digest(F.col(text_col))})
-    winners = written(heavy_winners(written(rows.select(ID, D), "digests")), "winners")
-    tagged = rows.join(F.broadcast(winners), D, "left").where(F.col(SIZE).isNull() | F.col(ID).eqNullSafe(F.col(KEEP)))
+    digests = written(rows.select(ID, D), "digests")
+    winners = written(heavy_winners(digests), "winners")
+    discard(digests)
+    tagged = rows.join(F.broadcast(winners), D, "left").where(~loses())
     ranked = tagged.withColumn(RANK, F.row_number().over(Window.partitionBy(D).orderBy(F.desc_nulls_last(ID))))
     return ranked.where(F.col(RANK) == 1).select(docs.columns)
 
@@ -107,6 +105,6 @@ SQL = {
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
             FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-               doc_id = max(doc_id) OVER w AS kept, text_sha256
+               row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)"""
 }
