@@ -1,20 +1,25 @@
-"""Documents as blocks of word numbers, and counts of keys over all blocks.
-
-Some operators need, for every n-gram of every document, how often it stands in the
-whole corpus.  As rows these would be many times the corpus.  Here a task turns a
-bounded number of documents into one block: the distinct words, and a number for each
-word.  A block's keys (64-bit hashes of n-grams) are made distinct and sorted, and go
-as one packed value to each of the shards that the range of hashes is cut into.  A
-shard adds up each key's counts and sends every block its counts back in the same
-order.  Before a key is shuffled it is counted within its block, so one that is very
-common costs one entry for each block and no task meets all its occurrences; shards
-grow in number with the corpus, not in size.
+"""Documents as blocks of word numbers, and an exchange of keys between blocks and shards.
+
+Some operators need, for every n-gram of every document, something that only the whole
+corpus tells, such as how often it stands there.  As rows these would be many times the
+corpus.  Here a task turns a bounded number of documents into one block: the distinct
+words, and a number for each word.  A block's distinct keys go, packed, to the shards
+into which a hash of the keys deals them, and each shard answers every block in the same
+order.  A key that is very common costs one entry for each block.
+
+A block sends at most ``FAN`` pieces, so a piece holds thousands of keys however large the
+corpus is.  Where there are more shards than that, pieces that go the same way are merged
+into rows as large as a block and dealt again, ``FAN`` ways at each level, and the answers
+come back the same way.  So what is sent for a document grows with the number of levels,
+the logarithm of the number of shards, and not with that number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,12 +27,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
 #: Words of a block, and keys of a shard.  A longer document is a block of its own.
-BLOCK_WORDS, SHARD_KEYS = 300_000, 1_000_000
-#: "Blocks" under which a shard tells how many keys it counted at least once, and their total.
-KEYS, TOTAL = -1, -2
+BLOCK_WORDS, SHARD_KEYS = 400_000, 1_000_000
+#: Pieces into which a block's keys are dealt at most, and keys of a row of merged pieces.
+FAN, MERGED_KEYS = 512, 400_000
+#: The "row" under which a shard reports about itself.
+REPORT = -1
+PIECES = "row long, shard long, n long, data binary"
+ANSWERS = "row long, shard long, keys long, total long, replies binary"
 SCHEMA = "block long, ids array<long>, lengths binary, words binary, vocabulary binary, n_words long"
 
 
@@ -146,70 +155,208 @@ def rows_of(batches):
             yield {name: batch.column(j)[k].as_py() for j, name in enumerate(batch.schema.names)}
 
 
-def counted(table: DataFrame, keys: Callable, reply: Callable, label: str, expected: int) -> DataFrame:
-    """block, shard, n, replies: what reply() makes of the corpus-wide counts of a block's keys.
+HEAD = "<?II"
+
+
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of numbers, one or several to a row; one that ascends is stored by its gaps."""
+    out = []
+    for c in columns:
+        wide = c.shape[1] if c.ndim > 1 else 0
+        c = c.astype(np.uint64).reshape(-1)
+        up = bool(not wide and len(c) > 1 and (c[1:] >= c[:-1]).all())
+        body = planes(np.diff(c, prepend=np.uint64(0)) if up else c)
+        out.append(struct.pack(HEAD, up, wide, len(body)) + body)
+    return b"".join(out)
+
+
+def unpack(data: bytes, n: int) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        up, wide, size = struct.unpack_from(HEAD, data, at)
+        at += struct.calcsize(HEAD)
+        c = unplanes(data[at : at + size], n * max(1, wide))
+        out.append(np.cumsum(c, dtype=np.uint64) if up else c.reshape(n, wide) if wide else c)
+        at += size
+    return out
+
 
-    Rows of block KEYS and TOTAL hold, as n, a shard's number of keys with a count and their sum.
-    keys(block) -> (sorted distinct keys, their counts in the block); reply(counts, mine)
-    -> bytes, with the corpus-wide and the block's own counts.  expected: about how many
-    keys all blocks have together.
+class Route:
+    """Which shard each key goes to, at one level: hash_of(columns) is dealt into ``fan`` equal ranges."""
+
+    def __init__(self, hash_of: Callable, shards: int, level: int = 0):
+        self.hash_of, self.shards, self.level, self.fan = hash_of, shards, level, min(shards, FAN)
+
+    def below(self) -> Route:
+        return Route(self.hash_of, -(-self.shards // FAN), self.level + 1)
+
+    def number(self) -> int:
+        """How many shards there are at the last level."""
+        return self.fan * (self.below().number() if self.shards > FAN else 1)
+
+    def shard(self, columns: list[np.ndarray]) -> np.ndarray:
+        h = self.hash_of(columns)
+        if self.level:
+            with np.errstate(over="ignore"):
+                h = mixed(h + np.uint64(self.level))
+        return ((h >> np.uint64(32)) * np.uint64(self.fan) >> np.uint64(32)).astype(np.int64)
+
+    def pieces(self, row: int, above: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+        shard = self.shard(columns)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[order], np.arange(self.fan + 1))
+        columns = [c[order] for c in columns]
+        some = np.flatnonzero(np.diff(cuts))
+        data = [pack([c[cuts[k] : cuts[k + 1]] for c in columns]) for k in some]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), row)), pa.array(above * self.fan + some), pa.array(np.diff(cuts)[some]), pa.array(data, pa.binary())], ["row", "shard", "n", "data"])
+
+    def returned(self, parts, columns: list[np.ndarray], above: int = 0) -> list[np.ndarray]:
+        """The answers to the keys in these columns, in their order; none if there are no keys."""
+        shard = self.shard(columns)
+        order, sizes = np.argsort(shard, kind="stable"), np.bincount(shard, minlength=self.fan)
+        replies = {p["shard"] - above * self.fan: p["replies"] for p in parts or []}
+        got = [unpack(replies[k], int(sizes[k])) for k in np.flatnonzero(sizes).tolist()]
+        out = []
+        for column in zip(*got, strict=True):
+            out.append(np.empty(len(order), np.uint64))
+            out[-1][order] = np.concatenate(column)
+        return out
+
+
+def exchange(table: DataFrame, request: Callable, route: Route, answer: Callable, label: str) -> DataFrame:
+    """Answers to what blocks ask: row (the block), shard and replies, for with_replies() and Route.returned().
+
+    request(row of a block) -> columns of numbers that hold the block's distinct keys and what it
+    tells of them; answer(columns, shard) -> (columns of replies, keys, total, report), for
+    all that reaches a shard.  The last three are kept in a row of their own (REPORT).
     """
-    shards = max(1, -(-expected // SHARD_KEYS))
-
-    def packed(row: dict) -> pa.RecordBatch:
-        key, count = keys(Block(row))
-        shard = ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-        cuts = np.searchsorted(shard, np.arange(shards + 1))
-        out: dict = {"shard": [], "block": [], "n": [], "keys": [], "counts": []}
-        for s in np.flatnonzero(np.diff(cuts)):
-            lo, hi = cuts[s], cuts[s + 1]
-            gaps = np.diff(key[lo:hi], prepend=np.uint64(0))
-            for k, v in zip(out, (int(s), row["block"], int(hi - lo), planes(gaps), planes(count[lo:hi])), strict=True):
-                out[k].append(v)
-        return pa.RecordBatch.from_pydict(out, schema)
 
     def spread(batches):
         for row in rows_of(batches):
-            yield packed(row)
+            yield route.pieces(row["block"], 0, request(row))
+
+    return answered(table.mapInArrow(spread, PIECES), route, answer, label)
+
+
+def answered(sent: DataFrame, route: Route, answer: Callable, label: str) -> DataFrame:
+    if route.shards > FAN:
+        return answered_below(sent, route, answer, label)
 
-    def add_up(batches: pa.Table) -> pa.Table:
-        n = batches.column("n").to_numpy()
+    def serve(rows: pa.Table) -> pa.Table:
+        n = rows.column("n").to_numpy()
+        columns = [np.concatenate(c) for c in zip(*(unpack(d.as_py(), k) for d, k in zip(rows.column("data"), n.tolist(), strict=True)), strict=True)]
+        shard = rows.column("shard")[0].as_py()
+        replies, keys, total, report = answer(columns, shard)
         ends = np.cumsum(n)
-        key, mine = np.empty(ends[-1], np.uint64), np.empty(ends[-1], np.uint32)
-        for k, (a, b) in enumerate(zip(ends - n, ends, strict=True)):
-            key[a:b] = np.cumsum(unplanes(batches.column("keys")[k].as_py(), b - a), dtype=np.uint64)
-            mine[a:b] = unplanes(batches.column("counts")[k].as_py(), b - a)
-        order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], key[order[1:]] != key[order[:-1]]]))
-        total = np.add.reduceat(mine[order], first, dtype=np.uint64)
-        every = np.empty(len(key), np.uint64)
-        every[order] = np.repeat(total, np.diff(np.append(first, len(key))))
-        replies = [reply(every[a:b], mine[a:b]) for a, b in zip(ends - n, ends, strict=True)]
-        shard = batches.column("shard")[0].as_py()
+        data = [pack([r[a:b] for r in replies]) for a, b in zip(ends - n, ends, strict=True)]
+        none = [None] * len(n)
         return pa.table(
             {
-                "block": pa.array([*batches.column("block").to_pylist(), KEYS, TOTAL], pa.int64()),
-                "shard": pa.array([shard] * (len(n) + 2), pa.int32()),
-                "n": pa.array([*n.tolist(), int((total > 0).sum()), int(total.sum())], pa.int64()),
-                "replies": pa.array([*replies, b"", b""], pa.binary()),
+                "row": pa.array([*rows.column("row").to_pylist(), REPORT], pa.int64()),
+                "shard": pa.array([shard] * (len(n) + 1), pa.int64()),
+                "keys": pa.array([*none, keys], pa.int64()),
+                "total": pa.array([*none, total], pa.int64()),
+                "replies": pa.array([*data, report], pa.binary()),
             }
         )
 
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-    sent = table.mapInArrow(spread, "shard int, block long, n int, keys binary, counts binary")
-    return written(sent.groupBy("shard").applyInArrow(add_up, "block long, shard int, n long, replies binary"), label)
+    return written(sent.groupBy("shard").applyInArrow(serve, ANSWERS), label)
 
 
-def with_replies(table: DataFrame, replies: dict[str, DataFrame]) -> DataFrame:
-    """The blocks, each with its replies as arrays of (shard, n, replies), one column for each name."""
+def answered_below(sent: DataFrame, route: Route, answer: Callable, label: str) -> DataFrame:
+    """The same by way of rows that merge what goes to one range of shards."""
+    below = route.below()
+
+    def merge(batches):
+        from pyspark import TaskContext
+
+        task, made = TaskContext.get().partitionId(), 0
+        held: list[dict] = []
+
+        def flush():
+            nonlocal made
+            columns = [np.concatenate(c) for c in zip(*(unpack(r["data"], r["n"]) for r in held), strict=True)]
+            row = {"row": (task << 32) + made, "shard": held[0]["shard"], "members": [r["row"] for r in held], "sizes": [r["n"] for r in held], "n": sum(r["n"] for r in held), "data": pack(columns)}
+            made += 1
+            held.clear()
+            return pa.RecordBatch.from_pydict({k: [v] for k, v in row.items()}, schema)
+
+        schema = pa.schema([("row", pa.int64()), ("shard", pa.int64()), ("members", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("n", pa.int64()), ("data", pa.binary())])
+        for row in rows_of(batches):
+            if held and (row["shard"] != held[0]["shard"] or sum(r["n"] for r in held) + row["n"] > MERGED_KEYS):
+                yield flush()
+            held.append(row)
+        if held:
+            yield flush()
+
+    def again(batches):
+        for row in rows_of(batches):
+            yield below.pieces(row["row"], row["shard"], unpack(row["data"], row["n"]))
+
+    def back(batches):
+        for row in rows_of(batches):
+            replies = below.returned(row["parts"], unpack(row["data"], row["n"]), row["shard"])
+            ends = np.cumsum(row["sizes"])
+            data = [pack([r[b - n : b] for r in replies]) for b, n in zip(ends, row["sizes"], strict=True)]
+            none = pa.nulls(len(data), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(row["members"], pa.int64()), pa.array([row["shard"]] * len(data), pa.int64()), none, none, pa.array(data, pa.binary())], ["row", "shard", "keys", "total", "replies"])
+
+    merged = sent.repartition("shard").sortWithinPartitions("shard")
+    merged = written(merged.mapInArrow(merge, "row long, shard long, members array<long>, sizes array<long>, n long, data binary"), f"{label}-merged")
+    got = answered(merged.select("row", "shard", "n", "data").mapInArrow(again, PIECES), below, answer, label)
+    out = with_replies(merged, {"parts": got}, "row").mapInArrow(back, ANSWERS).unionByName(got.where(F.col("row") == REPORT))
+    out = written(out, label)
+    discard(merged, got)
+    return out
+
+
+def with_replies(table: DataFrame, replies: dict[str, DataFrame], row: str = "block") -> DataFrame:
+    """The blocks, each with its answers as arrays of (shard, replies), one column for each name."""
     out = table
     for name, df in replies.items():
-        mine = df.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("shard", "n", "replies"))).alias(name))
-        out = out.join(mine, "block", "left")
+        mine = df.where(F.col("row") != REPORT).groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("shard", "replies")).alias(name))
+        out = out.join(mine, row, "left")
     return out
 
 
-def collected(parts, decode: Callable) -> np.ndarray:
-    """The numbers that a block got back, in the order of its sorted keys."""
-    got = [decode(p["replies"], p["n"]) for p in parts or []]
-    return np.concatenate(got) if got else np.zeros(0, np.uint64)
+def totals(keys: list[np.ndarray], count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of one entry of each distinct key in order of keys, its total count, each entry's key number)."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    first = np.flatnonzero(new)
+    total = np.add.reduceat(count[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[first], total, which
+
+
+def corpus_counts(columns: list[np.ndarray], shard: int):
+    """An answer to (keys, counts): each key's count over all blocks."""
+    _, total, which = totals(columns[:1], columns[1])
+    return [total[which].astype(np.uint64)], int((total > 0).sum()), int(total.sum()), None
+
+
+def word_hashes(block: Block, *others: bytes) -> np.ndarray:
+    """A hash for each word of the vocabulary, and for other words."""
+    words = [*block.vocabulary, *others]
+    return mixed(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+
+
+def first_column(columns: list[np.ndarray]) -> np.ndarray:
+    return columns[0]
+
+
+def numbers(shards: int) -> Callable:
+    """An answer that numbers a shard's words by how frequent they are: number and count of each."""
+
+    def answer(columns, shard):
+        at, total, which = totals(columns[:1], columns[1])
+        rank = np.empty(len(total), np.int64)
+        rank[np.lexsort((columns[0][at], -total))] = np.arange(len(total))
+        return [(rank * shards + shard)[which], total[which]], int((total > 0).sum()), int(total.sum()), None
+
+    return answer

@@ -301,9 +301,9 @@ def round_trip(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", pa
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode, and describe both by digests."""
-    both = round_trip(docs.select(id_col, text_col), text_col)
-    ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
-    return both.select(id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(text_col, 256).alias("decoded_sha256"))
+    both = round_trip(docs.select(id_col, text_col), text_col, "__tm_ids")
+    ids = F.array_join(F.transform("__tm_ids", lambda x: x.cast("string")), ",")
+    return both.select(id_col, F.size("__tm_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(text_col, 256).alias("decoded_sha256"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,41 +1,47 @@
-"""Language-model scores from an Elias-Fano n-gram trie.
-
-Words, pairs and triples of the training documents are counted over the whole corpus
-(blocks.counted).  Each block of documents gets the counts of its own n-grams back and
-compiles them into a trie of three levels: sorted successors of each context, shifted by
-the end of the context before so that a level is one increasing sequence in Elias-Fano
-form, increasing pointers to the next level in the same form, and quantised smoothed
-probabilities and back-off weights.  The levels lie in one memory-mapped file.  A
-context's successor is found by searching its shifted word in the level's sequence.
+"""Language-model scores from an Elias-Fano n-gram trie of the training corpus.
+
+Every word gets an exact number of its own (blocks.exchange), small for frequent words.
+The distinct pairs, and then the triples, of each block of documents are sent to the shards
+that hold the trie's second and third level, dealt by a hash of context and next word, so
+that the successors of a very common context lie in many shards.  A shard adds up how often
+each n-gram stands in training documents and compiles those that do into its part of the
+trie: the distinct first words, then for each level the sorted successors of each context,
+shifted by the end of the context before so that a level is one increasing sequence in
+Elias-Fano form, increasing pointers to the next level in the same form, and quantised
+probabilities at the last.  A part is one buffer, which is written to the shared folder with
+the answers and is used as mapped views on that buffer.  Every n-gram of every document,
+held out or not, is looked up there: a context's successor is found by searching its shifted
+word in the level's sequence.
 
 Smoothing: with c counts, P1(z) = (c(z) + 0.5) / (N + 0.5 (V + 1)), the same as the base
 score; P2(z|y) = (c(yz) + a P1(z)) / (c(y) + a); P3(z|xy) = (c(xyz) + b P2(z|y)) / (c(xy) + b).
+The trie holds the first part of each sum, c(yz) / (c(y) + a) or c(xyz) / (c(xy) + b).
 Every text ends with an end token, and n-grams do not cross texts.
 
-Defined cases: null or empty text is the end token alone; a null id is held out; a word
-never seen in training gets the probability of one unseen word; without training
-documents every probability is that of one unseen word among none; rows may repeat.
+Defined cases: null or empty text is the end token alone; a text of any length is one row;
+a null id is held out; a word never seen in training gets the probability of one unseen
+word; without training documents every probability is that of one unseen word among none;
+rows may repeat, and each counts; other columns, whatever their names, are not read; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import KEYS, TOTAL, Block, blocks, collected, counted, mixed, planes, rows_of, unplanes, with_replies
+from .blocks import REPORT, SHARD_KEYS, Block, Route, blocks, exchange, first_column, mixed, numbers, rows_of, totals, with_replies, word_hashes
 from .shared import load
 
 #: Smoothing masses; the README says how they were chosen.
 PAIR_MASS, TRIPLE_MASS = 2000.0, 10.0
 STEP = 1 / 4096  # of quantised log10 values
 STRETCH = 1 << 17  # n-grams that are looked up at a time
-SPARE_BITS = 20  # of a key beyond those that tell as many keys as the corpus has words apart
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
@@ -156,140 +162,161 @@ class Level:
 
 
 def quantised(x: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-x / STEP), 0, 65535).astype(np.uint16)
+    """Negative base-10 logarithms in steps."""
+    return np.clip(np.rint(-np.log10(x) / STEP), 0, 65534).astype(np.uint16)
 
 
-class Store:
-    """Arrays in one memory-mapped file that vanishes with its last user."""
+class Buffer:
+    """Arrays one after the other in one buffer, each at a multiple of eight bytes."""
 
     def __init__(self):
-        self.file = tempfile.TemporaryFile()
-
-    def __call__(self, array: np.ndarray) -> np.ndarray:
-        if not len(array):
-            return array
-        at = self.file.seek(0, 2)
-        at += -at % 8
-        self.file.seek(at)
-        self.file.write(array.tobytes())
-        self.file.flush()
-        return np.asarray(np.memmap(self.file, array.dtype, "r", at, array.shape))
-
-
-def own_hashes(block: Block) -> np.ndarray:
-    """A hash for each word of the vocabulary, and for the end token."""
-    return mixed(np.fromiter(map(xxhash.xxh3_64_intdigest, [*block.vocabulary, b"\n"]), np.uint64, len(block.vocabulary) + 1))
-
-
-def word_keys(block: Block, is_held_out) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the block's words, and how often each stands in training documents."""
-    train = np.array([not is_held_out(i) for i in block.ids], bool)
-    own = own_hashes(block)
-    count = np.bincount(block.words[np.repeat(train, block.lengths)], minlength=len(own))
-    count[-1] = train.sum()
-    order = np.argsort(own)
-    return own[order], count[order]
+        self.parts: list[bytes] = []
+        self.size = 0
+
+    def __call__(self, array: np.ndarray) -> tuple:
+        place = (self.size, array.dtype.str, len(array))
+        raw = array.tobytes()
+        self.parts.append(raw + bytes(-len(raw) % 8))
+        self.size += len(self.parts[-1])
+        return place
+
+
+def mapped(thing, buffer: bytes):
+    """Replaces the places of arrays in a part of the trie by views on its buffer."""
+    for name, value in vars(thing).items():
+        if isinstance(value, tuple):
+            setattr(thing, name, np.frombuffer(buffer, value[1], value[2], value[0]))
+        elif isinstance(value, (EliasFano, Level)):
+            mapped(value, buffer)
+        elif isinstance(value, list):
+            for x in value:
+                mapped(x, buffer)
+    return thing
+
+
+class Part:
+    """One shard's part of the trie: n-grams as columns of words, sorted and distinct, each with a value."""
+
+    def __init__(self, columns: list[np.ndarray], value: np.ndarray):
+        store = Buffer()
+        first, node = np.unique(columns[0], return_inverse=True)
+        self.first, self.levels, contexts = EliasFano(first, store), [], len(first)
+        for k, words in enumerate(columns[1:], start=1):
+            new = np.ones(len(words), bool)
+            new[1:] = (node[1:] != node[:-1]) | (words[1:] != words[:-1])
+            self.levels.append(Level(node[new], words[new].astype(np.int64), contexts, store, **({"value": value} if k + 1 == len(columns) else {})))
+            node, contexts = np.cumsum(new) - 1, int(new.sum())
+        self.buffer = b"".join(store.parts)
+        mapped(self, self.buffer)
+
+    def values(self, columns: list[np.ndarray]) -> np.ndarray:
+        """1 + the value of each n-gram, 0 of those that are not in the trie."""
+        node = self.first.find(columns[0])
+        for level, words in zip(self.levels, columns[1:], strict=True):
+            node = level.find(node, words)
+        hit = node >= 0
+        out = np.zeros(len(node), np.uint64)
+        out[hit] = self.levels[-1].value[node[hit]].astype(np.uint64) + np.uint64(1)
+        return out
 
 
 class Grams:
-    """The distinct n-grams of a block, and where they stand."""
+    """The distinct words, pairs and triples of a block, and where they stand."""
 
-    def __init__(self, block: Block, is_held_out, bits: int = 64):
+    def __init__(self, block: Block, is_held_out):
         n_docs = len(block.lengths)
         self.size = len(block.vocabulary) + 1
-        self.own = own_hashes(block)
+        self.own = word_hashes(block, b"\n")
         self.lengths = block.lengths + 1
-        ends = np.cumsum(self.lengths)
-        self.starts = ends - self.lengths
-        seq = np.full(int(ends[-1]) if n_docs else 0, self.size - 1, np.int64)
-        inner = np.ones(len(seq), bool)
-        inner[ends - 1] = False
-        seq[inner] = block.words
-        self.seq = seq
+        self.ends = np.cumsum(self.lengths)
+        self.starts = self.ends - self.lengths
+        self.seq = np.full(int(self.ends[-1]) if n_docs else 0, self.size - 1, np.int32)
+        inner = np.ones(len(self.seq), bool)
+        inner[self.ends - 1] = False
+        self.seq[inner] = block.words
         self.held_out = np.array([is_held_out(i) for i in block.ids], bool)
-        train = np.repeat(~self.held_out, self.lengths)
-        place = np.arange(len(seq)) - np.repeat(self.starts, self.lengths)
+        self.train = np.repeat(~self.held_out, self.lengths)
+
+    def word_columns(self) -> list[np.ndarray]:
+        """Sorted hashes of the block's words, and how often each stands in training documents."""
+        self.order = np.argsort(self.own)
+        return [self.own[self.order], np.bincount(self.seq[self.train], minlength=self.size)[self.order]]
+
+    def numbered(self, number: np.ndarray, count: np.ndarray) -> None:
+        """Takes the words' numbers and training counts, in the order of word_columns()."""
+        self.number, self.c1 = np.empty(self.size, np.uint64), np.empty(self.size, np.int64)
+        self.number[self.order], self.c1[self.order] = number, count
+
+    def pairs(self) -> list[np.ndarray]:
+        """Words y, z of the distinct pairs, their training count in the block, and the corpus-wide one of y."""
+        place = np.arange(len(self.seq)) - np.repeat(self.starts, self.lengths)
         self.second, self.third = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
-        pairs, self.pair_of = np.unique(seq[self.second - 1] * self.size + seq[self.second], return_inverse=True)
-        self.pair = pairs // self.size, pairs % self.size
-        self.c2 = np.bincount(self.pair_of, train[self.second], len(pairs)).astype(np.int64)
-        at = np.zeros(len(seq), np.int64)
+        key, self.pair_of = np.unique(self.seq[self.second - 1] * np.int64(self.size) + self.seq[self.second], return_inverse=True)
+        self.pair_of = self.pair_of.astype(np.int32)
+        self.y, self.z = (key // self.size).astype(np.int32), (key % self.size).astype(np.int32)
+        n = np.bincount(self.pair_of[self.train[self.second]], minlength=len(key))
+        self.pair_order = np.lexsort((self.number[self.z], self.number[self.y]))
+        columns = [self.number[self.y], self.number[self.z], n, self.c1[self.y]]
+        return [c[self.pair_order] for c in columns]
+
+    def paired(self, count: np.ndarray, value: np.ndarray) -> None:
+        self.c2, self.value2 = np.empty(len(self.y), np.int64), np.empty(len(self.y), np.int64)
+        self.c2[self.pair_order], self.value2[self.pair_order] = count, value
+
+    def triples(self) -> list[np.ndarray]:
+        """Words x, y, z of the distinct triples, their training count in the block, and the corpus-wide one of x, y."""
+        at = np.zeros(len(self.seq), np.int32)
         at[self.second] = self.pair_of
-        triples, self.triple_of = np.unique(at[self.third - 1] * self.size + seq[self.third], return_inverse=True)
-        self.triple = triples // self.size, triples % self.size
-        self.c3 = np.bincount(self.triple_of, train[self.third], len(triples)).astype(np.int64)
-        with np.errstate(over="ignore"):
-            many = np.uint64(0x9E3779B97F4A7C15)
-            two = mixed(self.own[self.pair[0]] * many + self.own[self.pair[1]])
-            three = mixed((two[self.triple[0]] ^ np.uint64(3)) * many + self.own[self.triple[1]])
-        self.keys = np.concatenate([two, three]) & np.uint64(2**64 - 2 ** (64 - bits))
-        self.order = np.argsort(self.keys, kind="stable")
-
-    def gram_keys(self):
-        """Sorted distinct keys of pairs and triples, and how often they stand in training documents."""
-        keys = self.keys[self.order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        count = np.concatenate([self.c2, self.c3])[self.order]
-        return keys[first], np.add.reduceat(count, first) if len(first) else count
-
-    def from_words(self, counts: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.size, np.int64)
-        out[np.argsort(self.own)] = counts
-        return out
+        key, self.triple_of = np.unique(at[self.third - 1] * np.int64(self.size) + self.seq[self.third], return_inverse=True)
+        self.triple_of = self.triple_of.astype(np.int32)
+        self.xy = (key // self.size).astype(np.int32)
+        n = np.bincount(self.triple_of[self.train[self.third]], minlength=len(key))
+        columns = [self.number[self.y[self.xy]], self.number[self.z[self.xy]], self.number[key % self.size], n, self.c2[self.xy]]
+        self.triple_order = np.lexsort(columns[2::-1])
+        return [c[self.triple_order] for c in columns]
 
-    def from_grams(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out = np.zeros(len(self.keys), np.int64)
-        keys = self.keys[self.order]
-        out[self.order] = counts[np.cumsum(np.concatenate([[False], keys[1:] != keys[:-1]]))] if len(keys) else counts
-        return out[: len(self.c2)], out[len(self.c2) :]
-
-
-class Trie:
-    """Smoothed probabilities of a block's n-grams that were seen in training."""
-
-    def __init__(self, g: Grams, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, tokens: int, kinds: int):
-        store = Store()
-        p1 = (c1 + 0.5) / (tokens + 0.5 * (kinds + 1))
-        (a, b), (ab, c) = g.pair, g.triple
-        p2 = (c2 + PAIR_MASS * p1[b]) / (c1[a] + PAIR_MASS)
-        seen2, seen3 = c2 > 0, c3 > 0
-        self.words, self.back1 = store(quantised(np.log10(p1))), store(quantised(np.log10(PAIR_MASS / (c1 + PAIR_MASS))))
-        node = np.cumsum(seen2) - 1
-        back2 = np.log10(TRIPLE_MASS / (c2 + TRIPLE_MASS))
-        self.pairs = Level(a[seen2], b[seen2], g.size, store, value=quantised(np.log10(p2[seen2])), back=quantised(back2[seen2]))
-        ab3 = ab[seen3]
-        low = p2[self.suffix(g)[seen3]]
-        p3 = (c3[seen3] + TRIPLE_MASS * low) / (c2[ab3] + TRIPLE_MASS)
-        self.triples = Level(node[ab3], c[seen3], int(seen2.sum()), store, value=quantised(np.log10(p3)))
-
-    @staticmethod
-    def suffix(g: Grams) -> np.ndarray:
-        """For each triple, the number of the pair of its last two words."""
-        out = np.zeros(len(g.c3), np.int64)
-        at = np.zeros(len(g.seq), np.int64)
-        at[g.second] = g.pair_of
-        out[g.triple_of] = at[g.third]
-        return out
+    def scores(self, value3: np.ndarray, tokens: int, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(known tokens, base score, score) of each document; value3 in the order of triples()."""
+        p1 = (self.c1 + 0.5) / (tokens + 0.5 * (kinds + 1))
+        p = p1[self.seq]
+        p2 = held(self.value2) + PAIR_MASS / (self.c1[self.y] + PAIR_MASS) * p1[self.z]
+        p[self.second] = p2[self.pair_of]
+        values = np.empty(len(self.xy), np.int64)
+        values[self.triple_order] = value3
+        lower = p[self.third]
+        back = TRIPLE_MASS / (self.c2[self.xy] + TRIPLE_MASS)
+        p[self.third] = held(values)[self.triple_of] + back[self.triple_of] * lower
+        add = lambda x: np.add.reduceat(x, self.starts)  # noqa: E731  every document has its end token
+        return add((self.c1[self.seq] > 0).astype(np.int64)), add(np.log10(p1)[self.seq]), add(np.log10(p))
+
+
+def held(value: np.ndarray) -> np.ndarray:
+    """The probabilities that Part.values() stand for."""
+    return np.where(value > 0, 10.0 ** (-STEP * (value - 1.0)), 0.0)
+
+
+def pair_hash(columns: list[np.ndarray]) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed(mixed(columns[0]) * SPREAD + columns[1])
 
-    def tokens(self, g: Grams) -> np.ndarray:
-        """log10 probability of every token."""
-        (a, b), (ab, c) = g.pair, g.triple
-        one = -STEP * self.words.astype(np.float64)
-        node = self.pairs.find(a, b)
-        two = np.where(node >= 0, 0.0, -STEP * self.back1[a].astype(np.float64) + one[b])
-        hit = node >= 0
-        two[hit] = -STEP * self.pairs.value[node[hit]]
-        leaf = self.triples.find(node[ab], c)
-        context = node[ab]
-        three = two[self.suffix(g)]
-        known = context >= 0
-        three[known] += -STEP * self.pairs.back[context[known]].astype(np.float64)
-        hit = leaf >= 0
-        three[hit] = -STEP * self.triples.value[leaf[hit]].astype(np.float64)
-        out = one[g.seq]
-        out[g.second] = two[g.pair_of]
-        out[g.third] = three[g.triple_of]
-        return out
+
+def triple_hash(columns: list[np.ndarray]) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed(pair_hash(columns) * SPREAD + columns[2])
+
+
+def part_of_trie(words: int, mass: float, tell_counts: bool):
+    """An answer that compiles a shard's part of the trie and looks every n-gram up in it."""
+
+    def answer(columns, shard):
+        at, total, which = totals(columns[:words], columns[words])
+        keys = [c[at] for c in columns[:words]]
+        seen = total > 0
+        part = Part([k[seen] for k in keys], quantised(total[seen] / (columns[words + 1][at][seen] + mass)))
+        replies = [part.values(keys)[which]]
+        return [total[which], *replies] if tell_counts else replies, int(seen.sum()), int(total.sum()), part.buffer
+
+    return answer
 
 
 def score(docs: DataFrame, modulus: int = 5, remainder: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,33 +327,36 @@ def score(docs: DataFrame, modulus: int = 5, remainder: int = 1, id_col: str = "
     def is_held_out(i) -> bool:
         return i is None or zlib.crc32(str(i).encode()) % modulus == remainder
 
-    def reply(every, mine):
-        return planes(every)
-
-    bits = min(64, (2 * total).bit_length() + SPARE_BITS)
-    words = counted(table, lambda b: word_keys(b, is_held_out), reply, "lm-words", total // 4 + 1)
-    grams = counted(table, lambda b: Grams(b, is_held_out, bits).gram_keys(), reply, "lm-grams", 3 * total // 2)
-    sums = {r["block"]: r["n"] for r in words.where(F.col("block") < 0).groupBy("block").agg(F.sum("n").alias("n")).collect()}
-    kinds, tokens = sums.get(KEYS, 0), sums.get(TOTAL, 0)
+    by_word = Route(first_column, -(-(total // 4 + 1) // SHARD_KEYS))
+    by_pair = Route(pair_hash, -(-total // (2 * SHARD_KEYS)))
+    by_triple = Route(triple_hash, -(-total // SHARD_KEYS))
+
+    def with_words(row: dict) -> Grams:
+        g = Grams(Block(row), is_held_out)
+        got = by_word.returned(row["words_back"], g.word_columns())
+        g.numbered(*got)
+        return g
+
+    def with_pairs(row: dict) -> Grams:
+        g = with_words(row)
+        got = by_pair.returned(row["pairs_back"], g.pairs())
+        g.paired(*(got or np.zeros((2, 0))))
+        return g
+
+    words = exchange(table, lambda row: Grams(Block(row), is_held_out).word_columns(), by_word, numbers(by_word.number()), "lm-words")
+    sums = words.where(F.col("row") == REPORT).agg(F.sum("keys"), F.sum("total")).first()
+    kinds, tokens = (x or 0 for x in sums)
+    table_1 = with_replies(table, {"words_back": words})
+    pairs = exchange(table_1, lambda row: with_words(row).pairs(), by_pair, part_of_trie(2, PAIR_MASS, True), "lm-pairs")
+    table_2 = with_replies(table_1, {"pairs_back": pairs})
+    triples = exchange(table_2, lambda row: with_pairs(row).triples(), by_triple, part_of_trie(3, TRIPLE_MASS, False), "lm-triples")
 
     def scored(row: dict) -> pa.RecordBatch:
-        block = Block(row)
-        g = Grams(block, is_held_out, bits)
-        c1 = g.from_words(collected(row["words_back"], unplanes))
-        c2, c3 = g.from_grams(collected(row["grams_back"], unplanes))
-        base = np.log10((c1 + 0.5) / (tokens + 0.5 * (kinds + 1)))[g.seq]
-        model = Trie(g, c1, c2, c3, tokens, kinds).tokens(g)
-        add = lambda x: np.add.reduceat(x, g.starts)  # noqa: E731  every document has its end token
+        g = with_pairs(row)
+        got = by_triple.returned(row["triples_back"], g.triples())
+        known, base, model = g.scores(got[0] if got else np.zeros(0), tokens, kinds)
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array(block.ids, pa.int64()),
-                pa.array(g.held_out),
-                pa.array(g.lengths),
-                pa.array(add((c1[g.seq] > 0).astype(np.int64))),
-                pa.array(np.full(len(g.lengths), tokens, np.int64)),
-                pa.array(add(base)),
-                pa.array(add(model)),
-            ],
+            [pa.array(row["ids"], pa.int64()), pa.array(g.held_out), pa.array(g.lengths), pa.array(known), pa.array(np.full(len(known), tokens, np.int64)), pa.array(base), pa.array(model)],
             [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
@@ -334,8 +364,7 @@ def score(docs: DataFrame, modulus: int = 5, remainder: int = 1, id_col: str = "
         for row in rows_of(batches):
             yield scored(row)
 
-    both = with_replies(table, {"words_back": words.where("block >= 0"), "grams_back": grams.where("block >= 0")})
-    return both.mapInArrow(run, f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return with_replies(table_2, {"triples_back": triples}).mapInArrow(run, f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import Block, blocks, collected, counted, mixed, ngrams, planes, rows_of, unplanes, with_replies, within
+from .blocks import SHARD_KEYS, Block, Route, blocks, corpus_counts, exchange, mixed, ngrams, rows_of, with_replies, within
 from .shared import discard, load, written
 
 WORDS, PIVOT_ROUNDS = 5, 2
@@ -73,15 +73,15 @@ class Sets:
         self.rows = np.flatnonzero((lead & (self.size > 0))[self.doc])
         self.tokens = self.key[self.rows] & CUT
 
-    def keys(self):
-        return np.unique(self.tokens, return_counts=True)
+    def keys(self) -> list[np.ndarray]:
+        return list(np.unique(self.tokens, return_counts=True))
 
-    def prefixes(self, frequency: np.ndarray):
+    def prefixes(self, tokens: np.ndarray, frequency: np.ndarray):
         """(documents, tokens) that propose pairs, and how many tokens of each document recur.
 
-        frequency: of the sorted distinct tokens.
+        frequency: of tokens, the sorted distinct ones.
         """
-        recurs = frequency[np.searchsorted(np.unique(self.tokens), self.tokens)] if len(self.tokens) else frequency
+        recurs = frequency[np.searchsorted(tokens, self.tokens)] if len(self.tokens) else frequency
         doc = self.doc[self.rows]
         common = np.bincount(doc[recurs > 1], minlength=len(self.size))
         left = self.slack + 1 - (self.size - common)
@@ -106,12 +106,20 @@ def proposals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, block, node, size and common for every document; for nodes that may have links also prefix and set."""
     table = blocks(docs, id_col, text_col, lower=True)
     total = (table.agg(F.sum("n_words")).first()[0] or 0) + 1
-    seen = counted(table, lambda b: Sets(b).keys(), lambda every, mine: planes(np.minimum(every, 255)), "shingles", total)
+    route = Route(lambda columns: columns[0], -(-total // SHARD_KEYS))
+
+    def frequency(columns, shard):
+        (total,), keys, every, report = corpus_counts(columns, shard)
+        return [np.minimum(total, 255)], keys, every, report
+
+    seen = exchange(table, lambda row: Sets(Block(row)).keys(), route, frequency, "shingles")
 
     def proposed(row: dict) -> pa.RecordBatch:
         block = Block(row)
         s = Sets(block)
-        doc, token, common = s.prefixes(collected(row["seen"], unplanes).astype(np.int64))
+        keys = s.keys()
+        got = route.returned(row["seen"], keys)
+        doc, token, common = s.prefixes(keys[0], got[0].astype(np.int64) if got else np.zeros(0, np.int64))
         present = np.bincount(doc, minlength=len(s.size)) > 0
         mine = present[s.doc]
         return pa.RecordBatch.from_arrays(
@@ -123,7 +131,7 @@ def proposals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for row in rows_of(batches):
             yield proposed(row)
 
-    out = written(with_replies(table, {"seen": seen.where("block >= 0")}).mapInArrow(run, "id long, block long, node long, size long, common long, prefix array<long>, set array<long>"), "proposals")
+    out = written(with_replies(table, {"seen": seen}).mapInArrow(run, "id long, block long, node long, size long, common long, prefix array<long>, set array<long>"), "proposals")
     discard(table)
     discard(seen)
     return out
