@@ -17,18 +17,22 @@ of several orders:
 Pairs that pass are verified on the whole sets.  Only components are wanted, so a
 proposing shingle first pairs its documents with a pivot, in two rounds; documents that
 turn out to be in one component need no further pairs.  What then still lies in different
-components but shares a proposing shingle is compared in chunks, without making pairs.
+components but shares a proposing shingle is compared chunk by chunk: the three orders'
+prefixes give the candidates, and only their whole sets are compared.  A shingle of very
+many documents is joined with its pivot by a broadcast of the few such shingles.
 
 Defined cases: null or empty text has no shingles, is linked with nothing and is its own
-component; a null id never is a component's name unless all its documents have none;
-rows may repeat; an empty table gives an empty result.
+component; a text of any length is one set; a null id never is a component's name unless
+all its documents have none; rows may repeat, also with the same id, and each is a document
+of its own in components(); columns of any name pass through drop_near_duplicates; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import SHARD_KEYS, Block, Route, blocks, corpus_counts, exchange, mixed, ngrams, rows_of, with_replies, within
@@ -37,6 +41,8 @@ from .shared import discard, load, written
 WORDS, PIVOT_ROUNDS = 5, 2
 #: Documents and shingles of a chunk in the last comparison, and shingles that it looks at together.
 CHUNK_DOCS, CHUNK_SHINGLES, COLUMNS = 512, 500_000, 4096
+#: A token of more than one in so many postings is joined by a broadcast of at most so many rows.
+HOT_SHARE = 1024
 #: Bits of a shingle's hash that propose a pair; a false meeting costs a comparison.
 TOKEN_BITS = 44
 CUT = np.uint64(2**64 - 2 ** (64 - TOKEN_BITS))
@@ -137,15 +143,31 @@ def proposals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out
 
 
+def prefix(tokens: Column, last: bool = False) -> Column:
+    """The first or last size // 4 + 1 of ascending tokens."""
+    n = F.floor(F.size(tokens) / 4).cast("int") + 1
+    return F.slice(tokens, F.size(tokens) - n + 1 if last else F.lit(1), n)
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that share prefixes in both hash orders and meet the threshold."""
-    one, two = (sets.select(F.col("node").alias(k), F.col("set").alias(f"{k}_set")) for k in "ab")
-    both = pairs.select("a", "b").join(one, "a").join(two, "b")
-    first = lambda k: F.slice(f"{k}_set", F.lit(1), F.floor(F.size(f"{k}_set") / 4).cast("int") + 1)
-    last = lambda k: F.slice(f"{k}_set", F.size(f"{k}_set") - F.floor(F.size(f"{k}_set") / 4).cast("int"), F.floor(F.size(f"{k}_set") / 4).cast("int") + 1)
+    """Those of the pairs (a, b) that share prefixes in both hash orders and meet the threshold.
+
+    Only prefixes are shuffled for the first two filters; whole sets only for what passes both.
+    """
+    at = lambda k, what, name: sets.select(F.col("node").alias(k), what.alias(f"{k}_{name}"))
+    left = pairs.select("a", "b")
+    for last in (False, True):
+        left = left.join(at("a", prefix(F.col("set"), last), "prefix"), "a").join(at("b", prefix(F.col("set"), last), "prefix"), "b")
+        left = left.where(F.arrays_overlap("a_prefix", "b_prefix")).select("a", "b")
+    both = left.join(at("a", F.col("set"), "set"), "a").join(at("b", F.col("set"), "set"), "b")
     shared = F.size(F.array_intersect("a_set", "b_set"))
-    meets = 100 * shared >= 75 * (F.size("a_set") + F.size("b_set") - shared)
-    return both.where(F.arrays_overlap(first("a"), first("b"))).where(F.arrays_overlap(last("a"), last("b"))).where(meets).select("a", "b")
+    return both.where(100 * shared >= 75 * (F.size("a_set") + F.size("b_set") - shared)).select("a", "b")
+
+
+def by_token(left: DataFrame, right: DataFrame, hot: DataFrame) -> DataFrame:
+    """left joined with right, which has one row for a token; the few hot tokens of right are broadcast."""
+    few, others = right.join(F.broadcast(hot), "token", "left_semi"), right.join(F.broadcast(hot), "token", "left_anti")
+    return left.join(F.broadcast(few), "token").unionByName(left.join(F.broadcast(hot), "token", "left_anti").join(others, "token"))
 
 
 def merged(component: DataFrame, links: DataFrame) -> DataFrame:
@@ -168,53 +190,72 @@ def fits():
     return (4 * F.least("a_size", "b_size") >= 3 * F.greatest("a_size", "b_size")) & (7 * F.least("a_common", "b_common") >= 3 * (F.col("a_size") + F.col("b_size")))
 
 
-def compared(group: pa.Table) -> pa.Table:
-    """Links between two chunks of documents (left and right; one chunk is both), one for each two components."""
-    left, right = (group.filter(group.column(side)) for side in ("is_left", "is_right"))
-    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    if not left.num_rows or not right.num_rows:
-        return none
+def shared_counts(left: pa.Table, right: pa.Table, name: str) -> np.ndarray:
+    """How many tokens of the list column each two rows share."""
 
     def entries(part):
-        sets = part.column("set").combine_chunks()
-        sizes = sets.value_lengths().to_numpy()
-        return np.repeat(np.arange(len(sizes)), sizes), sets.flatten().to_numpy(), sizes.astype(np.int64)
-
-    (row_a, key_a, size_a), (row_b, key_b, size_b) = entries(left), entries(right)
-    both = np.intersect1d(key_a, key_b)
-    shared = np.zeros((len(size_a), len(size_b)), np.float32)
-    at_a, at_b = np.searchsorted(both, key_a), np.searchsorted(both, key_b)
-    in_a, in_b = (np.isin(k, both) for k in (key_a, key_b))
+        lists = part.column(name).combine_chunks()
+        return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy(), len(lists)
+
+    sides = entries(left), entries(right)
+    both = np.intersect1d(sides[0][1], sides[1][1])
+    shared = np.zeros((sides[0][2], sides[1][2]), np.float32)
+    inside = [(row[np.isin(key, both)], np.searchsorted(both, key[np.isin(key, both)]), n) for row, key, n in sides]
     for lo in range(0, len(both), COLUMNS):
         part = []
-        for row, at, inside, n in ((row_a, at_a, in_a, len(size_a)), (row_b, at_b, in_b, len(size_b))):
-            use = inside & (at >= lo) & (at < lo + COLUMNS)
+        for row, at, n in inside:
+            use = (at >= lo) & (at < lo + COLUMNS)
             part.append(np.zeros((n, min(COLUMNS, len(both) - lo)), np.float32))
             part[-1][row[use], at[use] - lo] = 1
         shared += part[0] @ part[1].T
-    shared = np.rint(shared).astype(np.int64)
-    (node_a, comp_a), (node_b, comp_b) = ((p.column("node").to_numpy(), p.column("comp").to_numpy()) for p in (left, right))
-    i, j = np.nonzero((100 * shared >= 75 * (size_a[:, None] + size_b[None, :] - shared)) & (comp_a[:, None] != comp_b[None, :]))
+    return np.rint(shared).astype(np.int64)
+
+
+def compared(group: pa.Table) -> pa.Table:
+    """Links between two chunks of documents (left and right; one chunk is both), one for each two components.
+
+    Candidates share a token of their prefixes in all three orders; whole sets are compared
+    only of documents that are in a candidate pair.
+    """
+    left, right = (group.filter(group.column(side)) for side in ("is_left", "is_right"))
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    if not left.num_rows or not right.num_rows:
+        return none
+    number = lambda part, name: part.column(name).to_numpy()
+    candidate = number(left, "comp")[:, None] != number(right, "comp")[None, :]
+    for name in ("prefix", "first", "last"):
+        if candidate.any():
+            candidate &= shared_counts(left, right, name) > 0
+    i, j = np.nonzero(candidate)
+    if not len(i):
+        return none
+    rows, i = np.unique(i, return_inverse=True)
+    cols, j = np.unique(j, return_inverse=True)
+    left, right = left.take(pa.array(rows)), right.take(pa.array(cols))
+    shared = shared_counts(left, right, "set")[i, j]
+    meets = 100 * shared >= 75 * (number(left, "size")[i] + number(right, "size")[j] - shared)
+    i, j = i[meets], j[meets]
     if not len(i):
         return none
-    first = np.unique(np.stack([comp_a[i], comp_b[j]], 1), axis=0, return_index=True)[1]
-    return pa.table({"a": node_a[i[first]], "b": node_b[j[first]]})
+    first = np.unique(np.stack([number(left, "comp")[i], number(right, "comp")[j]], 1), axis=0, return_index=True)[1]
+    return pa.table({"a": number(left, "node")[i[first]], "b": number(right, "node")[j[first]]})
 
 
-def compared_in_chunks(at: DataFrame, open_tokens: DataFrame, component: DataFrame, sets: DataFrame) -> DataFrame:
+def compared_in_chunks(at: DataFrame, open_tokens: DataFrame, component: DataFrame, sets: DataFrame, hot: DataFrame) -> DataFrame:
     """Links among what shares an open token but is in different components.
 
     Documents that open tokens connect are a family.  Those outside its largest component
     are compared with each other and with that component, chunk by chunk; a task emits at
     most one link for two components.  Only families with several components come here.
     """
-    star = at.join(open_tokens.select("token", F.col("pivot.node").alias("a")), "token").select("a", F.col("node").alias("b")).distinct()
+    star = by_token(at, open_tokens.select("token", F.col("pivot.node").alias("a")), hot).select("a", F.col("node").alias("b")).distinct()
     star = written(star, "family-links")
     members = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()
     known = component.join(members, "node")
     family = merged(known, star.where("a != b")).withColumnRenamed("comp", "family")
-    rows = known.join(family, "node").join(sets, "node")
-    rows = rows.withColumn("size", F.size("set").cast("long"))
+    tokens = at.groupBy("node").agg(F.collect_set("token").alias("prefix"))
+    rows = known.join(family, "node").join(sets, "node").join(tokens, "node")
+    rows = rows.withColumns({"size": F.size("set").cast("long"), "first": prefix(F.col("set")), "last": prefix(F.col("set"), True)})
     per_component = rows.groupBy("family", "comp").agg(F.count("*").alias("docs"), F.sum("size").alias("shingles"))
     largest = per_component.groupBy("family").agg(F.max_by("comp", F.struct("docs", "comp")).alias("main"))
     side = F.col("comp") == F.col("main")
@@ -228,16 +269,18 @@ def compared_in_chunks(at: DataFrame, open_tokens: DataFrame, component: DataFra
     as_main = meet("rest_n", lambda k: task("main", k, mine, no, yes))
     as_rest = F.concat(meet("main_n", lambda k: task("main", mine, k, yes, no)), meet("rest_n", lambda k: task("rest", F.least(mine, k), F.greatest(mine, k), mine <= k, mine >= k)))
     tasks = rows.withColumn("task", F.explode(F.when(side, as_main).otherwise(as_rest)))
-    return tasks.select("family", "task.*", "node", "comp", "set").groupBy("family", "kind", "i", "j").applyInArrow(compared, "a long, b long")
+    return tasks.select("family", "task.*", "node", "comp", "size", "prefix", "first", "last", "set").groupBy("family", "kind", "i", "j").applyInArrow(compared, "a long, b long")
 
 
 def linked(found: DataFrame) -> DataFrame:
     """node, comp for every node that may have links."""
     distinct = found.where(F.col("prefix").isNotNull()).select("node", "size", "common", F.explode("prefix").alias("token"))
     distinct = written(distinct.distinct(), "postings")  # equal sets of several blocks propose the same
-    shared = distinct.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    active = written(distinct.join(shared, "token", "left_semi"), "shared-postings")
-    discard(distinct)
+    shared = written(distinct.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "shared-tokens")
+    # tokens of more than 1 / HOT_SHARE of the postings: at most HOT_SHARE of them
+    hot = written(shared.where(F.col("n") > distinct.count() // HOT_SHARE).select("token"), "hot-tokens")
+    active = written(by_token(distinct, shared.select("token"), hot), "shared-postings")
+    discard(distinct, shared)
     owner = found.where(F.col("set").isNotNull()).groupBy("node").agg(F.min("block").alias("block"))
     owner = active.select("node").distinct().join(owner, "node")
     sets = written(found.where(F.col("set").isNotNull()).select("node", "block", "set").join(owner, ["node", "block"]).select("node", "set"), "sets")
@@ -252,7 +295,7 @@ def linked(found: DataFrame) -> DataFrame:
     for k in range(PIVOT_ROUNDS):
         at, open_tokens = tokens_between(max(0, k - 1))
         others = at.select("token", *[F.col(c).alias(f"b_{c}") for c in parts])
-        pairs = others.join(open_tokens.select("token", *[F.col(f"pivot.{c}").alias(f"a_{c}") for c in parts]), "token")
+        pairs = by_token(others, open_tokens.select("token", *[F.col(f"pivot.{c}").alias(f"a_{c}") for c in parts]), hot)
         counts = pairs.where("a_comp != b_comp").where(fits()).groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.count("*").alias("n"))
         if k == 0:  # each document with the pivot that it meets most often
             best = Window.partitionBy("b").orderBy(F.desc("n"), "a")
@@ -260,15 +303,14 @@ def linked(found: DataFrame) -> DataFrame:
         component = merged(component, written(verified(counts, sets), "links"))
     at, open_tokens = tokens_between(PIVOT_ROUNDS)
     # only documents that meet another one that fits can have a link left
-    meets = at.join(open_tokens.select("token"), "token").groupBy("token").agg(F.max("common").alias("most"))
-    at = at.join(meets, "token").where(7 * F.least("common", "most") >= 3 * F.col("size") * 1.75)
+    meets = by_token(at, open_tokens.select("token"), hot).groupBy("token").agg(F.max("common").alias("most"))
+    at = by_token(at, meets, hot).where(7 * F.least("common", "most") >= 3 * F.col("size") * 1.75)
     open_tokens = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct(*parts), "node").alias("pivot")).where("lo != hi")
     open_tokens = written(open_tokens.select("token", "pivot"), "open-tokens")
     if not open_tokens.isEmpty():
-        at = at.join(open_tokens.select("token"), "token", "left_semi")
-        component = merged(component, written(compared_in_chunks(at, open_tokens, component, sets), "links"))
-    discard(active)
-    discard(sets)
+        at = by_token(at.drop("most"), open_tokens.select("token"), hot)
+        component = merged(component, written(compared_in_chunks(at, open_tokens, component, sets, hot), "links"))
+    discard(active, sets)
     return component
 
 
