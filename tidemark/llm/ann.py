@@ -163,8 +163,8 @@ def with_replicas(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(rows), np.concatenate(lists)
 
 
-def read_lists(found: np.ndarray, d: np.ndarray, sizes: np.ndarray, ratio: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, list): the lists within the ratio of the nearest centroid, but enough to hold k vectors."""
+def read_lists(found: np.ndarray, d: np.ndarray, sizes: np.ndarray, ratio: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, list, whether it is near): the lists within the ratio of the nearest centroid; those that are near hold k vectors."""
     reached = np.isfinite(d)
     held = np.cumsum(np.where(reached, sizes[found], 0), 1)
     needed = np.hstack([np.zeros((len(found), 1)), held[:, :-1]]) < (k + 1) * REPLICAS
@@ -172,18 +172,20 @@ def read_lists(found: np.ndarray, d: np.ndarray, sizes: np.ndarray, ratio: float
     short = (held[:, -1] < (k + 1) * REPLICAS) & (sizes.sum() > held[:, -1])
     row, col = np.nonzero(use & ~short[:, None])
     lists, some = found[row, col], np.flatnonzero(short)  # too few in reach: all lists
-    return np.append(row, np.repeat(some, len(sizes))), np.append(lists, np.tile(np.arange(len(sizes)), len(some)))
+    near = np.append((reached & needed)[row, col], np.ones(len(some) * len(sizes), bool))
+    return np.append(row, np.repeat(some, len(sizes))), np.append(lists, np.tile(np.arange(len(sizes)), len(some))), near
 
 
-def scan(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, score) of the k best vectors of each query, and of all that tie with the last."""
+def scan(q: np.ndarray, x: np.ndarray, k: int, least: np.ndarray | float = -np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of the k best vectors of each query, and of all that tie with the last, if they score at least so much."""
+    floor = np.broadcast_to(least, len(q))
     rows, cols, scores = ([np.zeros(0, t)] for t in (np.int64, np.int64, np.float64))
     step = max(1, 4_000_000 // max(1, len(x)))
     for i in range(0, len(q), step):
         part = q[i : i + step]
         s = part @ x.T
-        least = np.partition(s, -min(k, s.shape[1]), 1)[:, -min(k, s.shape[1])]
-        row, col = np.nonzero(s >= (least - 1e-9 * np.maximum(np.abs(s).max(1), 1e-300))[:, None])
+        last = np.maximum(np.partition(s, -min(k, s.shape[1]), 1)[:, -min(k, s.shape[1])], floor[i : i + step])
+        row, col = np.nonzero(s >= (last - 1e-9 * np.maximum(np.abs(s).max(1), 1e-300))[:, None])
         rows.append(i + row)
         cols.append(col)
         scores.append((part[row] * x[col]).sum(1))  # the same for equal vectors, whatever stands beside them
@@ -282,11 +284,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 found, d = nearest_centroids(matrix(part.column("v")), c, graph, beam)
-                row, lists = read_lists(found, d, lengths.value, ratio, k)
+                row, lists, near = read_lists(found, d, lengths.value, ratio, k)
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), part.column("rep").take(take), part.column("v").take(take)], ["list", "rep", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), part.column("rep").take(take), part.column("v").take(take), pa.array(near)], ["list", "rep", "v", "near"])
 
-    routed = written(asked.mapInArrow(route, f"list int, rep long, v {kind}"), "routed")
+    routed = written(asked.mapInArrow(route, f"list int, rep long, v {kind}, near boolean"), "routed")
     while True:
         finer = divided(postings, routed, sizes, k, kind)
         if finer is None:
@@ -301,25 +303,35 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
 
     deal = lambda df, name, own: df.withColumn(name, F.pmod(F.xxhash64(own), planned(name)).cast("int"))
     all_of = lambda df, name: df.withColumn(name, F.explode(F.sequence(F.lit(0), planned(name) - 1)))
-    left = all_of(deal(routed, "part", "rep"), "chunk").withColumn("shelf", planned("shelf"))
     right = all_of(deal(postings, "chunk", "id"), "part").withColumn("shelf", planned("shelf"))
 
     def compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
         listed_at, asked_at = right.column("list").to_numpy(), left.column("list").to_numpy()
         all_x, all_ids = matrix(right.column("v").combine_chunks()), right.column("id").to_numpy()
-        all_q, all_reps = matrix(left.column("v").combine_chunks()), left.column("rep").to_numpy()
+        all_q, all_reps, least = matrix(left.column("v").combine_chunks()), left.column("rep").to_numpy(), left.column("least").to_numpy()
         hits = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for which in np.intersect1d(listed_at, asked_at):
             mine, asks = np.flatnonzero(listed_at == which), np.flatnonzero(asked_at == which)
-            row, col, score = scan(all_q[asks], all_x[mine], k + 1)
+            row, col, score = scan(all_q[asks], all_x[mine], k + 1, least[asks])
             hits.append((all_reps[asks[row]], all_ids[mine[col]], score))
         rep, vec, score = best_of(*map(np.concatenate, zip(*hits, strict=True)), k + 1)
         return pa.table({"rep": rep, "id": vec, "score": score})
 
     group = ("shelf", "chunk", "part")
-    best = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(compare, "rep long, id long, score double")
     order = Window.partitionBy("rep").orderBy(F.desc("score"), "id")
-    best = best.groupBy("rep", "id").agg(F.max("score").alias("score")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+
+    def hits(asks: DataFrame) -> DataFrame:
+        left = all_of(deal(asks, "part", "rep"), "chunk").withColumn("shelf", planned("shelf"))
+        return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(compare, "rep long, id long, score double")
+
+    def top(found: DataFrame) -> DataFrame:
+        return found.groupBy("rep", "id").agg(F.max("score").alias("score")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+
+    # the near lists give each query a bound, below which the others need not report anything
+    near = written(top(hits(routed.where("near").withColumn("least", F.lit(float("-inf"))))), "near")
+    bound = near.where(F.col("place") == k + 1).select("rep", F.col("score").alias("least"))
+    far = routed.where("not near").join(bound, "rep", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    best = top(near.drop("place").unionByName(hits(far)))
     mine = rows.where("asks").select(F.col("id").alias("query_id"), "v").distinct().join(asked, "v").select("query_id", "rep")
     answers = mine.join(best, "rep").where("id != query_id").groupBy("query_id", F.col("id").alias("vec_id")).agg(F.max("score").alias("score"))
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -387,21 +399,23 @@ def divided(postings: DataFrame, routed: DataFrame, sizes: np.ndarray, k: int, k
 
     def route(key, rows: pa.Table, table: pa.Table) -> pa.Table:
         which = key[0].as_py()
-        rows = rows.select(["list", "rep", "v"])
+        rows = rows.select(["list", "rep", "v", "near"])
         if not table.num_rows or not rows.num_rows:
             return rows.set_column(0, "list", pa.array(np.full(rows.num_rows, base[which], np.int32)))
         c, _, ratio = inside(table)
         graph, q = neighbour_graph(c), matrix(rows.column("v").combine_chunks())
-        row, lists = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        row, lists, close = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         for i in range(0, len(q), 256):
             near, d = nearest_centroids(q[i : i + 256], c, graph, max(BEAM, len(c) // 4))
-            a, b = read_lists(near, d, counts[base[which] : base[which] + len(c)], ratio, k)
+            a, b, c_near = read_lists(near, d, counts[base[which] : base[which] + len(c)], ratio, k)
             row.append(i + a)
             lists.append(b)
+            close.append(c_near)
         rows = rows.take(pa.array(np.concatenate(row)))
-        return rows.set_column(0, "list", pa.array((base[which] + np.concatenate(lists)).astype(np.int32)))
+        near = rows.column("near").to_numpy() & np.concatenate(close)
+        return rows.set_column(3, "near", pa.array(near)).set_column(0, "list", pa.array((base[which] + np.concatenate(lists)).astype(np.int32)))
 
-    moved = piece(routed, "rep").groupBy("list", "piece").cogroup(each.groupBy("list", "piece")).applyInArrow(route, f"list int, rep long, v {kind}")
+    moved = piece(routed, "rep").groupBy("list", "piece").cogroup(each.groupBy("list", "piece")).applyInArrow(route, f"list int, rep long, v {kind}, near boolean")
     out = written(moved, "routed")
     discard(cells)
     return finer, out, counts
