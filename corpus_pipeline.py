@@ -1,7 +1,10 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read by the next.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all
-but the last return the columns of documents.  No SQL is given for the whole, as the
+but the last return the columns of documents.  Null and repeated ids, null, empty and
+very long texts, ties, empty tables and further columns are taken as the operators'
+docstrings say: such rows go through unless they are toxic, equal or nearly equal to
+another one, or not taken by the mix.  No SQL is given for the whole, as the
 first stage is a trained classifier; tests hold the stages against brute force.
 """
 
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
-from tidemark.llm.shared import load, written
+from tidemark.llm.shared import discard, load, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs, before = load(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:  # nothing reads the stage before any more
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
