@@ -73,3 +73,39 @@ def test_stream_of_sequences_equals_batch(spark, tmp_path):
     stream, events = source(spark, tmp_path)
     out = streamed(spark, streams.sequence_match(stream), "append", "sequences")
     assert rows(out) == rows(ops.sequence_match(events))
+
+
+def batch_of(spark, folder, name, rows):
+    at = lambda m: datetime.datetime(2024, 1, 1, 10, 0) + datetime.timedelta(minutes=m)
+    data = [(i, at(m), u, kind, float(i)) for i, m, u, kind in rows]
+    spark.createDataFrame(data, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return f"{folder}/in"
+
+
+def run_stream(spark, operator, folder, into):
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+    out = operator(spark.readStream.schema(schema).parquet(f"{folder}/in"))
+    query = out.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/{into}").option("checkpointLocation", f"{folder}/{into}-state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/{into}")
+
+
+def test_counts_drop_late_rows_and_go_on_after_a_restart(spark, tmp_path):
+    """Three runs of one query from its checkpoint; a row later than the watermark is not counted."""
+    batch_of(spark, tmp_path, "one", [(1, 0, 1, "view"), (2, 30, 1, "view")])
+    run_stream(spark, streams.tumbling_counts, tmp_path, "counts")
+    batch_of(spark, tmp_path, "two", [(3, 50, 1, "view"), (4, 600, 2, "view")])
+    run_stream(spark, streams.tumbling_counts, tmp_path, "counts")
+    batch_of(spark, tmp_path, "three", [(5, 10, 1, "view"), (6, 1200, 2, "view")])
+    got = {(r.user_id, r.start.hour): r.n_events for r in run_stream(spark, streams.tumbling_counts, tmp_path, "counts").collect()}
+    assert got == {(1, 10): 3, (2, 20): 1}
+
+
+def test_sequences_match_across_restarts_and_not_late_rows(spark, tmp_path):
+    batch_of(spark, tmp_path, "one", [(1, 0, 1, "signup"), (2, 5, 1, "purchase")])
+    run_stream(spark, streams.sequence_match, tmp_path, "pairs")
+    batch_of(spark, tmp_path, "two", [(3, 200, 1, "purchase"), (4, 1500, 2, "signup"), (5, 1501, 2, "purchase")])
+    run_stream(spark, streams.sequence_match, tmp_path, "pairs")
+    batch_of(spark, tmp_path, "three", [(6, 20, 1, "purchase"), (7, 3000, 3, "signup"), (8, 3001, 3, "purchase")])
+    got = rows(run_stream(spark, streams.sequence_match, tmp_path, "pairs"))
+    assert got == sorted([(1, 1, 2), (1, 1, 3), (2, 4, 5), (3, 7, 8)], key=str)
