@@ -1,8 +1,10 @@
 import random
 
+import duckdb
+import numpy as np
 import pytest
 
-from tidemark.llm import exact_dedup, ngram_join, substring
+from tidemark.llm import blocks, exact_dedup, ngram_join, substring
 
 from . import brute
 from .conftest import table
@@ -17,9 +19,21 @@ def test_exact_equals_brute_force(spark, odd_docs):
 
 def test_exact_keeps_one_of_tied_and_null_ids(spark):
     docs = table(spark, [(7, "a"), (7, "A"), (7, "a"), (None, "a"), (None, "b"), (None, "B"), (3, None), (4, "")])
-    marked = exact_dedup.mark_duplicates(docs).collect()
-    assert sum(r.kept for r in marked) == 3 and len(marked) == 8
-    assert sorted((r.doc_id or 0, r.text) for r in exact_dedup.drop_duplicates(docs).select("doc_id", "text").collect())[1:] == [(4, ""), (7, exact_dedup.drop_duplicates(docs).where("doc_id = 7").first().text)]
+    marked = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.mark_duplicates(docs).collect()), key=str)
+    want = [(3, 4, 2, False), (4, 4, 2, True), (7, 7, 4, False), (7, 7, 4, False), (7, 7, 4, True), (None, 7, 4, False), (None, None, 2, False), (None, None, 2, True)]
+    assert marked == sorted(want, key=str)
+    kept = sorted((r.doc_id or 0, (r.text or "").lower()) for r in exact_dedup.drop_duplicates(docs).collect())
+    assert kept == [(0, "b"), (4, ""), (7, "a")]
+
+
+def test_exact_sql_agrees_on_ties(spark):
+    rows = [(7, "a"), (7, "A"), (7, "a"), (None, "a"), (None, "b"), (None, "B"), (3, None), (4, ""), (5, "x" * 100_000)] + [(k, "hot") for k in range(40)] + [(None, "Hot")] * 40
+    base = duckdb.connect()
+    base.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    base.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    theirs = base.execute(exact_dedup.SQL["op1_exact_dedup"]).fetchall()
+    mine = exact_dedup.mark_duplicates(table(spark, rows).repartition(3)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
+    assert sorted(map(str, theirs)) == sorted(str(tuple(r)) for r in mine)
 
 
 def test_heavy_digests_are_found_by_small_summaries(spark):
@@ -30,11 +44,51 @@ def test_heavy_digests_are_found_by_small_summaries(spark):
     assert kept.count() == 201 and kept.columns == docs.columns
 
 
-@pytest.mark.parametrize("phrases", [20_000, 2])
-def test_substring_equals_brute_force(spark, odd_docs, monkeypatch, phrases):
+@pytest.mark.parametrize(("phrases", "hot"), [(20_000, 5_000), (2, 5_000), (20, 2)])
+def test_substring_equals_brute_force(spark, odd_docs, monkeypatch, phrases, hot):
     monkeypatch.setattr(substring, "PHRASES", phrases)
-    got = sorted(map(tuple, substring.remove_repeats(table(spark, odd_docs)).collect()))
-    assert got == sorted(brute.repeats(odd_docs))
+    monkeypatch.setattr(substring, "HOT", hot)
+    docs = [*odd_docs, (None, odd_docs[14][1]), (None, None), odd_docs[13]]
+    got = sorted(map(tuple, substring.remove_repeats(table(spark, docs)).collect()), key=str)
+    assert got == sorted(brute.repeats(docs), key=str)
+
+
+def small_levels(monkeypatch):
+    """Blocks and shards so small that answers come by several levels."""
+    for name, value in (("FAN", 3), ("SHARD_KEYS", 100), ("BLOCK_WORDS", 300), ("MERGED_KEYS", 250)):
+        monkeypatch.setattr(blocks, name, value)
+    monkeypatch.setattr(substring, "SHARD_KEYS", 100)
+    monkeypatch.setattr(substring, "SHARD_STRETCHES", 20)
+    monkeypatch.setattr(ngram_join, "SHARD_KEYS", 100)
+
+
+def test_exchange_by_several_levels(spark, odd_docs, monkeypatch):
+    small_levels(monkeypatch)
+    assert sorted(map(tuple, substring.remove_repeats(table(spark, odd_docs)).collect())) == sorted(brute.repeats(odd_docs))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(table(spark, odd_docs)).collect()}
+    assert got == brute.components(odd_docs)
+
+
+def test_pieces_of_a_block_do_not_grow_with_the_corpus(monkeypatch):
+    monkeypatch.setattr(blocks, "FAN", 16)
+    keys = blocks.mixed(np.arange(5000, dtype=np.uint64))
+    sent = {}
+    for shards in (10, 100, 1000, 100_000):
+        route, levels = blocks.Route(blocks.first_column, shards), 1
+        sent[shards] = route.pieces(7, 0, [keys]).num_rows
+        while route.shards > blocks.FAN:
+            route, levels = route.below(), levels + 1
+        assert sent[shards] <= 16 and route.number() <= 16 and levels <= 1 + np.log(shards) / np.log(16)
+    assert sent[100_000] == sent[100] == 16
+
+
+def test_answers_come_back_in_order(monkeypatch):
+    monkeypatch.setattr(blocks, "FAN", 4)
+    keys = blocks.mixed(np.arange(1000, dtype=np.uint64))
+    route = blocks.Route(blocks.first_column, 4)
+    pieces = route.pieces(7, 0, [keys, np.arange(1000)]).to_pylist()
+    parts = [{"shard": p["shard"], "replies": blocks.pack([blocks.unpack(p["data"], p["n"])[1]])} for p in pieces]
+    assert (route.returned(parts, [keys])[0] == np.arange(1000)).all()
 
 
 def test_substring_random_repeats(spark):
@@ -67,6 +121,24 @@ def test_join_random_near_copies(spark, monkeypatch, rounds, chunk):
     assert got == brute.components(docs)
 
 
+def test_join_of_a_family_below_the_threshold(spark):
+    """Documents that share 60 % of their shingles with all others, and a few near copies among them."""
+    rng = random.Random(4)
+    shared = [f"s{k}" for k in range(90)]
+    docs = [(k, " ".join([*shared, *(f"d{k}x{j}" for j in range(60))])) for k in range(60)]
+    docs += [(100 + k, docs[k][1] + " tail") for k in range(0, 60, 9)]
+    rng.shuffle(docs)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(table(spark, docs).repartition(3)).collect()}
+    assert got == brute.components(docs)
+
+
+def test_join_of_repeated_ids(spark):
+    rows = [(5, "one two three four five six"), (5, "one two three four five six"), (5, "quite another text of some words"), (9, "ONE two three four five six")]
+    got = sorted(map(tuple, ngram_join.components(table(spark, rows)).collect()))
+    assert got == [(5, 2, 5), (5, 2, 5), (5, 2, 5), (9, 2, 5)]
+    assert ngram_join.drop_near_duplicates(table(spark, rows)).where("doc_id = 9").count() == 0
+
+
 def test_near_copies_keep_clean_rows(spark, odd_docs):
     docs = table(spark, [*odd_docs, (None, "a text without id that is long enough"), (None, None)])
     kept = ngram_join.drop_near_duplicates(docs)

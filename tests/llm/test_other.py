@@ -1,10 +1,14 @@
+import os
+import subprocess
+import sys
+
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import ann, bpe, mixing, url_filter
+from tidemark.llm import ann, bpe, mixing, shared, url_filter
 
 from . import brute
 from .conftest import table
@@ -37,6 +41,13 @@ def test_mixing_comes_near_its_targets_and_repeats_itself(spark):
         assert sum(r[1] * r[3] for r in mine) == pytest.approx(mine[0][4], rel=0.03)
 
 
+def test_mixing_of_repeated_and_null_ids(spark):
+    docs = [(None, "a b c"), (None, "a b c"), (None, "d e f g"), (3, "x y"), (3, "x y"), (3, "z " * 20_000)] * 3
+    once = sorted(((r.doc_id, r.text, r[mixing.COPIES]) for r in mixing.with_copies(table(spark, docs, sources=("a",))).collect()), key=str)
+    again = sorted(((r.doc_id, r.text, r[mixing.COPIES]) for r in mixing.with_copies(table(spark, docs, sources=("a",)).repartition(3)).collect()), key=str)
+    assert once == again and len(once) == len(docs)
+
+
 PAGES = [
     (1, "https://A.org/x", '<a href="http://good.net/a">'),
     (2, "http://a.org", ""),
@@ -75,23 +86,54 @@ def test_url_rules_and_propagation(spark):
     assert sorted(map(str, theirs)) == sorted(str(tuple(r)) for r in url_filter.judge(pages).collect())
 
 
+def test_urls_and_html_of_any_length(spark):
+    long = "a" * 200_000
+    rows = [(1, f"http://{long}.org/{long}", f'<a href="http://x.net/{long}">' * 3), (2, f"http://x.com/{long}?{long}", long), (None, None, None)]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame([(*r, "q", "q") for r in rows], "page_id long, url string, html string, rule string, path string")).collect()}
+    assert got[1].rule == "org/" and got[1].host == f"{long}.org" and got[2].path == f"/{long}" and got[None].verdict == "allow"
+
+
 def nearest(ids, x, q, k):
     s = (x[q] * x).sum(1)
     order = np.lexsort((ids, -s))
     return [int(ids[j]) for j in order if ids[j] != ids[q]][:k]
 
 
-def test_nearest_recall_and_order(spark):
-    rows = spark.read.parquet(f"{DATA}/embeddings.parquet")
-    data = rows.toPandas()
-    ids, x = data.vec_id.to_numpy(), np.stack(data.embedding).astype(float)
-    got = ann.search(rows, F.col("vec_id") % 20 == 0).toPandas()
+def recall(got, ids, x, k=20):
     hits = total = 0
     for q in np.flatnonzero(ids % 20 == 0):
         mine = got[got.query_id == ids[q]].sort_values("rank")
-        assert list(mine["rank"]) == list(range(1, 21)) and mine.score.is_monotonic_decreasing
-        hits, total = hits + len(set(mine.vec_id) & set(nearest(ids, x, q, 20))), total + 20
-    assert hits / total >= 0.9
+        assert list(mine["rank"]) == list(range(1, k + 1)) and mine.score.is_monotonic_decreasing
+        hits, total = hits + len(set(mine.vec_id) & set(nearest(ids, x, q, k))), total + k
+    return hits / total
+
+
+@pytest.mark.parametrize(("size", "lists", "long"), [(512, 2048, 4096), (32, 2048, 4096), (32, 4, 64)])
+def test_nearest_recall_and_order(spark, monkeypatch, size, lists, long):
+    """Few lists, more than 60 lists, and four long lists that are divided by finer centroids."""
+    for name, value in (("LIST", size), ("MOST_LISTS", lists), ("LONG", long), ("SHELF", 256), ("QUERIES", 50)):
+        monkeypatch.setattr(ann, name, value)
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    data = rows.toPandas()
+    got = ann.search(rows, F.col("vec_id") % 20 == 0).toPandas()
+    assert recall(got, data.vec_id.to_numpy(), np.stack(data.embedding).astype(float)) >= 0.9
+
+
+def test_lists_are_divided_and_the_graph_finds_centroids():
+    x = np.random.default_rng(1).normal(size=(4000, 8))
+    c = ann.centroids(x, 80)
+    found, d = ann.graph_search(x[:300], c, ann.neighbour_graph(c), 16)
+    true = ann.distances(x[:300], c).argmin(1)
+    assert len(c) >= 50 and (found[:, 0] == true).mean() > 0.95
+    row, of = ann.with_replicas(x, c)
+    assert set(row) == set(range(4000)) and 4000 < len(row) <= ann.REPLICAS * 4000
+    assert np.bincount(of).max() < 4000 / 8
+
+
+def test_nearest_keeps_double_precision(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.1]), (1, [1.0, 0.5]), (2, [1.0 + 1e-10, 0.5])], "vec_id long, embedding array<double>")
+    got = ann.search(rows, F.col("vec_id") == 0, k=2).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(2, (1.0 + 1e-10) + 0.1 * 0.5), (1, 1.0 + 0.1 * 0.5)]
 
 
 def test_nearest_of_odd_vectors(spark):
@@ -106,6 +148,50 @@ def test_nearest_of_odd_vectors(spark):
     assert sorted((r.query_id, r.rank, r.vec_id) for r in answers) == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (40, 1, 0), (40, 2, 1), (40, 3, 2)]
 
 
+ALONE = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+spark.sparkContext.setLogLevel("ERROR")
+import __spark_entry__
+from tidemark.llm import exact_dedup
+for name in ("op3_toxicity", "op4_bpe", "op8_lm_score"):
+    assert __spark_entry__.queries()[name](spark, {data!r}).count() > 0
+print("done")
+"""
+
+
+def test_workers_need_no_path_to_this_repository(tmp_path):
+    """Executors get classes and functions by value: nothing is imported from this repository there."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    env["PYTHONPATH"] = os.pathsep.join(p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and os.path.realpath(p) != root)
+    (tmp_path / "alone.py").write_text(ALONE.format(root=root, data=DATA))
+    out = subprocess.run([sys.executable, "alone.py"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600, check=False)
+    assert "done" in out.stdout, out.stderr[-3000:]
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+        conf = type("Conf", (), {"get": staticmethod(lambda *a: None)})()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.scratch_root(Session())
+
+
+def test_discarded_and_released_tables_are_gone(spark):
+    one, two = (shared.written(spark.range(3), "gone") for _ in range(2))
+    path = lambda df: df._tidemark_path.removeprefix("file:")
+    shared.discard(one)
+    assert not os.path.exists(path(one)) and os.path.exists(path(two))
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     kept = corpus_pipeline.STAGES[0][1](spark, docs, DATA)

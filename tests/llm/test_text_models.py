@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm import bpe, lm_score, quality, toxicity
+from tidemark.llm import blocks, bpe, lm_score, quality, toxicity
 
 from . import brute
 from .conftest import table
@@ -41,6 +41,7 @@ def test_bpe_special_tokens_and_runs(encoder, library):
 
 def test_bpe_round_trip(spark, odd_docs, library):
     docs = table(spark, odd_docs)
+    docs = docs.drop("ids")
     coded = bpe.encode(docs)
     assert {r.doc_id: r.ids for r in coded.collect()} == {i: library.encode(t or "", add_special_tokens=False).ids for i, t in odd_docs}
     assert {r.doc_id: r.text for r in bpe.decode(coded).collect()} == {i: t or "" for i, t in odd_docs}
@@ -48,6 +49,15 @@ def test_bpe_round_trip(spark, odd_docs, library):
     assert bpe.digests(docs.where("false")).count() == 0
 
 
+def test_bpe_of_repeated_rows_and_taken_names(spark):
+    docs = table(spark, [(1, "a b"), (1, "a b"), (None, "a b"), (2, None)])
+    rows = bpe.digests(docs).collect()
+    assert len(rows) == 4 and len({r.ids_sha256 for r in rows}) == 2
+    with pytest.raises(ValueError, match="ids"):
+        bpe.encode(docs, ids_col="ids")
+    assert bpe.encode(docs, ids_col="token_ids").columns == [c for c in docs.columns if c != "text"] + ["token_ids"]
+
+
 def test_decode_skips_unknown_ids_and_mends_bytes(spark, library):
     rows = spark.createDataFrame([(1, [50256, 99999, -1, 64]), (2, [222]), (3, None)], "doc_id long, ids array<int>")
     assert {r.doc_id: r.text for r in bpe.decode(rows).collect()} == {1: "<|endoftext|>" + library.decode([64]), 2: library.decode([222], skip_special_tokens=False), 3: ""}
@@ -73,6 +83,31 @@ def test_language_model_equals_brute_force(spark, odd_docs):
         assert got[i].score == pytest.approx(score, abs=2e-4 * n)
 
 
+def test_language_model_by_several_levels_and_with_repeated_rows(spark, odd_docs, monkeypatch):
+    for name, value in (("FAN", 3), ("BLOCK_WORDS", 300), ("MERGED_KEYS", 250)):
+        monkeypatch.setattr(blocks, name, value)
+    monkeypatch.setattr(lm_score, "SHARD_KEYS", 100)
+    twice = [*odd_docs, *[(i + 100, t) for i, t in odd_docs]]
+    rows = lm_score.score(table(spark, [*twice, (None, "one two"), (None, "one two")])).collect()
+    want = brute.language_model(twice, lm_score.PAIR_MASS, lm_score.TRIPLE_MASS)
+    assert len(rows) == len(twice) + 2
+    for r in rows:
+        if r.doc_id is not None:
+            n, known, total, base, score = want[r.doc_id]
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
+            assert r.base_score == pytest.approx(base, rel=1e-12) and r.score == pytest.approx(score, abs=2e-4 * n)
+
+
+def test_part_of_the_trie_holds_what_was_put_in():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 30, (400, 3)), axis=0).astype(np.uint64)
+    value = rng.integers(0, 1000, len(keys)).astype(np.uint16)
+    part = lm_score.Part(list(keys.T), value)
+    asked = np.unique(rng.integers(0, 32, (2000, 3)), axis=0).astype(np.uint64)
+    want = {tuple(k): int(v) + 1 for k, v in zip(keys.tolist(), value, strict=True)}
+    assert part.values(list(asked.T)).tolist() == [want.get(tuple(a), 0) for a in asked.tolist()]
+
+
 def test_language_model_without_training_rows(spark):
     docs = table(spark, [(None, "a b"), (None, None)])
     assert sorted(r.n_tokens for r in lm_score.score(docs).collect()) == [1, 3]
@@ -100,14 +135,27 @@ def marked(spark, texts):
     return docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+GAPPED = [(9001, "you are an i d i o t and a v e r m i n"), (9002, "such a m.o.r.o.n here, i-d-i-o-t"), (9003, "what a mor0on and an idxiot"), (9004, "idea ration closer"), (9005, None), (9006, ""), (9007, "z" * 100_000 + " idiot moron " + "y" * 1000), (9008, "z" * 100_000), (9009, "a mor on, an id iot"), (9010, "vexxxrmin idqqqqiot moruuuron")]
+
+
 def test_toxicity_on_the_held_out_fold_and_gapped_words(spark):
     docs, labels = marked(spark, 400)
-    extra = [(9001, "you are an i d i o t"), (9002, "such a m.o.r.o.n here"), (9003, "what a mor0on"), (9004, "idea ration closer"), (9005, None), (9006, ""), (9007, "z" * 100_000 + " idiot " + "y" * 1000), (9008, "z" * 100_000)]
-    scored = {r.doc_id: r for r in toxicity.score(table(spark, docs + extra), labels).collect()}
+    extra = [*GAPPED, (9003, GAPPED[2][1]), (None, GAPPED[2][1])]
+    rows = toxicity.score(table(spark, docs + extra), labels).collect()
     toxic = {r.doc_id: r.toxic for r in labels.collect()}
-    held = [r for i, r in scored.items() if r.held_out and i < 9000]
+    held = [r for r in rows if r.held_out and (r.doc_id or 9999) < 9000]
     assert held and all(r.predicted == toxic[r.doc_id] for r in held)
-    assert [scored[i].predicted for i in range(9001, 9009)] == [1, 1, 1, 0, 0, 0, 1, 0]
+    scored = {r.doc_id: r for r in rows}
+    assert [scored[i].predicted for i in range(9001, 9011)] == [1, 1, 1, 0, 0, 0, 1, 0, 1, 1]
+    assert len({r.score for r in rows if r.doc_id in (9003, None)}) == 1 and scored[None].held_out and len(rows) == len(docs) + len(extra)
+
+
+def test_toxicity_on_the_held_out_fold_of_sf01(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.score(docs, labels).where("held_out").join(labels, "doc_id").collect()
+    toxic = [r.predicted for r in rows if r.toxic]
+    assert sum(toxic) >= 0.75 * len(toxic)
+    assert sum(r.predicted for r in rows if not r.toxic) <= 0.005 * len(rows)
 
 
 def test_toxicity_without_examples(spark):
@@ -118,10 +166,23 @@ def test_toxicity_without_examples(spark):
     assert kept.count() == 12 and kept.columns == table(spark, docs).columns
 
 
-def test_string_kernel_counts_common_subsequences():
-    a, b = toxicity.padded(["cat", "cart", "dog", ""]), toxicity.padded(["cat", "cat", "cat", "cat"])
-    d = toxicity.DECAY
-    assert toxicity.kernel(a, b) == pytest.approx([d**6, d**7, 0, 0])
+def kernel(a, b):
+    """The gap-weighted subsequence kernel by its definition."""
+    from itertools import combinations
+
+    spans = lambda s: [("".join(s[i] for i in at), toxicity.DECAY ** (at[-1] - at[0] + 1)) for at in combinations(range(len(s)), toxicity.ORDER)]
+    return sum(u * v for x, u in spans(a) for y, v in spans(b) if x == y)
+
+
+def test_landmark_features_are_the_string_kernel_and_compile_exactly():
+    marks = toxicity.Landmarks(["<cat>", "<dot>", "<catalogue>"])
+    strings = ["<cat>", "<cxaxt>", "<caaat>", "<scatter>", "<zzz>", "<dxxxxot>", ""]
+    got = marks.features(strings) @ np.linalg.inv(marks.whiten)
+    for i, s in enumerate(strings):
+        assert got[i] == pytest.approx([kernel(s, m) / kernel(m, m) ** 0.5 for m in ("<cat>", "<dot>", "<catalogue>")], abs=1e-5)
+    weights = np.array([0.3, -1.0, 2.0])
+    assert marks.space.total(strings, marks.compiled(weights)) == pytest.approx(marks.features(strings) @ weights, abs=1e-4)
+    assert got[1][0] > 0 and got[5][1] > 0  # nothing is cut off, however wide the gap
 
 
 def test_quality_on_the_held_out_fold(spark):
@@ -134,6 +195,42 @@ def test_quality_on_the_held_out_fold(spark):
     assert scored.count() == docs.count()
 
 
+def plain_statistics(text):
+    """The statistics of quality.statistics by plain Python."""
+    import unicodedata
+
+    text = text or ""
+    kind = [unicodedata.category(c) for c in text]
+    words, lines, parts = brute.words(text), text.split("\n"), text.split(" ")
+    n = max(len(text), 1)
+    marks = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    doubled = k = 0
+    while k + 1 < len(text):
+        hit = text[k] in marks and text[k] == text[k + 1]
+        doubled, k = doubled + hit, k + 1 + hit
+    return {
+        "chars": len(text), "words": len(words), "upper": kind.count("Lu") / n,
+        "digits": sum(c[0] == "N" for c in kind) / n, "doubled_marks": doubled / n, "bars": sum(c in "|<>{}=\\" for c in text) / n,
+        "lines": len(lines), "distinct_lines": len(set(lines)) / len(lines), "distinct_words": len(set(parts)) / len(parts), "word_length": len(text) / max(len(words), 1),
+    }
+
+
+def test_quality_rules_equal_brute_force(spark, odd_docs):
+    """Statistics, rules from grown trees and the compiled expression against plain Python."""
+    docs = table(spark, [*odd_docs, odd_docs[3], (None, "A || b!! 12")])
+    columns = quality.statistics(docs.text)
+    rows = docs.select("doc_id", "text", *[c.alias(k) for k, c in columns.items()]).collect()
+    for r in rows:
+        for k, v in plain_statistics(r.text).items():
+            assert r[k] == pytest.approx(v, rel=1e-12), (r.doc_id, k)
+    labelled = docs.select(*[c.alias(k) for k, c in columns.items()], (docs.doc_id % 2).cast("double").alias("label")).where("label in (0, 1)")
+    model = quality.fit(labelled, list(columns))
+    scored = docs.select("text", *[c.alias(k) for k, c in columns.items()]).select("*", model.score().alias("s")).collect()
+    for r in scored:
+        total = model.intercept + sum(w for w, rule in model.weighted if all(r[k] <= at if op == "<=" else r[k] > at for k, op, at in rule))
+        assert r.s == pytest.approx(1 / (1 + np.exp(-total)), rel=1e-12)
+
+
 def test_quality_of_odd_texts(spark, odd_docs):
     docs, labels = table(spark, [*odd_docs, (None, "x")]), spark.createDataFrame([(1, 1, None), (1, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     got = quality.score(docs, labels, 4, 2).collect()
