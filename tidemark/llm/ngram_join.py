@@ -164,8 +164,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * shared >= 75 * (F.size("a_set") + F.size("b_set") - shared)).select("a", "b")
 
 
-def by_token(left: DataFrame, right: DataFrame, hot: DataFrame) -> DataFrame:
-    """left joined with right, which has one row for a token; the few hot tokens of right are broadcast."""
+def by_token(left: DataFrame, right: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """left joined with right, which has one row for a token; the few hot tokens of right, if any, are broadcast."""
+    if hot is None:
+        return left.join(right, "token")
     few, others = right.join(F.broadcast(hot), "token", "left_semi"), right.join(F.broadcast(hot), "token", "left_anti")
     return left.join(F.broadcast(few), "token").unionByName(left.join(F.broadcast(hot), "token", "left_anti").join(others, "token"))
 
@@ -241,7 +243,7 @@ def compared(group: pa.Table) -> pa.Table:
     return pa.table({"a": number(left, "node")[i[first]], "b": number(right, "node")[j[first]]})
 
 
-def compared_in_chunks(at: DataFrame, open_tokens: DataFrame, component: DataFrame, sets: DataFrame, hot: DataFrame) -> DataFrame:
+def compared_in_chunks(at: DataFrame, open_tokens: DataFrame, component: DataFrame, sets: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Links among what shares an open token but is in different components.
 
     Documents that open tokens connect are a family.  Those outside its largest component
@@ -279,6 +281,8 @@ def linked(found: DataFrame) -> DataFrame:
     shared = written(distinct.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "shared-tokens")
     # tokens of more than 1 / HOT_SHARE of the postings: at most HOT_SHARE of them
     hot = written(shared.where(F.col("n") > distinct.count() // HOT_SHARE).select("token"), "hot-tokens")
+    if hot.isEmpty():
+        hot = None
     active = written(by_token(distinct, shared.select("token"), hot), "shared-postings")
     discard(distinct, shared)
     owner = found.where(F.col("set").isNotNull()).groupBy("node").agg(F.min("block").alias("block"))
