@@ -314,14 +314,28 @@ def with_replies(table: DataFrame, replies: dict[str, DataFrame], row: str = "bl
     """The blocks, each with its answers as arrays of (shard, replies), one column for each name."""
     out = table
     for name, df in replies.items():
-        mine = df.where(F.col("row") != REPORT).groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("shard", "replies")).alias(name))
+        mine = df.where(F.col("row") != REPORT).select("row", "shard", "replies").groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("shard", "replies")).alias(name))
         out = out.join(mine, row, "left")
     return out
 
 
+def joined(keys: list[np.ndarray]) -> list[np.ndarray]:
+    """The same keys, in the same order, in fewer columns where the bits of two fit into one."""
+    out = []
+    for k in keys:
+        k = k.astype(np.uint64)
+        width = int(k.max()).bit_length() if len(k) else 0
+        if out and int(out[-1].max() if len(k) else 0).bit_length() + width <= 64 and width < 64:
+            out[-1] = (out[-1] << np.uint64(width)) | k
+        else:
+            out.append(k)
+    return out
+
+
 def totals(keys: list[np.ndarray], count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place of one entry of each distinct key in order of keys, its total count, each entry's key number)."""
-    order = np.lexsort(keys[::-1])
+    keys = joined(keys)
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
     new = np.zeros(len(order), bool)
     new[:1] = True
     for k in keys:

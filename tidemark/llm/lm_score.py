@@ -8,8 +8,8 @@ each n-gram stands in training documents and compiles those that do into its par
 trie: the distinct first words, then for each level the sorted successors of each context,
 shifted by the end of the context before so that a level is one increasing sequence in
 Elias-Fano form, increasing pointers to the next level in the same form, and quantised
-probabilities at the last.  A part is one buffer, which is written to the shared folder with
-the answers and is used as mapped views on that buffer.  Every n-gram of every document,
+probabilities at the last.  A part is one buffer and is used as mapped views on it; it can
+be kept in the shared folder.  Every n-gram of every document,
 held out or not, is looked up there: a context's successor is found by searching its shifted
 word in the level's sequence.
 
@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import REPORT, SHARD_KEYS, Block, Route, blocks, exchange, first_column, mixed, numbers, rows_of, totals, with_replies, word_hashes
-from .shared import load
+from .blocks import REPORT, SHARD_KEYS, Block, Route, blocks, exchange, first_column, mixed, numbers, pack, planes, rows_of, totals, unpack, unplanes, with_replies, word_hashes
+from .shared import discard, load, written
 
 #: Smoothing masses; the README says how they were chosen.
 PAIR_MASS, TRIPLE_MASS = 2000.0, 10.0
@@ -50,9 +50,12 @@ def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
     if width:
         at = np.arange(len(values), dtype=np.int64) * width
         shift = (at & 63).astype(np.uint64)
-        np.bitwise_or.at(out, at >> 6, values << shift)
-        spill = (shift + np.uint64(width)) > 64
-        np.bitwise_or.at(out, (at[spill] >> 6) + 1, values[spill] >> (np.uint64(64) - shift[spill]))
+        word = at >> 6
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else word
+        if len(first):
+            out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
+        spill = (shift + np.uint64(width)) > 64  # at most one value of a word
+        out[word[spill] + 1] |= values[spill] >> (np.uint64(64) - shift[spill])
     return out
 
 
@@ -199,8 +202,10 @@ class Part:
 
     def __init__(self, columns: list[np.ndarray], value: np.ndarray):
         store = Buffer()
-        first, node = np.unique(columns[0], return_inverse=True)
-        self.first, self.levels, contexts = EliasFano(first, store), [], len(first)
+        new = np.ones(len(value), bool)
+        new[1:] = columns[0][1:] != columns[0][:-1]
+        node = np.cumsum(new) - 1
+        self.first, self.levels, contexts = EliasFano(columns[0][new], store), [], int(new.sum())
         for k, words in enumerate(columns[1:], start=1):
             new = np.ones(len(words), bool)
             new[1:] = (node[1:] != node[:-1]) | (words[1:] != words[:-1])
@@ -220,22 +225,40 @@ class Part:
         return out
 
 
+#: Blocks whose words have numbers: the sequence of words with end tokens, and number and training count of each word.
+CODED = "block long, ids array<long>, lengths binary, seq binary, size long, words binary"
+
+
 class Grams:
     """The distinct words, pairs and triples of a block, and where they stand."""
 
-    def __init__(self, block: Block, is_held_out):
-        n_docs = len(block.lengths)
-        self.size = len(block.vocabulary) + 1
-        self.own = word_hashes(block, b"\n")
-        self.lengths = block.lengths + 1
-        self.ends = np.cumsum(self.lengths)
-        self.starts = self.ends - self.lengths
-        self.seq = np.full(int(self.ends[-1]) if n_docs else 0, self.size - 1, np.int32)
-        inner = np.ones(len(self.seq), bool)
-        inner[self.ends - 1] = False
-        self.seq[inner] = block.words
-        self.held_out = np.array([is_held_out(i) for i in block.ids], bool)
-        self.train = np.repeat(~self.held_out, self.lengths)
+    def __init__(self, ids: list, lengths: np.ndarray, seq: np.ndarray, size: int, is_held_out):
+        self.ids, self.lengths, self.seq, self.size = ids, lengths, seq, size
+        self.starts = np.cumsum(lengths) - lengths
+        self.held_out = np.array([is_held_out(i) for i in ids], bool)
+        self.train = np.repeat(~self.held_out, lengths)
+
+    @classmethod
+    def of_block(cls, block: Block, is_held_out) -> Grams:
+        size, lengths = len(block.vocabulary) + 1, block.lengths + 1
+        seq = np.full(int(lengths.sum()), size - 1, np.int32)
+        inner = np.ones(len(seq), bool)
+        inner[np.cumsum(lengths) - 1] = False
+        seq[inner] = block.words
+        out = cls(block.ids, lengths, seq, size, is_held_out)
+        out.own = word_hashes(block, b"\n")
+        return out
+
+    @classmethod
+    def of_row(cls, row: dict, is_held_out) -> Grams:
+        lengths = np.frombuffer(row["lengths"], np.uint32).astype(np.int64)
+        out = cls(row["ids"], lengths, unplanes(row["seq"], int(lengths.sum())).astype(np.int32), row["size"], is_held_out)
+        out.number, c1 = unpack(row["words"], out.size)
+        out.c1 = c1.astype(np.int64)
+        return out
+
+    def row(self, number: int) -> dict:
+        return {"block": number, "ids": self.ids, "lengths": self.lengths.astype(np.uint32).tobytes(), "seq": planes(self.seq), "size": self.size, "words": pack([self.number, self.c1])}
 
     def word_columns(self) -> list[np.ndarray]:
         """Sorted hashes of the block's words, and how often each stands in training documents."""
@@ -243,9 +266,12 @@ class Grams:
         return [self.own[self.order], np.bincount(self.seq[self.train], minlength=self.size)[self.order]]
 
     def numbered(self, number: np.ndarray, count: np.ndarray) -> None:
-        """Takes the words' numbers and training counts, in the order of word_columns()."""
-        self.number, self.c1 = np.empty(self.size, np.uint64), np.empty(self.size, np.int64)
-        self.number[self.order], self.c1[self.order] = number, count
+        """Takes the words' numbers and training counts, in the order of word_columns(); words stand in the order of their numbers from now on."""
+        by_number = np.argsort(number)
+        rank = np.empty(self.size, np.int32)
+        rank[self.order[by_number]] = np.arange(self.size, dtype=np.int32)
+        self.seq = rank[self.seq]
+        self.number, self.c1 = number[by_number], count[by_number].astype(np.int64)
 
     def pairs(self) -> list[np.ndarray]:
         """Words y, z of the distinct pairs, their training count in the block, and the corpus-wide one of y."""
@@ -255,13 +281,10 @@ class Grams:
         self.pair_of = self.pair_of.astype(np.int32)
         self.y, self.z = (key // self.size).astype(np.int32), (key % self.size).astype(np.int32)
         n = np.bincount(self.pair_of[self.train[self.second]], minlength=len(key))
-        self.pair_order = np.lexsort((self.number[self.z], self.number[self.y]))
-        columns = [self.number[self.y], self.number[self.z], n, self.c1[self.y]]
-        return [c[self.pair_order] for c in columns]
+        return [self.number[self.y], self.number[self.z], n, self.c1[self.y]]
 
     def paired(self, count: np.ndarray, value: np.ndarray) -> None:
-        self.c2, self.value2 = np.empty(len(self.y), np.int64), np.empty(len(self.y), np.int64)
-        self.c2[self.pair_order], self.value2[self.pair_order] = count, value
+        self.c2, self.value2 = count.astype(np.int64), value.astype(np.int64)
 
     def triples(self) -> list[np.ndarray]:
         """Words x, y, z of the distinct triples, their training count in the block, and the corpus-wide one of x, y."""
@@ -271,9 +294,7 @@ class Grams:
         self.triple_of = self.triple_of.astype(np.int32)
         self.xy = (key // self.size).astype(np.int32)
         n = np.bincount(self.triple_of[self.train[self.third]], minlength=len(key))
-        columns = [self.number[self.y[self.xy]], self.number[self.z[self.xy]], self.number[key % self.size], n, self.c2[self.xy]]
-        self.triple_order = np.lexsort(columns[2::-1])
-        return [c[self.triple_order] for c in columns]
+        return [self.number[self.y[self.xy]], self.number[self.z[self.xy]], self.number[key % self.size], n, self.c2[self.xy]]
 
     def scores(self, value3: np.ndarray, tokens: int, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known tokens, base score, score) of each document; value3 in the order of triples()."""
@@ -281,11 +302,9 @@ class Grams:
         p = p1[self.seq]
         p2 = held(self.value2) + PAIR_MASS / (self.c1[self.y] + PAIR_MASS) * p1[self.z]
         p[self.second] = p2[self.pair_of]
-        values = np.empty(len(self.xy), np.int64)
-        values[self.triple_order] = value3
         lower = p[self.third]
         back = TRIPLE_MASS / (self.c2[self.xy] + TRIPLE_MASS)
-        p[self.third] = held(values)[self.triple_of] + back[self.triple_of] * lower
+        p[self.third] = held(value3.astype(np.int64))[self.triple_of] + back[self.triple_of] * lower
         add = lambda x: np.add.reduceat(x, self.starts)  # noqa: E731  every document has its end token
         return add((self.c1[self.seq] > 0).astype(np.int64)), add(np.log10(p1)[self.seq]), add(np.log10(p))
 
@@ -305,8 +324,8 @@ def triple_hash(columns: list[np.ndarray]) -> np.ndarray:
         return mixed(pair_hash(columns) * SPREAD + columns[2])
 
 
-def part_of_trie(words: int, mass: float, tell_counts: bool):
-    """An answer that compiles a shard's part of the trie and looks every n-gram up in it."""
+def part_of_trie(words: int, mass: float, tell_counts: bool, keep: bool):
+    """An answer that compiles a shard's part of the trie and looks every n-gram up in it; keep: also report the part."""
 
     def answer(columns, shard):
         at, total, which = totals(columns[:words], columns[words])
@@ -314,13 +333,17 @@ def part_of_trie(words: int, mass: float, tell_counts: bool):
         seen = total > 0
         part = Part([k[seen] for k in keys], quantised(total[seen] / (columns[words + 1][at][seen] + mass)))
         replies = [part.values(keys)[which]]
-        return [total[which], *replies] if tell_counts else replies, int(seen.sum()), int(total.sum()), part.buffer
+        return [total[which], *replies] if tell_counts else replies, int(seen.sum()), int(total.sum()), part.buffer if keep else None
 
     return answer
 
 
-def score(docs: DataFrame, modulus: int = 5, remainder: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document with its base score and its score under the trie."""
+def score(docs: DataFrame, modulus: int = 5, remainder: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_trie: bool = False) -> DataFrame:
+    """One row for each document with its base score and its score under the trie.
+
+    keep_trie: leave the tables "lm-pairs" and "lm-triples", whose REPORT rows are the parts
+    of the trie, in the shared folder; they take more than twice the room of the texts.
+    """
     table = blocks(docs, id_col, text_col, lower=True)
     total = (table.agg(F.sum("n_words")).first()[0] or 0) + 1
 
@@ -331,25 +354,28 @@ def score(docs: DataFrame, modulus: int = 5, remainder: int = 1, id_col: str = "
     by_pair = Route(pair_hash, -(-total // (2 * SHARD_KEYS)))
     by_triple = Route(triple_hash, -(-total // SHARD_KEYS))
 
-    def with_words(row: dict) -> Grams:
-        g = Grams(Block(row), is_held_out)
-        got = by_word.returned(row["words_back"], g.word_columns())
-        g.numbered(*got)
-        return g
+    def coded(batches):
+        schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("seq", pa.binary()), ("size", pa.int64()), ("words", pa.binary())])
+        for row in rows_of(batches):
+            g = Grams.of_block(Block(row), is_held_out)
+            g.numbered(*by_word.returned(row["words_back"], g.word_columns()))
+            yield pa.RecordBatch.from_pydict({k: [v] for k, v in g.row(row["block"]).items()}, schema)
 
     def with_pairs(row: dict) -> Grams:
-        g = with_words(row)
+        g = Grams.of_row(row, is_held_out)
         got = by_pair.returned(row["pairs_back"], g.pairs())
         g.paired(*(got or np.zeros((2, 0))))
         return g
 
-    words = exchange(table, lambda row: Grams(Block(row), is_held_out).word_columns(), by_word, numbers(by_word.number()), "lm-words")
+    words = exchange(table, lambda row: Grams.of_block(Block(row), is_held_out).word_columns(), by_word, numbers(by_word.number()), "lm-words")
     sums = words.where(F.col("row") == REPORT).agg(F.sum("keys"), F.sum("total")).first()
     kinds, tokens = (x or 0 for x in sums)
-    table_1 = with_replies(table, {"words_back": words})
-    pairs = exchange(table_1, lambda row: with_words(row).pairs(), by_pair, part_of_trie(2, PAIR_MASS, True), "lm-pairs")
-    table_2 = with_replies(table_1, {"pairs_back": pairs})
-    triples = exchange(table_2, lambda row: with_pairs(row).triples(), by_triple, part_of_trie(3, TRIPLE_MASS, False), "lm-triples")
+    table_1 = written(with_replies(table, {"words_back": words}).mapInArrow(coded, CODED), "lm-blocks")
+    discard(table, words)
+    pairs = exchange(table_1, lambda row: Grams.of_row(row, is_held_out).pairs(), by_pair, part_of_trie(2, PAIR_MASS, True, keep_trie), "lm-pairs")
+    table_2 = written(with_replies(table_1, {"pairs_back": pairs}), "lm-blocks")
+    discard(table_1, *([] if keep_trie else [pairs]))
+    triples = exchange(table_2, lambda row: with_pairs(row).triples(), by_triple, part_of_trie(3, TRIPLE_MASS, False, keep_trie), "lm-triples")
 
     def scored(row: dict) -> pa.RecordBatch:
         g = with_pairs(row)
