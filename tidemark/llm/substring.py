@@ -34,15 +34,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import REPORT, SHARD_KEYS, Block, Route, blocks, corpus_counts, exchange, first_column, mixed, ngrams, numbers, rows_of, totals, with_replies, within, word_hashes
-from .shared import load
+from .shared import discard, load, written
 
-WINDOW, PHRASES, HOT, SHARD_STRETCHES = 35, 20_000, 50_000, 50_000
+WINDOW, PHRASES, HOT, SHARD_STRETCHES = 35, 20_000, 5_000, 50_000
 
 
 def anchor_words(n: int) -> int:
     return n // 2 + 1
 
 
+def word_columns(block: Block) -> list[np.ndarray]:
+    """Sorted hashes of the words, and a count of each."""
+    own = word_hashes(block)
+    order = np.argsort(own)
+    return [own[order], np.bincount(block.words, minlength=len(own))[order]]
+
+
 class Stretches:
     """The windows of a block in stretches: those next to each other that have one anchor."""
 
@@ -66,17 +73,12 @@ class Stretches:
         distinct, self.anchor_of, count = np.unique(self.key, return_inverse=True, return_counts=True)
         return [distinct, count]
 
-    def words(self) -> list[np.ndarray]:
-        """Sorted hashes of the words, and a count of each."""
-        own = word_hashes(self.block)
-        self.order = np.argsort(own)
-        return [own[self.order], np.bincount(self.block.words, minlength=len(own))[self.order]]
-
     def requests(self, times: np.ndarray, number: np.ndarray) -> list[np.ndarray]:
         """Key, windows, copies and words of the distinct stretches whose anchors recur.
 
-        times: of the anchors; number: of the words, both in the order of the columns above.
+        times: of the anchors, in the order of anchors(); number: of the words, in that of word_columns().
         """
+        number = number[np.argsort(np.argsort(word_hashes(self.block)))] + np.uint64(1)
         each = times[self.anchor_of] if len(self.key) else np.zeros(0, np.int64)
         whole, apart = np.flatnonzero((each > 1) & (each <= HOT)), np.flatnonzero(each > HOT)
         long = self.last[apart] - self.first[apart] + 1
@@ -85,11 +87,9 @@ class Stretches:
         key = np.append(self.key[whole], mixed(self.windows[single]))
         place, copies, self.of = totals([key, self.windows[first], self.windows[last]], np.ones(len(first), np.int64))
         self.sent = first
-        of_word = np.empty(len(number), np.uint64)
-        of_word[self.order] = number + np.uint64(1)
         start, length = self.at[first[place]], last[place] - first[place] + self.n
         inside = np.arange(self.wide) < length[:, None]
-        words = np.where(inside, of_word[self.block.words[np.minimum(start[:, None] + np.arange(self.wide), len(self.block.words) - 1)]] if len(start) else 0, 0)
+        words = np.where(inside, number[self.block.words[np.minimum(start[:, None] + np.arange(self.wide), len(self.block.words) - 1)]] if len(start) else 0, 0)
         return [key[place], length - self.n + 1, copies, words.reshape(-1, self.wide)]
 
     def covered(self, found: np.ndarray) -> np.ndarray:
@@ -189,17 +189,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_anchor = Route(first_column, -(-(total // (n // 4 + 1) + 1) // SHARD_KEYS))
     anchors = exchange(table, lambda row: Stretches(Block(row), n).anchors(), by_anchor, recurring, "anchors")
     places = anchors.where(F.col("row") == REPORT).agg(F.sum("total")).first()[0] or 0
-    words = exchange(table, lambda row: Stretches(Block(row), n).words(), by_word, numbers(by_word.number()), "word-numbers")
+    words = exchange(table, lambda row: word_columns(Block(row)), by_word, numbers(by_word.number()), "word-numbers")
     by_stretch = Route(first_column, -(-(places + 1) // SHARD_STRETCHES))
-    table = with_replies(table, {"times": anchors, "numbers": words})
+    both = written(with_replies(table, {"times": anchors, "numbers": words}), "anchored-blocks")
+    discard(table, anchors, words)
 
     def asked(row: dict) -> tuple[Stretches, list[np.ndarray]]:
         s = Stretches(Block(row), n)
         times = by_anchor.returned(row["times"], s.anchors())
-        number = by_word.returned(row["numbers"], s.words())
+        number = by_word.returned(row["numbers"], word_columns(s.block))
         return s, s.requests(times[0].astype(np.int64) if times else np.zeros(0, np.int64), number[0] if number else np.zeros(0, np.uint64))
 
-    found = exchange(table, lambda row: asked(row)[1], by_stretch, find(n), "located")
+    found = exchange(both, lambda row: asked(row)[1], by_stretch, find(n), "located")
 
     def clean(batches):
         for row in rows_of(batches):
@@ -207,7 +208,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             got = by_stretch.returned(row["found"], columns)
             yield from kept(s.block, ~s.covered(got[0] if got else np.zeros(0, np.uint64)), id_col)
 
-    return with_replies(table, {"found": found}).mapInArrow(clean, f"{id_col} long, n_words long, n_removed long, kept_text string")
+    return with_replies(both, {"found": found}).mapInArrow(clean, f"{id_col} long, n_words long, n_removed long, kept_text string")
 
 
 def kept(block: Block, keep: np.ndarray, id_col: str):
