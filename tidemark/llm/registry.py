@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "substring", "toxicity", "bpe", "mixing", "quality", "url_filter", "lm_score", "ann", "ngram_join")
+MODULES = ("exact_dedup", "substring", "toxicity", "bpe", "mixing", "quality", "url_filter", "lm_score", "ann", "ngram_join", "filter_audit", "language_id", "prefix_trie")
 
 
 def queries() -> dict:

@@ -40,9 +40,11 @@ _lock, _writing, _before = threading.Lock(), 0, {}
 _kept: dict[str, SparkSession] = {}
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back, which cuts its lineage.
 
+    by: the last column, by which the table is divided into folders.
+
     What comes after reads the table, so the shuffle files behind it are not kept.  The
     setting for that is the session's; it is put back when the last of the writes that
     run at the same time has ended.
@@ -56,7 +58,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
         _writing += 1
         spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=by)
     finally:
         with _lock:
             _writing -= 1
