@@ -10,10 +10,12 @@ Refinement starts with one class for each text length and splits the classes by
 one block of the text after the other, blocks growing ``GROWTH`` times each.  Classes of one
 row are dropped after each split, so a row whose text is not repeated soon plays no part.
 The hashes are taken while the statistics are, so the splits shuffle rows of a few numbers.
-Only texts that survive all splits are read again and compared in full: they are grouped by
-class and by the text itself, copies being added up before the shuffle.  A class of one
-text marks its rows by its smallest id; if different texts ever meet in a class, its rows
-are marked text by text.
+Only texts that survive all splits are compared in full.  Which they are is told to the second
+reading by a bitmap of ``MEMBERS`` bits (8 MiB, whatever the table), one bit for each class;
+the few other texts that its bits let through are compared as well and found to be alone.
+Texts are grouped by class and by the text itself, copies being added up before the shuffle.
+A class of one text marks its rows by its smallest id; if different texts ever meet in a
+class, its rows are marked text by text.
 
 Masks are then counted by part, and what every order of the filters keeps, removes and loses
 at every step follows from these counts, at most 128 for a part.  A removal is credited
@@ -39,6 +41,8 @@ FILTERS = "ABCDE"
 #: Code points of the first block of a text, how many times longer each next one is, and how many there are: more than a string can fill.
 FIRST_BLOCK, GROWTH, BLOCKS = 256, 16, 7
 COPY = 1 << FILTERS.index("E")
+#: Bits of the map of classes that hold several rows, and bits of one of its rows (as bitmap_construct_agg makes them).
+MEMBERS, ROW = 1 << 26, 1 << 15
 
 
 def block_starts() -> list[int]:
@@ -83,6 +87,17 @@ def repeated(rows: DataFrame) -> DataFrame:
     return out
 
 
+def likely(rows: DataFrame, classes: DataFrame, cls: list[str]) -> DataFrame:
+    """The rows of these classes, and few others, without a shuffle of rows."""
+    place = F.pmod(F.xxhash64(*cls), F.lit(MEMBERS))
+    bit = F.pmod("place", F.lit(ROW)).cast("int")
+    bits = classes.select(place.alias("place")).groupBy(F.floor(F.col("place") / ROW).alias("map_row")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    found = rows.withColumn("place", place).join(F.broadcast(bits), F.floor(F.col("place") / ROW) == F.col("map_row"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.floor(byte / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))).cast("int") % 2 == 1
+    return found.where(is_set).select(rows.columns)
+
+
 def masks(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """part, mask, good, toxic for every row; bit k of the mask is the filter FILTERS[k]."""
     cls = ["n_chars", "hashes"]
@@ -91,7 +106,7 @@ def masks(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     whole = whole.withColumns({"n_chars": F.length("t"), "hashes": F.array(*block_hashes(F.col("t"))), "mask": sum(fails, F.lit(0)).cast("int")})
     rows = written(whole.drop("t"), "audit-rows")
     classes = repeated(rows)
-    texts = whole.join(classes, cls, "left_semi").groupBy(*cls, "t").agg(F.min("id").alias("least"))
+    texts = likely(whole.select("id", "t", *cls), classes, cls).groupBy(*cls, "t").agg(F.min("id").alias("least"))
     least = written(texts.groupBy(*cls).agg(F.min("least").alias("least"), F.count("*").alias("n_texts")), "audit-least")
     marked = rows.join(least.where("n_texts = 1"), cls, "left").select("id", "part", "mask", "least")
     several = least.where("n_texts > 1").select(cls)
