@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import events as ops
+from ..operators import patterns
 from ..sources.tables import table
 
 
@@ -22,6 +23,18 @@ def _velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.velocity(table(spark, sf_dir, "events")).withColumn("sum_value", F.round("sum_value", 4))
 
 
+#: Views, then a signup, then a purchase, within a day.
+FUNNEL = (("view", "+"), ("signup", ""), ("purchase", ""))
+
+
+def _funnel(overlapping: bool):
+    return lambda spark, sf_dir: patterns.match_rows(table(spark, sf_dir, "events"), patterns.of_types(*FUNNEL), 24, overlapping)
+
+
+def _decayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.decayed_velocity(table(spark, sf_dir, "events")).withColumn("decayed", F.round("decayed", 6))
+
+
 def queries() -> dict:
     return {
         "velocity_1h": _velocity,
@@ -34,9 +47,26 @@ def queries() -> dict:
         "signup_then_purchase": _on_events(ops.sequence_match),
         "last_signup_before_purchase": _on_events(ops.last_before),
         "risk_score": _on_events(ops.risk_score),
+        "view_signup_purchase": _funnel(False),
+        "view_signup_purchase_overlapping": _funnel(True),
+        "overlapping_sessions": _on_events(ops.overlapping_sessions),
+        "decayed_velocity": _decayed,
     }
 
 
+SESSIONS = """
+            WITH g AS (SELECT *, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE, true) AS fresh FROM events),
+            n AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g),
+            s AS (SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_events FROM n GROUP BY user_id, k)"""
+#: For each view the next event that is none, and the one after that.
+FUNNELS = """
+            WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+            o AS (SELECT *, min(CASE WHEN event_type <> 'view' THEN r END) OVER (PARTITION BY user_id ORDER BY r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r2 FROM n),
+            m AS (SELECT v.user_id, v.event_id AS first_id, p.event_id AS last_id, p.r - v.r + 1 AS n_events, epoch_us(p.ts) - epoch_us(v.ts) AS span_us
+                  FROM o v JOIN n s ON s.user_id = v.user_id AND s.r = v.r2 AND v.event_type = 'view' AND s.event_type = 'signup'
+                  JOIN n p ON p.user_id = v.user_id AND p.r = v.r2 + 1 AND p.event_type = 'purchase' AND p.ts <= v.ts + INTERVAL 24 HOUR)"""
+
+
 def oracle_sql() -> dict[str, str]:
     hour = "PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW"
     return {
@@ -46,10 +76,17 @@ def oracle_sql() -> dict[str, str]:
         "value_zscore": "SELECT event_id, user_id, round(CASE WHEN stddev_samp(value) OVER w > 0 THEN (value - avg(value) OVER w) / stddev_samp(value) OVER w END, 6) AS zscore FROM events WINDOW w AS (PARTITION BY user_id)",
         "value_percentile": "SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY event_type",
         "hourly_profile": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS n_events, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1",
-        "user_sessions": """
-            WITH g AS (SELECT *, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE, true) AS fresh FROM events),
-            n AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
-            SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_events FROM n GROUP BY user_id, k""",
+        "user_sessions": f"{SESSIONS} SELECT * FROM s",
+        "overlapping_sessions": f"""{SESSIONS}
+            SELECT a.user_id AS user_a, a.first_ts AS first_a, b.user_id AS user_b, b.first_ts AS first_b,
+                   least(epoch_us(a.last_ts), epoch_us(b.last_ts)) - greatest(epoch_us(a.first_ts), epoch_us(b.first_ts)) AS overlap_us
+            FROM s a JOIN s b ON a.user_id < b.user_id AND a.first_ts <= b.last_ts AND b.first_ts <= a.last_ts""",
+        "view_signup_purchase_overlapping": f"{FUNNELS} SELECT * FROM m",
+        "view_signup_purchase": f"""{FUNNELS}
+            SELECT user_id, arg_max(first_id, n_events) AS first_id, last_id, max(n_events) AS n_events, max(span_us) AS span_us FROM m GROUP BY user_id, last_id""",
+        "decayed_velocity": """
+            SELECT e.event_id, e.user_id, round(sum(coalesce(o.value, 0) * pow(2.0, -(epoch_us(e.ts) - epoch_us(o.ts)) / 21600000000.0)), 6) AS decayed
+            FROM events e JOIN events o ON o.user_id = e.user_id AND o.ts <= e.ts GROUP BY e.event_id, e.user_id""",
         "signup_then_purchase": """
             SELECT a.user_id, a.event_id AS first_id, b.event_id AS then_id FROM events a JOIN events b
             ON a.user_id = b.user_id AND a.event_type = 'signup' AND b.event_type = 'purchase' AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR""",
