@@ -136,7 +136,33 @@ def test_join_of_repeated_ids(spark):
     rows = [(5, "one two three four five six"), (5, "one two three four five six"), (5, "quite another text of some words"), (9, "ONE two three four five six")]
     got = sorted(map(tuple, ngram_join.components(table(spark, rows)).collect()))
     assert got == [(5, 2, 5), (5, 2, 5), (5, 2, 5), (9, 2, 5)]
-    assert ngram_join.drop_near_duplicates(table(spark, rows)).where("doc_id = 9").count() == 0
+    kept = [(r.doc_id, r.text) for r in ngram_join.drop_near_duplicates(table(spark, rows)).collect()]
+    assert sorted(kept) == [(5, "one two three four five six"), (5, "quite another text of some words")]
+
+
+#: Rows (id, text) and what stays of them; a and b are unlinked texts, each a word after them makes a near copy.
+REPEATED_IDS = [
+    ([(3, "a"), (5, "a tail"), (5, "b")], [(3, "a"), (5, "b")]),
+    ([(5, "a"), (5, "b")], [(5, "a"), (5, "b")]),
+    ([(5, "a"), (5, "a"), (5, "a")], [(5, "a")]),
+    ([(5, "a"), (5, "b"), (7, "a tail"), (2, "b tail"), (None, "a end")], [(2, "b tail"), (5, "a")]),
+    ([(None, "a"), (None, "b"), (None, "b"), (4, ""), (4, ""), (None, None)], [(None, "a"), (None, "b"), (4, ""), (4, ""), (None, None)]),
+    ([(5, "a"), (9, "a tail"), (9, "b"), (8, "b tail")], [(5, "a"), (8, "b tail")]),
+]
+
+
+def test_near_copies_under_repeated_ids(spark):
+    """A near copy goes whatever other row has its id, and a clean text stays; all cases in one table, with ids and words of their own."""
+
+    def own(case, row):
+        name, _, more = (row[1] or "").partition(" ")
+        text = " ".join([*(f"{name}{case}w{k}" for k in range(40)), more]).strip() if name else row[1]
+        return (None if row[0] is None else row[0] + 100 * case, text)
+
+    rows = [own(k, r) for k, (some, _) in enumerate(REPEATED_IDS) for r in some]
+    want = [own(k, r) for k, (_, stay) in enumerate(REPEATED_IDS) for r in stay]
+    kept = ngram_join.drop_near_duplicates(table(spark, rows))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
 
 
 def test_near_copies_keep_clean_rows(spark, odd_docs):
@@ -145,6 +171,8 @@ def test_near_copies_keep_clean_rows(spark, odd_docs):
     assert kept.columns == docs.columns
     want = {i for i, (_, c) in brute.components(odd_docs).items() if i == c}
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(want)
+    without = ngram_join.drop_near_duplicates(table(spark, odd_docs))
+    assert sorted(r.doc_id for r in without.collect()) == sorted(want)
     assert kept.where("doc_id is null").count() == 2
 
 

@@ -1,4 +1,5 @@
 import os
+import random
 import subprocess
 import sys
 
@@ -86,6 +87,31 @@ def test_url_rules_and_propagation(spark):
     assert sorted(map(str, theirs)) == sorted(str(tuple(r)) for r in url_filter.judge(pages).collect())
 
 
+def link_pages(rng, hosts, n):
+    to = lambda: "".join(f'<a href="http://{rng.choice(hosts)}/x">' for _ in range(rng.randrange(4)))
+    return [(k, f"http://{rng.choice(hosts)}/{rng.choice(['', 'es/', 'de/'])}{k}", to()) for k in range(n)]
+
+
+@pytest.mark.parametrize("hub", [100_000, 2])
+def test_propagation_goes_on_until_it_has_settled(spark, monkeypatch, hub):
+    """A chain of 14 hosts to a blocked one, and random links among hosts of all kinds; with hub 2 most hosts are divided."""
+    monkeypatch.setattr(url_filter, "HUB", hub)
+    chain = [(k, f"http://h{k}.net/p", f'<a href="http://h{k + 1}.net/p">') for k in range(14)] + [(14, "http://h14.net/p", '<a href="http://example.org/es/">'), (15, "http://example.org/es/1", "")]
+    rng = random.Random(6)
+    hosts = ["a.org", "b.org", "example.org", "c.com", *(f"n{k}.net" for k in range(25))]
+    schema = "page_id long, url string, html string"
+    verdicts = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(chain, schema)).collect()}
+    assert verdicts == dict.fromkeys(range(16), "block")
+    pages = link_pages(rng, hosts, 150)
+    base = duckdb.connect()
+    base.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    base.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    theirs = base.execute(url_filter.SQL["op7_url_filter"]).fetchall()
+    mine = sorted(map(str, map(tuple, url_filter.judge(spark.createDataFrame(pages, schema)).collect())))
+    assert mine == sorted(map(str, theirs))
+    assert {"allow", "block"} == {r[4] for r in theirs if r[3] is None}
+
+
 def test_urls_and_html_of_any_length(spark):
     long = "a" * 200_000
     rows = [(1, f"http://{long}.org/{long}", f'<a href="http://x.net/{long}">' * 3), (2, f"http://x.com/{long}?{long}", long), (None, None, None)]

@@ -330,20 +330,32 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of which none linked has a smaller id, with all their columns.
+    """One row of each group of linked documents, that with the smallest id, with all its columns.
 
-    Rows that share an id are one document, of which one row stays; a row without id is
-    known by a hash of its text.
+    Rows of one id are documents of their own: each group keeps one row whatever ids its
+    members share, and texts that are not linked all stay.  Of rows alike in id and text one
+    stays, and a row without an id goes before no other.  Rows without words all stay.
     """
-    unnamed = F.shiftrightunsigned(F.xxhash64(F.lit("no id"), F.col(text_col)), 2).bitwiseOR(F.lit(1 << 62))  # above any usual id
-    keyed = docs.withColumn("__tm_id", F.coalesce(F.col(id_col), unnamed))
-    stays = components(keyed.select("__tm_id", text_col), "__tm_id", text_col).where(F.col("__tm_id") == F.col("component_id"))
-    stays = written(stays.groupBy("__tm_id").agg(F.count("*").alias("__tm_rows")), "stays")
-    kept = keyed.join(stays, "__tm_id")
-    once = kept.where("__tm_rows = 1").select(docs.columns)
-    order = Window.partitionBy("__tm_id").orderBy(F.col(text_col))
-    repeated = keyed.join(stays.where("__tm_rows > 1"), "__tm_id").withColumn("__tm_place", F.row_number().over(order)).where("__tm_place = 1").select(docs.columns)
-    return once.unionByName(repeated) if not stays.where("__tm_rows > 1").isEmpty() else once
+    repeated = docs.groupBy(F.col(id_col).alias("__tm_id")).agg(F.count("*").alias("__tm_rows"))
+    repeated = written(repeated.where("__tm_rows > 1 or __tm_id is null").select("__tm_id"), "repeated-ids")
+    if repeated.isEmpty():
+        stays = components(docs.select(id_col, text_col), id_col, text_col)
+        return docs.join(stays.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__tm_id")), F.col(id_col) == F.col("__tm_id"), "left_semi")
+    # a row whose id does not name it gets a name from id and text, above any usual id
+    name = F.shiftrightunsigned(F.xxhash64(F.lit("row"), F.col(id_col), F.col(text_col)), 2).bitwiseOR(F.lit(1 << 62))
+    shared = F.col("__tm_id").isNotNull() | F.col(id_col).isNull()
+    keyed = docs.join(repeated, F.col(id_col) == F.col("__tm_id"), "left").withColumn("__tm_name", F.when(shared, name).otherwise(F.col(id_col).cast("long")))
+    keyed = written(keyed.drop("__tm_id").withColumn("__tm_shared", F.col("__tm_name") >= 1 << 62), "named")
+    found = written(components(keyed.select("__tm_name", text_col), "__tm_name", text_col).distinct(), "named-components")
+    ids = keyed.select("__tm_name", F.col(id_col).alias("__tm_id")).distinct()
+    first = F.min_by("__tm_name", F.struct(F.col("__tm_id").isNull(), "__tm_id", "__tm_name")).alias("__tm_name")
+    stays = found.where("n_shingles > 0").join(ids, "__tm_name").groupBy("component_id").agg(first).select("__tm_name")
+    worded = found.where("n_shingles > 0").select("__tm_name")
+    kept = keyed.join(stays, "__tm_name", "left_semi")
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    alike = kept.where("__tm_shared").groupBy("__tm_name").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("__tm_row")).select("__tm_row.*")
+    wordless = keyed.join(worded, "__tm_name", "left_anti")
+    return kept.where("not __tm_shared").select(docs.columns).unionByName(alike).unionByName(wordless.select(docs.columns))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
