@@ -152,12 +152,31 @@ def test_toxicity_on_the_held_out_fold_and_gapped_words(spark):
 
 def test_toxicity_on_the_held_out_fold_of_sf01(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    rows = toxicity.score(docs, labels).where("held_out").join(labels, "doc_id").collect()
+    alone = [(-1, "you are an idiot."), (-2, "an i.d.i.o.t, says he"), (-3, "the end of it."), (-4, "idxxiot")]
+    more = spark.createDataFrame(alone, "doc_id long, text string")
+    every = toxicity.score(docs.select("doc_id", "text").unionByName(more), labels).persist()
+    assert {r.doc_id: r.predicted for r in every.where("doc_id < 0").collect()} == {-1: 1, -2: 1, -3: 0, -4: 1}
+    rows = every.where("held_out").join(labels, "doc_id").collect()
     toxic = [r.predicted for r in rows if r.toxic]
     assert sum(toxic) >= 0.75 * len(toxic)
     assert sum(r.predicted for r in rows if not r.toxic) <= 0.005 * len(rows)
 
 
+def test_sentences_are_cut_at_marks_lines_and_length():
+    assert toxicity.sentences("A b. C!\nd e\n\nf") == ["a b.", "c!", "d e", "f"]
+    assert [len(s.split()) for s in toxicity.sentences("w " * 60)] == [24, 24, 12]
+    assert toxicity.sentences(None) == toxicity.sentences(" \n") == []
+
+
+def test_the_fit_does_not_depend_on_layout(spark):
+    docs, labels = marked(spark, 120)
+    copies = [(1000 + k, t + " more", None) for k, (_, t) in enumerate(docs[:60])]
+    rows = table(spark, docs + [c[:2] for c in copies])
+    extra = labels.where("doc_id < 60").selectExpr("doc_id + 1000 AS doc_id", "quality", "toxic")
+    first, second = (toxicity.fit(r, labels.unionByName(extra), 3, 1) for r in (rows.coalesce(1), rows.repartition(5)))
+    assert first[0] == second[0] and np.array_equal(first[1], second[1]) and first[2] == second[2] and np.allclose(first[3], second[3])
+
+
 def test_toxicity_without_examples(spark):
     docs, labels = marked(spark, 12)
     assert {r.predicted for r in toxicity.score(table(spark, docs), labels.where("toxic = 0")).collect()} == {0}

@@ -7,24 +7,30 @@ subsequence kernel: common subsequences of ``ORDER`` characters, each weighted b
 to the power of the stretch that it spans in either string, so characters that are left
 out, doubled or put in between lower the likeness but do not end it.
 
-The machine is trained on sentences of labelled documents.  A label is given for a
-document, so which sentence and which unit of it is toxic is found as in multiple-instance
-learning: a sentence of a toxic document counts as toxic if it has a witness, a unit that
-stands in far more toxic documents than clean ones by a likelihood-ratio test, and the
-witness stands for it.  A clean sentence has no toxic unit at all, so any of its units may
-stand for it: some at first, and after each fit those with the highest margins.  Gapped and doubled variants of the clearest witnesses, made with letters drawn
-at random, teach the machine how much a gap may cost.
+Labels are of documents, so which sentences are toxic is found as in multiple-instance
+learning.  A sentence of a toxic document counts as toxic if it has a witness, a unit that
+stands in far more toxic documents than clean ones by a likelihood-ratio test; the witness is
+the string by which the machine learns of that sentence.  A clean document has no toxic
+sentence, so any of its units may stand for them: some at first, and after each fit those
+with the highest margins.  Variants of the clearest witnesses, with letters put in, doubled,
+replaced and left out at random, teach the machine how much a gap may cost.
 
 Features of a string are its kernel values at the landmarks, whitened by the landmarks' own
 kernel matrix.  In the end the machine is a weight for each subsequence that a landmark
 has, so scoring a unit is an exact sum over its subsequences: nothing is left out, however
-unlike the landmarks a unit is.  A logistic curve turns the margins of a document's
-distinct units (their soft count, and that count for the number of sentences) into a probability.
+unlike the landmarks a unit is.  A logistic curve turns the margins of a text's
+distinct units (their soft count, and that count for the number of sentences) into a
+probability.  It is fitted to the labelled documents and to their labelled sentences, each
+alone as a text, so it also holds for a single sentence; both together weigh the same.
+
+Strings are words, joined fragments and windows of long words: an insult made of several
+words that are each harmless is not learned.
 
 Bounds: the fit reads at most ``FIT_DOCS`` labelled documents outside the held-out fold,
 chosen by a hash of their ids, and takes every unit of them that passes the test.  There are
 at most ``TOXIC_LANDMARKS`` + ``CLEAN_LANDMARKS`` landmarks and at most ``LETTERS`` distinct
-characters in their subsequences; other characters match nothing.
+characters in their subsequences; other characters match nothing.  Of each document the curve
+sees at most ``OF_ONE`` different sentences.  The fit does not depend on the table's layout.
 
 Defined cases: null or empty text scores as a text without any unit; a word of any length
 is compared window by window, and repeated rows are scored alike; a null id is held out;
@@ -37,6 +43,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -56,6 +63,8 @@ NEGATIVES, HARD, ROUNDS = 6000, 2000, 3
 COST, VARIED, CLEAN = 10_000.0, 0.3, 10.0
 #: Margin from which a unit counts as toxic, and how sharply.
 TURN, SLOPE = 0.15, 8.0
+#: Sentences of a document that the fit sees at most, and weight of all sentences together, documents having 1.
+OF_ONE, AS_SENTENCES = 40, 1.0
 CUT, KEPT_WORDS = 0.7, 250_000
 
 FILLER = re.compile(r"[\W_]+")
@@ -104,6 +113,17 @@ def units(text: str | None) -> set[str]:
     return {v for w in set(words) for v in windows(w)} | set(joined(words))
 
 
+def sentences(text: str | None) -> list[str]:
+    """The sentences of a text: words up to a line's end or a closing mark, SENTENCE of them at most."""
+    words, lines = tokens(text)
+    ends = {*lines, len(words), *(k + 1 for k, w in enumerate(words) if w.endswith(ENDS))}
+    out, start = [], 0
+    for end in sorted(ends):
+        out += [" ".join(words[k : min(k + SENTENCE, end)]) for k in range(start, end, SENTENCE)]
+        start = end
+    return out
+
+
 COMBINATIONS: dict[int, np.ndarray] = {}
 
 
@@ -198,14 +218,14 @@ def support_vector_machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, round
     return w
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.02) -> np.ndarray:
     """Weights (the last is the bias) of a logistic curve, by damped Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
-    loss = lambda v: np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ v)).sum() + ridge / 2 * (v @ v)
+    loss = lambda v: (weight * np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ v))).sum() + ridge / 2 * (v @ v)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (y - p)) - ridge * w)
         size = 1.0
         while size > 1e-6 and loss(w + size * step) > loss(w):
             size /= 2
@@ -225,7 +245,7 @@ def varied(words: list[str], seed: int = 7) -> list[str]:
             out.append(w[:i] + "".join(rng.choices(letters, k=gap)) + w[i:])
             out.append("".join(rng.choices(letters, k=gap)).join(w))
         i = rng.randrange(1, len(w) - 1)
-        out += [w[:i] + w[i - 1] * 3 + w[i:], w[:i] + w[i + 1 :]]
+        out += [w[:i] + w[i - 1] * 3 + w[i:], w[:i] + w[i + 1 :], w[:i] + rng.choice(letters) + w[i + 1 :]]
     return [f"<{v}>" for v in out if len(v) <= WINDOW - 2]
 
 
@@ -322,7 +342,7 @@ def sample(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, lab
     rows = docs.select(F.col(id_col).alias("__tm_id"), F.col(text_col).alias("t")).join(F.broadcast(marks), "__tm_id")
     words = F.split(F.lower(F.coalesce("t", F.lit(""))), r"\s+")
     least = F.array_min(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda k: F.xxhash64(F.slice("w", k + 1, 3))))
-    return written(rows.select("t", "y", words.alias("w")).select("t", "y", least.alias("m")).dropDuplicates(["m", "y"]).select("t", "y"), "toxicity-sample")
+    return written(rows.select("t", "y", words.alias("w")).select("t", "y", least.alias("m")).groupBy("m", "y").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t")).select("t", "y"), "toxicity-sample")
 
 
 def tally(rows: DataFrame) -> DataFrame:
@@ -339,6 +359,23 @@ def tally(rows: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(run, "w string, p long, q long").groupBy("w").agg(F.sum("p").alias("p"), F.sum("q").alias("q")), "toxicity-units")
 
 
+def labelled_sentences(rows: DataFrame, grade: dict[str, float]) -> DataFrame:
+    """s, y, n: sentences of clean documents, and those of toxic documents that have a witness; n of a document are alike.
+
+    Of each document at most OF_ONE sentences are taken, those with the least hashes.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(frozenset(grade))
+
+    def run(batches):
+        witnesses = shared.value
+        for b in batches:
+            for t, y in zip(b.column("t").to_pylist(), b.column("y").to_pylist(), strict=True):
+                some = sorted({s for s in sentences(t) if not y or not witnesses.isdisjoint(units(s))}, key=lambda s: (zlib.crc32(s.encode()), s))[:OF_ONE]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([y] * len(some), pa.int32())], ["s", "y"])
+
+    return rows.mapInArrow(run, "s string, y int").distinct()
+
+
 def highest(words: DataFrame, letters: str, weight: np.ndarray, bias: float, n: int) -> list[str]:
     """The n units with the highest margins."""
     shared = words.sparkSession.sparkContext.broadcast((letters, weight, bias))
@@ -390,9 +427,16 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, label_
             new = highest(negatives, marks.letters, compiled, bias, HARD)
             negative = list(dict.fromkeys([*negative, *new]))
             hard = list(dict.fromkeys([*new[: CLEAN_LANDMARKS // 2], *hard]))[:CLEAN_LANDMARKS]
-    scored = evidence(rows.select("y", "t"), "t", (marks.letters, compiled, bias)).toArrow()
-    seen = np.frombuffer(b"".join(scored.column("seen").to_pylist())).reshape(-1, EVIDENCE)
-    curve = logistic(seen, scored.column("y").to_numpy().astype(float))
+    machine = marks.letters, compiled, bias
+    x, y, weight = [], [], []
+    for part, share in ((rows.select("y", "t"), 1.0), (labelled_sentences(rows, {w: grade[w] for w in positive}).select("y", F.col("s").alias("t")), AS_SENTENCES)):
+        # many texts have the same evidence, so what comes to the driver is one row for each kind of it
+        seen = evidence(part, "t", machine).groupBy("y", "seen").agg(F.count("*").alias("n")).toArrow()
+        n = seen.column("n").to_numpy().astype(float)
+        x.append(np.frombuffer(b"".join(seen.column("seen").to_pylist())).reshape(-1, EVIDENCE))
+        y.append(seen.column("y").to_numpy().astype(float))
+        weight.append(n * share * (toxic + clean) / max(1.0, n.sum()))
+    curve = logistic(np.vstack(x), np.concatenate(y), np.concatenate(weight))
     discard(words)
     discard(rows)
     return marks.letters, compiled, bias, curve
