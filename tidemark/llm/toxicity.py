@@ -19,8 +19,8 @@ Features of a string are its kernel values at the landmarks, whitened by the lan
 kernel matrix.  In the end the machine is a weight for each subsequence that a landmark
 has, so scoring a unit is an exact sum over its subsequences: nothing is left out, however
 unlike the landmarks a unit is.  A logistic curve turns the margins of a text's
-distinct units (their soft count, and that count for the number of sentences) into a
-probability.  It is fitted to the labelled documents and to their labelled sentences, each
+distinct units (a soft count of the toxic ones for the number of sentences, and one of the
+clearly toxic ones) into a probability.  It is fitted to the labelled documents and to their labelled sentences, each
 alone as a text, so it also holds for a single sentence; both together weigh the same.
 
 Strings are words, joined fragments and windows of long words: an insult made of several
@@ -61,8 +61,8 @@ SIGNIFICANT, PURE = 5.0, 9.0
 NEGATIVES, HARD, ROUNDS = 6000, 2000, 3
 #: Cost of all positive units together, and of all variants and all negative ones as multiples of it.
 COST, VARIED, CLEAN = 10_000.0, 0.3, 10.0
-#: Margin from which a unit counts as toxic, and how sharply.
-TURN, SLOPE = 0.15, 8.0
+#: Margin from which a unit counts as toxic, and as clearly toxic (that at which the machine puts its examples), and how sharply.
+TURN, CLEAR, SLOPE = 0.15, 1.0, 8.0
 #: Sentences of a document that the fit sees at most, and weight of all sentences together, documents having 1.
 OF_ONE, AS_SENTENCES = 40, 1.0
 CUT, KEPT_WORDS = 0.7, 250_000
@@ -317,9 +317,9 @@ EVIDENCE = 2
 
 
 def summary(margins: np.ndarray, sentences: int) -> list[float]:
-    """A soft count of the toxic units, and that for the number of sentences, as logarithms."""
-    count = float((1 / (1 + np.exp(-np.clip(SLOPE * (margins - TURN), -30, 30)))).sum())
-    return [math.log1p(count), math.log((count + 0.2) / (sentences + 1) ** 0.7)]
+    """Soft counts of the toxic units for the number of sentences, and of the clearly toxic units, as logarithms."""
+    count, clear = (float((1 / (1 + np.exp(-np.clip(SLOPE * (margins - turn), -30, 30)))).sum()) for turn in (TURN, CLEAR))
+    return [math.log((count + 0.2) / (sentences + 1) ** 0.7), math.log1p(clear)]
 
 
 def significance(p: float, q: float, toxic: int, clean: int) -> float:
