@@ -1,6 +1,7 @@
 """Language-model scores from an Elias-Fano n-gram trie of the training corpus.
 
-Every word gets an exact number of its own (blocks.exchange), small for frequent words.
+Every word gets a number (blocks.exchange), small for frequent words; words are told apart by
+64-bit hashes, so two words share a number only if their hashes are equal.
 The distinct pairs, and then the triples, of each block of documents are sent to the shards
 that hold the trie's second and third level, dealt by a hash of context and next word, so
 that the successors of a very common context lie in many shards.  A shard adds up how often

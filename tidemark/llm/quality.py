@@ -10,7 +10,10 @@ The fit reads labelled rows outside the held-out fold, at most ``FIT_ROWS`` of t
 
 Defined cases: null text counts as empty and gets a score; a null id is held out;
 without labelled rows of both classes every score is the smoothed share of label 1;
-labels may repeat; an empty table gives an empty result.
+labels may repeat, and an id with both labels counts as a row of each; a text of any
+length gets its statistics from all of it; repeated documents are rows of their own and
+scored alike, also with the same id; columns of the documents other than id and text,
+whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
