@@ -66,6 +66,8 @@ TURN, CLEAR, SLOPE = 0.15, 1.0, 8.0
 #: Sentences of a document that the fit sees at most, and weight of all sentences together, documents having 1.
 OF_ONE, AS_SENTENCES = 40, 1.0
 CUT, KEPT_WORDS = 0.7, 250_000
+#: Rows that the driver turns into double precision at a time.
+ROWS = 4096
 
 FILLER = re.compile(r"[\W_]+")
 ENDS = (".", "!", "?", "…")
@@ -186,8 +188,13 @@ class Landmarks:
             for k, numbers in zip(at, number, strict=True):
                 np.add.at(self.values[:, k], self.row[numbers], fade)
         self.values[0] = 0
-        self.values /= np.maximum(np.sqrt((self.values**2).sum(0)), 1e-9)
-        roots, vectors = np.linalg.eigh(self.values.T.astype(np.float64) @ self.values + 1e-3 * np.eye(len(strings)))
+        gram = np.zeros((len(strings), len(strings)))
+        for lo in range(0, len(self.values), ROWS):  # in parts, so that no copy of all values is made
+            part = self.values[lo : lo + ROWS].astype(np.float64)
+            gram += part.T @ part
+        norm = np.maximum(np.sqrt(np.diag(gram)), 1e-9)
+        self.values /= norm.astype(np.float32)
+        roots, vectors = np.linalg.eigh(gram / np.outer(norm, norm) + 1e-3 * np.eye(len(strings)))
         self.whiten = vectors / np.sqrt(np.maximum(roots, 1e-6))
 
     def features(self, strings: list[str]) -> np.ndarray:
@@ -205,13 +212,18 @@ class Landmarks:
 
 def support_vector_machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40) -> np.ndarray:
     """Weights (the last is the bias) of a linear machine with squared hinge loss, by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
+    n = x.shape[1] + 1
+    w, ridge = np.zeros(n), np.eye(n)
     ridge[-1, -1] = 1e-3
     for _ in range(rounds):
-        on = y * (x @ w) < 1
-        xs = x[on] * cost[on, None]
-        new = np.linalg.solve(ridge + 2 * xs.T @ x[on], 2 * xs.T @ y[on])
+        square, side = ridge.copy(), np.zeros(n)
+        for lo in range(0, len(x), ROWS):
+            part = np.hstack([x[lo : lo + ROWS], np.ones((len(x[lo : lo + ROWS]), 1))])
+            on = y[lo : lo + ROWS] * (part @ w) < 1
+            part, weight, sign = part[on], cost[lo : lo + ROWS][on], y[lo : lo + ROWS][on]
+            square += 2 * (part * weight[:, None]).T @ part
+            side += 2 * part.T @ (weight * sign)
+        new = np.linalg.solve(square, side)
         if np.abs(new - w).max() < 1e-4:
             break
         w = new
@@ -416,8 +428,9 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, label_
     sure = positive[:TOXIC_LANDMARKS]
     extra = varied(sure[:80])
     for k in range(ROUNDS):
+        marks = None  # the last round's go before new ones are made
         marks = Landmarks(sure + hard)
-        x = np.vstack([marks.features(part) for part in (positive, extra, negative, [""])])  # the last stands for all that resembles none
+        x = np.vstack([marks.features(part).astype(np.float32) for part in (positive, extra, negative, [""])])  # the last stands for all that resembles none
         y = np.array([1.0] * (len(positive) + len(extra)) + [-1.0] * (len(negative) + 1))
         heavy = np.array([weight[w] for w in positive])
         cost = np.concatenate([COST * heavy / heavy.sum(), np.full(len(extra), VARIED * COST / max(1, len(extra))), np.full(len(negative), CLEAN * COST / max(1, len(negative))), [COST]])
