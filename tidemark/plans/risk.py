@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import changes, isolation, patterns
 from ..operators import events as ops
-from ..operators import patterns
 from ..sources.tables import table
 
 
@@ -35,6 +35,10 @@ def _decayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.decayed_velocity(table(spark, sf_dir, "events")).withColumn("decayed", F.round("decayed", 6))
 
 
+def _isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return isolation.isolation_scores(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
+
+
 def queries() -> dict:
     return {
         "velocity_1h": _velocity,
@@ -51,6 +55,8 @@ def queries() -> dict:
         "view_signup_purchase_overlapping": _funnel(True),
         "overlapping_sessions": _on_events(ops.overlapping_sessions),
         "decayed_velocity": _decayed,
+        "change_points": _on_events(changes.change_points),
+        "order_isolation": _isolation,
     }
 
 
@@ -66,6 +72,24 @@ FUNNELS = """
                   FROM o v JOIN n s ON s.user_id = v.user_id AND s.r = v.r2 AND v.event_type = 'view' AND s.event_type = 'signup'
                   JOIN n p ON p.user_id = v.user_id AND p.r = v.r2 + 1 AND p.event_type = 'purchase' AND p.ts <= v.ts + INTERVAL 24 HOUR)"""
 
+#: Both sums carried hour by hour.
+CHANGES = """
+            WITH RECURSIVE h AS (SELECT event_type, epoch_us(ts) // 3600000000 AS hour, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL),
+            t AS (SELECT event_type, min(hour) AS first, max(hour) AS last, (max(hour) - min(hour) + 1)::DOUBLE AS hours, sum(n)::DOUBLE AS total, sum(n * n)::DOUBLE AS squares FROM h GROUP BY ALL),
+            k AS (SELECT *, sqrt(greatest(hours * squares - total * total, 0)) AS deviation FROM t),
+            d AS (SELECT event_type, first, last, floor(5000 * deviation / hours)::BIGINT AS most,
+                         floor(1000 * total / hours + 500 * deviation / hours)::BIGINT AS above, floor(1000 * total / hours - 500 * deviation / hours)::BIGINT AS below FROM k),
+            w AS (SELECT event_type, unnest(['up', 'down']) AS direction, first - 1 AS hour, 0::BIGINT AS held, 0::BIGINT AS run FROM d
+                  UNION ALL
+                  SELECT event_type, direction, hour, greatest(0, held), run + (held <= 0)::INT FROM (
+                      SELECT w.event_type, w.direction, w.hour + 1 AS hour, w.run,
+                             w.held + CASE WHEN w.direction = 'up' THEN 1000 * coalesce(h.n, 0) - d.above ELSE d.below - 1000 * coalesce(h.n, 0) END AS held
+                      FROM w JOIN d ON d.event_type IS NOT DISTINCT FROM w.event_type
+                      LEFT JOIN h ON h.event_type IS NOT DISTINCT FROM w.event_type AND h.hour = w.hour + 1 WHERE w.hour < d.last))
+            SELECT w.event_type, direction, make_timestamp(min(hour) * 3600000000) AS begins, make_timestamp(min(hour) FILTER (held > most) * 3600000000) AS alarm,
+                   make_timestamp(max(hour) * 3600000000) AS ends, max(held) AS peak_milli
+            FROM w JOIN d ON d.event_type IS NOT DISTINCT FROM w.event_type WHERE held > 0 GROUP BY w.event_type, direction, run, most HAVING max(held) > most"""
+
 
 def oracle_sql() -> dict[str, str]:
     hour = "PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW"
@@ -87,6 +111,7 @@ def oracle_sql() -> dict[str, str]:
         "decayed_velocity": """
             SELECT e.event_id, e.user_id, round(sum(coalesce(o.value, 0) * pow(2.0, -(epoch_us(e.ts) - epoch_us(o.ts)) / 21600000000.0)), 6) AS decayed
             FROM events e JOIN events o ON o.user_id = e.user_id AND o.ts <= e.ts GROUP BY e.event_id, e.user_id""",
+        "change_points": CHANGES,
         "signup_then_purchase": """
             SELECT a.user_id, a.event_id AS first_id, b.event_id AS then_id FROM events a JOIN events b
             ON a.user_id = b.user_id AND a.event_type = 'signup' AND b.event_type = 'purchase' AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR""",
