@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import changes, isolation, patterns
+from ..operators import changes, isolation, patterns, snapshots
 from ..operators import events as ops
 from ..sources.tables import table
 
@@ -39,6 +41,12 @@ def _isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isolation.isolation_scores(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
 
 
+def _line_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between New Year and midsummer of 1997, as both days' snapshots lie within the orders."""
+    days = datetime.datetime(1997, 1, 1), datetime.datetime(1997, 7, 1)
+    return snapshots.order_line_changes(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), *days)
+
+
 def queries() -> dict:
     return {
         "velocity_1h": _velocity,
@@ -57,6 +65,7 @@ def queries() -> dict:
         "decayed_velocity": _decayed,
         "change_points": _on_events(changes.change_points),
         "order_isolation": _isolation,
+        "order_line_changes": _line_changes,
     }
 
 
@@ -112,6 +121,15 @@ def oracle_sql() -> dict[str, str]:
             SELECT e.event_id, e.user_id, round(sum(coalesce(o.value, 0) * pow(2.0, -(epoch_us(e.ts) - epoch_us(o.ts)) / 21600000000.0)), 6) AS decayed
             FROM events e JOIN events o ON o.user_id = e.user_id AND o.ts <= e.ts GROUP BY e.event_id, e.user_id""",
         "change_points": CHANGES,
+        "order_line_changes": """
+            WITH s AS (SELECT day, o_orderkey, o_custkey, l_returnflag, CASE WHEN l_shipdate <= day THEN 'shipped' ELSE 'waiting' END AS state
+                       FROM (VALUES (TIMESTAMP '1997-01-01'), (TIMESTAMP '1997-07-01')) v(day) JOIN orders ON o_orderdate > day - INTERVAL 365 DAY AND o_orderdate <= day
+                       JOIN lineitem ON l_orderkey = o_orderkey),
+            a AS (SELECT * EXCLUDE (day) FROM s WHERE day = TIMESTAMP '1997-01-01'), b AS (SELECT * EXCLUDE (day) FROM s WHERE day = TIMESTAMP '1997-07-01'),
+            c AS (SELECT *, -1 AS sign FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 1 FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))
+            SELECT o_orderkey, o_custkey, l_returnflag, state, kind AS change, sum(sign)::BIGINT AS copies
+            FROM c JOIN (SELECT o_orderkey, CASE WHEN count(DISTINCT sign) > 1 THEN 'changed' WHEN min(sign) > 0 THEN 'inserted' ELSE 'deleted' END AS kind FROM c GROUP BY o_orderkey) USING (o_orderkey)
+            GROUP BY ALL""",
         "signup_then_purchase": """
             SELECT a.user_id, a.event_id AS first_id, b.event_id AS then_id FROM events a JOIN events b
             ON a.user_id = b.user_id AND a.event_type = 'signup' AND b.event_type = 'purchase' AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR""",
