@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import changes, isolation, patterns, snapshots
+from ..operators import changes, isolation, patterns, shredding, snapshots
 from ..operators import events as ops
 from ..sources.tables import table
 
@@ -47,6 +47,10 @@ def _line_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.order_line_changes(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), *days)
 
 
+def _event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shredding.shredded(table(spark, sf_dir, "events").select("event_id", "props"), "props")
+
+
 def queries() -> dict:
     return {
         "velocity_1h": _velocity,
@@ -66,6 +70,7 @@ def queries() -> dict:
         "change_points": _on_events(changes.change_points),
         "order_isolation": _isolation,
         "order_line_changes": _line_changes,
+        "event_props": _event_props,
     }
 
 
@@ -121,6 +126,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT e.event_id, e.user_id, round(sum(coalesce(o.value, 0) * pow(2.0, -(epoch_us(e.ts) - epoch_us(o.ts)) / 21600000000.0)), 6) AS decayed
             FROM events e JOIN events o ON o.user_id = e.user_id AND o.ts <= e.ts GROUP BY e.event_id, e.user_id""",
         "change_points": CHANGES,
+        "event_props": """
+            SELECT event_id, CASE WHEN json_valid(props) THEN (props->>'$.k')::BIGINT END AS p_k,
+                   CASE WHEN NOT coalesce(json_valid(props) AND json_type(props) = 'OBJECT', false) THEN props END AS rest, coalesce(NOT json_valid(props), false) AS malformed FROM events""",
         "order_line_changes": """
             WITH s AS (SELECT day, o_orderkey, o_custkey, l_returnflag, CASE WHEN l_shipdate <= day THEN 'shipped' ELSE 'waiting' END AS state
                        FROM (VALUES (TIMESTAMP '1997-01-01'), (TIMESTAMP '1997-07-01')) v(day) JOIN orders ON o_orderdate > day - INTERVAL 365 DAY AND o_orderdate <= day
