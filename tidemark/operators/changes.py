@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timing import micros
+from ..sources.scratch import settled
 
 HOUR = 3_600_000_000
 
 
 def hourly_counts(events: DataFrame) -> DataFrame:
     """kind, hour, n for each hour from a kind's first to its last, with hours, total and squares of the kind."""
-    held = events.where(F.col("ts").isNotNull()).groupBy(F.col("event_type").alias("kind"), F.floor(micros(F.col("ts")) / HOUR).alias("hour")).agg(F.count("*").alias("n"))
+    held = events.where(F.col("ts").isNotNull()).groupBy(F.col("event_type").alias("kind"), F.floor(micros(F.col("ts")) / HOUR).alias("hour"))
+    held = settled(held.agg(F.count("*").alias("n")))  # read for the kinds and for the grid
     square = F.sum((F.col("n") * F.col("n")).cast("decimal(28,0)")).cast("double")
     kinds = held.groupBy("kind").agg(F.min("hour").alias("first"), F.max("hour").alias("last"), F.sum("n").cast("double").alias("total"), square.alias("squares"))
     kinds = kinds.withColumn("hours", (F.col("last") - F.col("first") + 1).cast("double"))

@@ -2,8 +2,8 @@
 
 A snapshot is a multiset of rows.  Rows of the one count -1 and of the other +1, and one
 aggregate over whole rows adds them up: what is left is EXCEPT ALL in both directions, from one
-shuffle in which repeated rows are added up before they are sent.  A second aggregate, over
-keys, tells whether a key lost rows, gained rows or both.
+shuffle in which repeated rows are added up before they are sent.  That table of changes is
+written once; a second aggregate of it, over keys, tells whether a key lost rows, gained rows or both.
 
 Defined cases: nulls are equal to each other, in rows and in keys, as are NaNs, and 0.0 and
 -0.0; rows may repeat any number of times; empty snapshots are snapshots; both must have the
@@ -18,6 +18,8 @@ import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settled
+
 INSERTED, DELETED, CHANGED = "inserted", "deleted", "changed"
 #: Copies of a row that come from one array.
 COPIES = 65_536
@@ -29,7 +31,7 @@ def difference(before: DataFrame, after: DataFrame, keys: list[str], kind: str =
     if set(names) != set(after.columns) or {kind, copies} & set(names):
         raise ValueError(f"snapshots need the same columns, none of them called {kind} or {copies}")
     both = before.withColumn(copies, F.lit(-1)).unionByName(after.withColumn(copies, F.lit(1)))
-    net = both.groupBy(*names).agg(F.sum(copies).alias(copies)).where(F.col(copies) != 0)
+    net = settled(both.groupBy(*names).agg(F.sum(copies).alias(copies)).where(F.col(copies) != 0))
     gains = net.groupBy(*[F.col(k).alias(f"__tm_{i}") for i, k in enumerate(keys)]).agg((F.max(copies) > 0).alias("__tm_more"), (F.min(copies) < 0).alias("__tm_fewer"))
     same = F.lit(True)
     for i, k in enumerate(keys):
