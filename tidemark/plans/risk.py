@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import changes, isolation, patterns, shredding, snapshots
+from ..operators import changes, dense, isolation, patterns, shredding, sketches, snapshots
 from ..operators import events as ops
 from ..sources.tables import table
 
@@ -51,6 +51,10 @@ def _event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shredding.shredded(table(spark, sf_dir, "events").select("event_id", "props"), "props")
 
 
+def _dense_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense.dense_block(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
+
+
 def queries() -> dict:
     return {
         "velocity_1h": _velocity,
@@ -71,6 +75,8 @@ def queries() -> dict:
         "order_isolation": _isolation,
         "order_line_changes": _line_changes,
         "event_props": _event_props,
+        "dense_block": _dense_block,
+        "trailing_week": _on_events(sketches.trailing_week),
     }
 
 
@@ -104,6 +110,22 @@ CHANGES = """
                    make_timestamp(max(hour) * 3600000000) AS ends, max(held) AS peak_milli
             FROM w JOIN d ON d.event_type IS NOT DISTINCT FROM w.event_type WHERE held > 0 GROUP BY w.event_type, direction, run, most HAVING max(held) > most"""
 
+#: Pairs of each round; of the side that is peeled those stay that are heavier than 1.1 of its mean.
+PEELING = """
+            WITH RECURSIVE e AS (SELECT o_custkey AS c, l_suppkey AS s, count(*) AS w FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+                                 WHERE o_custkey IS NOT NULL AND l_suppkey IS NOT NULL GROUP BY ALL),
+            z AS (SELECT count(DISTINCT c) AS c0, count(DISTINCT s) AS s0 FROM e),
+            p AS (SELECT 1 AS k, c, s, w FROM e
+                  UNION ALL
+                  SELECT k + 1, c, s, w FROM (
+                      SELECT *, sum(w) OVER () AS total, sum(w) OVER (PARTITION BY c) AS wc, sum(w) OVER (PARTITION BY s) AS ws,
+                             count(DISTINCT c) OVER () AS nc, count(DISTINCT s) OVER () AS ns FROM p), z
+                  WHERE CASE WHEN nc * s0 >= c0 * ns THEN 100 * wc * nc > 110 * total ELSE 100 * ws * ns > 110 * total END),
+            d AS (SELECT k, sum(w)::DOUBLE / sqrt((count(DISTINCT c) * count(DISTINCT s))::DOUBLE) AS density FROM p GROUP BY k),
+            b AS (SELECT k, density FROM d ORDER BY density DESC, k LIMIT 1),
+            m AS (SELECT 'customer' AS side, c AS member, max(k) AS rounds FROM p GROUP BY c UNION ALL SELECT 'supplier', s, max(k) FROM p GROUP BY s)
+            SELECT side, member, rounds, rounds >= b.k AS in_block, density FROM m, b"""
+
 
 def oracle_sql() -> dict[str, str]:
     hour = "PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW"
@@ -126,6 +148,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT e.event_id, e.user_id, round(sum(coalesce(o.value, 0) * pow(2.0, -(epoch_us(e.ts) - epoch_us(o.ts)) / 21600000000.0)), 6) AS decayed
             FROM events e JOIN events o ON o.user_id = e.user_id AND o.ts <= e.ts GROUP BY e.event_id, e.user_id""",
         "change_points": CHANGES,
+        "dense_block": PEELING,
         "event_props": """
             SELECT event_id, CASE WHEN json_valid(props) THEN (props->>'$.k')::BIGINT END AS p_k,
                    CASE WHEN NOT coalesce(json_valid(props) AND json_type(props) = 'OBJECT', false) THEN props END AS rest, coalesce(NOT json_valid(props), false) AS malformed FROM events""",
