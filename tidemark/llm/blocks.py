@@ -10,7 +10,8 @@ order.  A key that is very common costs one entry for each block.
 A block sends at most ``FAN`` pieces, so a piece holds thousands of keys however large the
 corpus is.  Where there are more shards than that, pieces that go the same way are merged
 into rows as large as a block and dealt again, ``FAN`` ways at each level, and the answers
-come back the same way.  So what is sent for a document grows with the number of levels,
+come back the same way.  Equal keys are added up where they are merged, so a very common key is
+one entry for each merged row, and what merges go to one range is split among tasks.  So what is sent for a document grows with the number of levels,
 the logarithm of the number of shards, and not with that number.
 """
 
@@ -33,6 +34,8 @@ from .shared import discard, written
 BLOCK_WORDS, SHARD_KEYS = 400_000, 1_000_000
 #: Pieces into which a block's keys are dealt at most, and keys of a row of merged pieces.
 FAN, MERGED_KEYS = 512, 400_000
+#: Shards of the last level whose keys one task merges, about.
+MERGED_SHARDS = 64
 #: The "row" under which a shard reports about itself.
 REPORT = -1
 PIECES = "row long, shard long, n long, data binary"
@@ -223,30 +226,34 @@ class Route:
         return out
 
 
-def exchange(table: DataFrame, request: Callable, route: Route, answer: Callable, label: str) -> DataFrame:
+def exchange(table: DataFrame, request: Callable, route: Route, answer: Callable, label: str, keys: int = 0) -> DataFrame:
     """Answers to what blocks ask: row (the block), shard and replies, for with_replies() and Route.returned().
 
     request(row of a block) -> columns of numbers that hold the block's distinct keys and what it
     tells of them; answer(columns, shard) -> (columns of replies, keys, total, report), for
     all that reaches a shard.  The last three are kept in a row of their own (REPORT).
+
+    keys: how many of the first columns are the key, if equal keys may be added up on the way: the
+    column after them is a count, and further ones are the same for equal keys.  With 0
+    all entries reach their shard.
     """
 
     def spread(batches):
         for row in rows_of(batches):
             yield route.pieces(row["block"], 0, request(row))
 
-    return answered(table.mapInArrow(spread, PIECES), route, answer, label)
+    return answered(table.mapInArrow(spread, PIECES), route, answer, label, keys)
 
 
-def answered(sent: DataFrame, route: Route, answer: Callable, label: str) -> DataFrame:
+def answered(sent: DataFrame, route: Route, answer: Callable, label: str, keys: int) -> DataFrame:
     if route.shards > FAN:
-        return answered_below(sent, route, answer, label)
+        return answered_below(sent, route, answer, label, keys)
 
     def serve(rows: pa.Table) -> pa.Table:
         n = rows.column("n").to_numpy()
         columns = [np.concatenate(c) for c in zip(*(unpack(d.as_py(), k) for d, k in zip(rows.column("data"), n.tolist(), strict=True)), strict=True)]
         shard = rows.column("shard")[0].as_py()
-        replies, keys, total, report = answer(columns, shard)
+        replies, n_keys, total, report = answer(columns, shard)
         ends = np.cumsum(n)
         data = [pack([r[a:b] for r in replies]) for a, b in zip(ends - n, ends, strict=True)]
         none = [None] * len(n)
@@ -254,7 +261,7 @@ def answered(sent: DataFrame, route: Route, answer: Callable, label: str) -> Dat
             {
                 "row": pa.array([*rows.column("row").to_pylist(), REPORT], pa.int64()),
                 "shard": pa.array([shard] * (len(n) + 1), pa.int64()),
-                "keys": pa.array([*none, keys], pa.int64()),
+                "keys": pa.array([*none, n_keys], pa.int64()),
                 "total": pa.array([*none, total], pa.int64()),
                 "replies": pa.array([*data, report], pa.binary()),
             }
@@ -263,7 +270,7 @@ def answered(sent: DataFrame, route: Route, answer: Callable, label: str) -> Dat
     return written(sent.groupBy("shard").applyInArrow(serve, ANSWERS), label)
 
 
-def answered_below(sent: DataFrame, route: Route, answer: Callable, label: str) -> DataFrame:
+def answered_below(sent: DataFrame, route: Route, answer: Callable, label: str, keys: int) -> DataFrame:
     """The same by way of rows that merge what goes to one range of shards."""
     below = route.below()
 
@@ -276,12 +283,17 @@ def answered_below(sent: DataFrame, route: Route, answer: Callable, label: str)
         def flush():
             nonlocal made
             columns = [np.concatenate(c) for c in zip(*(unpack(r["data"], r["n"]) for r in held), strict=True)]
-            row = {"row": (task << 32) + made, "shard": held[0]["shard"], "members": [r["row"] for r in held], "sizes": [r["n"] for r in held], "n": sum(r["n"] for r in held), "data": pack(columns)}
+            which = None
+            if keys:
+                at, total, which = totals(columns[:keys], columns[keys])
+                columns = [total if k == keys else c[at] for k, c in enumerate(columns)]
+                which = pack([which])
+            row = {"row": (task << 32) + made, "shard": held[0]["shard"], "members": [r["row"] for r in held], "sizes": [r["n"] for r in held], "n": len(columns[0]), "data": pack(columns), "which": which}
             made += 1
             held.clear()
             return pa.RecordBatch.from_pydict({k: [v] for k, v in row.items()}, schema)
 
-        schema = pa.schema([("row", pa.int64()), ("shard", pa.int64()), ("members", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("n", pa.int64()), ("data", pa.binary())])
+        schema = pa.schema([("row", pa.int64()), ("shard", pa.int64()), ("members", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("n", pa.int64()), ("data", pa.binary()), ("which", pa.binary())])
         for row in rows_of(batches):
             if held and (row["shard"] != held[0]["shard"] or sum(r["n"] for r in held) + row["n"] > MERGED_KEYS):
                 yield flush()
@@ -297,13 +309,17 @@ def answered_below(sent: DataFrame, route: Route, answer: Callable, label: str)
         for row in rows_of(batches):
             replies = below.returned(row["parts"], unpack(row["data"], row["n"]), row["shard"])
             ends = np.cumsum(row["sizes"])
+            if row["which"] is not None:  # to each entry what its key got
+                which = unpack(row["which"], int(ends[-1]))[0].astype(np.int64)
+                replies = [r[which] for r in replies]
             data = [pack([r[b - n : b] for r in replies]) for b, n in zip(ends, row["sizes"], strict=True)]
             none = pa.nulls(len(data), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(row["members"], pa.int64()), pa.array([row["shard"]] * len(data), pa.int64()), none, none, pa.array(data, pa.binary())], ["row", "shard", "keys", "total", "replies"])
 
-    merged = sent.repartition("shard").sortWithinPartitions("shard")
-    merged = written(merged.mapInArrow(merge, "row long, shard long, members array<long>, sizes array<long>, n long, data binary"), f"{label}-merged")
-    got = answered(merged.select("row", "shard", "n", "data").mapInArrow(again, PIECES), below, answer, label)
+    salts = -(-below.shards // MERGED_SHARDS)
+    merged = sent.repartition("shard", F.pmod(F.xxhash64("row"), F.lit(salts))).sortWithinPartitions("shard")
+    merged = written(merged.mapInArrow(merge, "row long, shard long, members array<long>, sizes array<long>, n long, data binary, which binary"), f"{label}-merged")
+    got = answered(merged.select("row", "shard", "n", "data").mapInArrow(again, PIECES), below, answer, label, keys)
     out = with_replies(merged, {"parts": got}, "row").mapInArrow(back, ANSWERS).unionByName(got.where(F.col("row") == REPORT))
     out = written(out, label)
     discard(merged, got)

@@ -210,12 +210,12 @@ def fit(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text
         g.paired(count, count)
         return g.triples()
 
-    words = exchange(table, lambda row: Grams.of_block(Block(row), lambda i: False).word_columns(), by_word, keeping_words(f"{folder}/words", by_word.number()), "lm-words")
+    words = exchange(table, lambda row: Grams.of_block(Block(row), lambda i: False).word_columns(), by_word, keeping_words(f"{folder}/words", by_word.number()), "lm-words", keys=1)
     kinds, tokens = (x or 0 for x in words.where(F.col("row") == REPORT).agg(F.sum("keys"), F.sum("total")).first())
     coded = with_numbers(table, words, by_word, False)
     discard(table, words)
-    pairs = exchange(coded, lambda row: grams(row).pairs(), by_pair, keeping_grams(f"{folder}/pairs", 2, PAIR_MASS), "lm-pairs")
-    triples = exchange(with_replies(coded, {"pairs_back": pairs}), triples_of, by_triple, keeping_grams(f"{folder}/triples", 3, TRIPLE_MASS), "lm-triples")
+    pairs = exchange(coded, lambda row: grams(row).pairs(), by_pair, keeping_grams(f"{folder}/pairs", 2, PAIR_MASS), "lm-pairs", keys=2)
+    triples = exchange(with_replies(coded, {"pairs_back": pairs}), triples_of, by_triple, keeping_grams(f"{folder}/triples", 3, TRIPLE_MASS), "lm-triples", keys=3)
     discard(coded, pairs, triples)
     put(f"{folder}/model.json", json.dumps({"words": total, "tokens": tokens, "kinds": kinds}).encode())
     return folder
@@ -241,13 +241,13 @@ def score_with(folder: str, docs: DataFrame, id_col: str = "doc_id", text_col: s
     def values(part, columns):
         return [part.values(columns)]
 
-    words = exchange(table, lambda row: Grams.of_block(Block(row), lambda i: True).word_columns(), by_word, from_parts(f"{folder}/words", kept_routes[0], 1, Words.look_up, (UNKNOWN, 0)), "lm-words")
+    words = exchange(table, lambda row: Grams.of_block(Block(row), lambda i: True).word_columns(), by_word, from_parts(f"{folder}/words", kept_routes[0], 1, Words.look_up, (UNKNOWN, 0)), "lm-words", keys=1)
     coded = with_numbers(table, words, by_word, True)
     discard(table, words)
-    pairs = exchange(coded, lambda row: Grams.of_row(row, lambda i: True).pairs(), by_pair, from_parts(f"{folder}/pairs", kept_routes[1], 2, values, (0,)), "lm-pairs")
+    pairs = exchange(coded, lambda row: Grams.of_row(row, lambda i: True).pairs(), by_pair, from_parts(f"{folder}/pairs", kept_routes[1], 2, values, (0,)), "lm-pairs", keys=2)
     paired = written(with_replies(coded, {"pairs_back": pairs}), "lm-blocks")
     discard(coded, pairs)
-    triples = exchange(paired, lambda row: with_pairs(row).triples(), by_triple, from_parts(f"{folder}/triples", kept_routes[2], 3, values, (0,)), "lm-triples")
+    triples = exchange(paired, lambda row: with_pairs(row).triples(), by_triple, from_parts(f"{folder}/triples", kept_routes[2], 3, values, (0,)), "lm-triples", keys=3)
 
     def run(batches):
         for row in rows_of(batches):

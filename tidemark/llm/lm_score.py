@@ -368,15 +368,15 @@ def score(docs: DataFrame, modulus: int = 5, remainder: int = 1, id_col: str = "
         g.paired(*(got or np.zeros((2, 0))))
         return g
 
-    words = exchange(table, lambda row: Grams.of_block(Block(row), is_held_out).word_columns(), by_word, numbers(by_word.number()), "lm-words")
+    words = exchange(table, lambda row: Grams.of_block(Block(row), is_held_out).word_columns(), by_word, numbers(by_word.number()), "lm-words", keys=1)
     sums = words.where(F.col("row") == REPORT).agg(F.sum("keys"), F.sum("total")).first()
     kinds, tokens = (x or 0 for x in sums)
     table_1 = written(with_replies(table, {"words_back": words}).mapInArrow(coded, CODED), "lm-blocks")
     discard(table, words)
-    pairs = exchange(table_1, lambda row: Grams.of_row(row, is_held_out).pairs(), by_pair, part_of_trie(2, PAIR_MASS, True, keep_trie), "lm-pairs")
+    pairs = exchange(table_1, lambda row: Grams.of_row(row, is_held_out).pairs(), by_pair, part_of_trie(2, PAIR_MASS, True, keep_trie), "lm-pairs", keys=2)
     table_2 = written(with_replies(table_1, {"pairs_back": pairs}), "lm-blocks")
     discard(table_1, *([] if keep_trie else [pairs]))
-    triples = exchange(table_2, lambda row: with_pairs(row).triples(), by_triple, part_of_trie(3, TRIPLE_MASS, False, keep_trie), "lm-triples")
+    triples = exchange(table_2, lambda row: with_pairs(row).triples(), by_triple, part_of_trie(3, TRIPLE_MASS, False, keep_trie), "lm-triples", keys=3)
 
     def scored(row: dict) -> pa.RecordBatch:
         g = with_pairs(row)

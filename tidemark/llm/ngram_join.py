@@ -118,7 +118,7 @@ def proposals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         (total,), keys, every, report = corpus_counts(columns, shard)
         return [np.minimum(total, 255)], keys, every, report
 
-    seen = exchange(table, lambda row: Sets(Block(row)).keys(), route, frequency, "shingles")
+    seen = exchange(table, lambda row: Sets(Block(row)).keys(), route, frequency, "shingles", keys=1)
 
     def proposed(row: dict) -> pa.RecordBatch:
         block = Block(row)

@@ -187,9 +187,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = table.agg(F.sum("n_words")).first()[0] or 0
     by_word = Route(first_column, -(-(total // 4 + 1) // SHARD_KEYS))
     by_anchor = Route(first_column, -(-(total // (n // 4 + 1) + 1) // SHARD_KEYS))
-    anchors = exchange(table, lambda row: Stretches(Block(row), n).anchors(), by_anchor, recurring, "anchors")
+    anchors = exchange(table, lambda row: Stretches(Block(row), n).anchors(), by_anchor, recurring, "anchors", keys=1)
     places = anchors.where(F.col("row") == REPORT).agg(F.sum("total")).first()[0] or 0
-    words = exchange(table, lambda row: word_columns(Block(row)), by_word, numbers(by_word.number()), "word-numbers")
+    words = exchange(table, lambda row: word_columns(Block(row)), by_word, numbers(by_word.number()), "word-numbers", keys=1)
     by_stretch = Route(first_column, -(-(places + 1) // SHARD_STRETCHES))
     both = written(with_replies(table, {"times": anchors, "numbers": words}), "anchored-blocks")
     discard(table, anchors, words)
