@@ -204,6 +204,22 @@ def test_landmark_features_are_the_string_kernel_and_compile_exactly():
     assert got[1][0] > 0 and got[5][1] > 0  # nothing is cut off, however wide the gap
 
 
+def test_landmarks_are_never_laid_out_as_one_table():
+    """The driver's peak over landmarks and features stays below a table of all subsequences and landmarks."""
+    import random
+    import tracemalloc
+
+    rng = random.Random(4)
+    strings = ["<" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) + ">" for _ in range(400)]
+    tracemalloc.start()
+    marks = toxicity.Landmarks(strings)
+    got = marks.features(strings)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 0.8 * 4 * len(strings) * len(marks.used)
+    assert (got[:3] @ np.linalg.inv(marks.whiten))[:, :3] == pytest.approx(np.array([[kernel(a, b) / kernel(b, b) ** 0.5 for b in strings[:3]] for a in strings[:3]]), abs=1e-4)
+
+
 def test_quality_on_the_held_out_fold(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

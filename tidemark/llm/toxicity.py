@@ -66,8 +66,8 @@ TURN, CLEAR, SLOPE = 0.15, 1.0, 8.0
 #: Sentences of a document that the fit sees at most, and weight of all sentences together, documents having 1.
 OF_ONE, AS_SENTENCES = 40, 1.0
 CUT, KEPT_WORDS = 0.7, 250_000
-#: Rows that the driver turns into double precision at a time.
-ROWS = 4096
+#: Rows that the driver turns into double precision at a time, and landmarks whose values it lays out at a time.
+ROWS, COLUMNS = 512, 64
 
 FILLER = re.compile(r"[\W_]+")
 ENDS = (".", "!", "?", "…")
@@ -178,35 +178,57 @@ class Landmarks:
         self.letters = "".join(sorted(c for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]))
         self.space = Subsequences(self.letters)
         inside = self.space.inside()
-        parts = [(at, number, fade) for at, number, fade in self.space.of(strings)]
-        used = np.unique(np.concatenate([number.ravel() for _, number, _ in parts])) if parts else np.zeros(0, np.int64)
-        self.used = used[inside[used]]
+        rows, columns, values = [], [], []
+        for at, numbers, fade in self.space.of(strings):
+            for k, number in zip(at.tolist(), numbers, strict=True):
+                own, place = np.unique(number, return_inverse=True)
+                some = inside[own]
+                rows.append(own[some])
+                columns.append(np.full(len(rows[-1]), k))
+                values.append(np.bincount(place, weights=fade)[some])
+        flat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        number, self.columns, values = flat(rows, np.int64), flat(columns, np.int64), flat(values, np.float64)
+        order = np.lexsort((self.columns, number))
+        number, self.columns, values = number[order], self.columns[order], values[order]
+        self.used, place = np.unique(number, return_inverse=True)
+        self.rows = place + 1  # row 0: subsequences that no landmark has
         self.row = np.zeros(len(inside), np.int32)
         self.row[self.used] = np.arange(1, len(self.used) + 1)
-        self.values = np.zeros((len(self.used) + 1, len(strings)), np.float32)  # row 0: subsequences that no landmark has
-        for at, number, fade in parts:
-            for k, numbers in zip(at, number, strict=True):
-                np.add.at(self.values[:, k], self.row[numbers], fade)
-        self.values[0] = 0
-        gram = np.zeros((len(strings), len(strings)))
-        for lo in range(0, len(self.values), ROWS):  # in parts, so that no copy of all values is made
-            part = self.values[lo : lo + ROWS].astype(np.float64)
+        self.size = len(strings)
+        norm = np.maximum(np.sqrt(np.bincount(self.columns, weights=values**2, minlength=self.size)), 1e-9)
+        self.values = values / norm[self.columns]
+        gram = np.zeros((self.size, self.size))
+        for lo in range(1, len(self.used) + 1, ROWS):
+            a, b = np.searchsorted(self.rows, (lo, lo + ROWS))
+            part = np.zeros((ROWS, self.size))
+            part[self.rows[a:b] - lo, self.columns[a:b]] = self.values[a:b]
             gram += part.T @ part
-        norm = np.maximum(np.sqrt(np.diag(gram)), 1e-9)
-        self.values /= norm.astype(np.float32)
-        roots, vectors = np.linalg.eigh(gram / np.outer(norm, norm) + 1e-3 * np.eye(len(strings)))
+        roots, vectors = np.linalg.eigh(gram + 1e-3 * np.eye(self.size))
         self.whiten = vectors / np.sqrt(np.maximum(roots, 1e-6))
 
+    def table(self, lo: int, hi: int) -> np.ndarray:
+        """What each subsequence weighs in the landmarks from lo to hi."""
+        out = np.zeros((len(self.used) + 1, hi - lo), np.float32)
+        some = (self.columns >= lo) & (self.columns < hi)
+        out[self.rows[some], self.columns[some] - lo] = self.values[some]
+        return out
+
     def features(self, strings: list[str]) -> np.ndarray:
-        out = np.zeros((len(strings), self.values.shape[1]))
-        for at, number, fade in self.space.of(strings, 20_000):
-            out[at] = np.einsum("ijk,j->ik", self.values[self.row[number]], fade)
-        return out @ self.whiten
+        """In single precision; of the landmarks so many at a time that no table of all of them is made."""
+        out = np.zeros((len(strings), self.size), np.float32)
+        for lo in range(0, self.size, COLUMNS):
+            hi = min(lo + COLUMNS, self.size)
+            table = self.table(lo, hi)
+            for at, number, fade in self.space.of(strings, 20_000):
+                out[at, lo:hi] = np.einsum("ijk,j->ik", table[self.row[number]], fade)
+        for lo in range(0, len(out), ROWS):
+            out[lo : lo + ROWS] = out[lo : lo + ROWS] @ self.whiten
+        return out
 
     def compiled(self, weights: np.ndarray) -> np.ndarray:
         """The weight of each subsequence that makes total() equal to features() @ weights."""
         out = np.zeros(len(self.row), np.float32)
-        out[self.used] = (self.values @ (self.whiten @ weights))[1:]
+        out[self.used] = np.bincount(self.rows - 1, weights=self.values * (self.whiten @ weights)[self.columns], minlength=len(self.used))
         return out
 
 
@@ -430,7 +452,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, label_
     for k in range(ROUNDS):
         marks = None  # the last round's go before new ones are made
         marks = Landmarks(sure + hard)
-        x = np.vstack([marks.features(part).astype(np.float32) for part in (positive, extra, negative, [""])])  # the last stands for all that resembles none
+        x = marks.features([*positive, *extra, *negative, ""])  # the last stands for all that resembles none
         y = np.array([1.0] * (len(positive) + len(extra)) + [-1.0] * (len(negative) + 1))
         heavy = np.array([weight[w] for w in positive])
         cost = np.concatenate([COST * heavy / heavy.sum(), np.full(len(extra), VARIED * COST / max(1, len(extra))), np.full(len(negative), CLEAN * COST / max(1, len(negative))), [COST]])
