@@ -78,3 +78,26 @@ def test_nothing_and_names(spark):
     with pytest.raises(ValueError):
         snapshots.difference(named, named, ["k"])
     assert snapshots.difference(named, named.limit(0), ["k"], "kind_of_change", "copies").count() == 2
+
+
+def test_order_lines_meet_in_tasks_that_follow_the_tables(spark, monkeypatch):
+    """Orders of either day, both or none, null dates and keys, repeated lines; no task gets a share that grows with the tables."""
+    import datetime
+
+    rng, day = random.Random(9), datetime.datetime(1997, 1, 1)
+    dates = [None, *(day + datetime.timedelta(days=d) for d in (-366, -365, -364, -184, -183, 0, 1, 181, 182))]
+    orders = [(k, rng.randrange(9), rng.choice(dates)) for k in range(400)] + [(None, 1, day)]
+    lines = [(rng.choice([None, *range(420)]), rng.choice(["A", "N", None]), rng.choice(dates)) for _ in range(3000)]
+    o = spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz")
+    li = spark.createDataFrame(lines, "l_orderkey long, l_returnflag string, l_shipdate timestamp_ntz")
+    days = day, day + datetime.timedelta(days=181)
+    monkeypatch.setattr(snapshots, "TASK_ROWS", 100)
+
+    def at(d):
+        recent = {k: c for k, c, placed in orders if k is not None and placed and d - datetime.timedelta(days=365) < placed <= d}
+        return [(k, recent[k], flag, "shipped" if shipped and shipped <= d else "waiting") for k, flag, shipped in lines if k in recent]
+
+    got = {(repr(tuple(r)[:4]), r.change, r.copies) for r in snapshots.order_line_changes(o, li, *days).collect()}
+    assert got == plain(at(days[0]), at(days[1]), lambda r: r[0]) and {kind for _, kind, _ in got} == {"changed", "inserted", "deleted"}
+    sizes = [r["count"] for r in snapshots.signed_lines(o, li, *days).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 30 and max(sizes) < sum(sizes) / 8

@@ -23,6 +23,8 @@ from ..sources.scratch import settled
 INSERTED, DELETED, CHANGED = "inserted", "deleted", "changed"
 #: Copies of a row that come from one array.
 COPIES = 65_536
+#: Rows of the tables for each task of a join.
+TASK_ROWS = 250_000
 
 
 def difference(before: DataFrame, after: DataFrame, keys: list[str], kind: str = "change", copies: str = "copies") -> DataFrame:
@@ -30,7 +32,12 @@ def difference(before: DataFrame, after: DataFrame, keys: list[str], kind: str =
     names = before.columns
     if set(names) != set(after.columns) or {kind, copies} & set(names):
         raise ValueError(f"snapshots need the same columns, none of them called {kind} or {copies}")
-    both = before.withColumn(copies, F.lit(-1)).unionByName(after.withColumn(copies, F.lit(1)))
+    return net_changes(before.withColumn(copies, F.lit(-1)).unionByName(after.withColumn(copies, F.lit(1))), keys, kind, copies)
+
+
+def net_changes(both: DataFrame, keys: list[str], kind: str = "change", copies: str = "copies") -> DataFrame:
+    """What is left when the copies of both snapshots' rows, less than 0 for those of the first, are added up."""
+    names = [c for c in both.columns if c != copies]
     net = settled(both.groupBy(*names).agg(F.sum(copies).alias(copies)).where(F.col(copies) != 0))
     gains = net.groupBy(*[F.col(k).alias(f"__tm_{i}") for i, k in enumerate(keys)]).agg((F.max(copies) > 0).alias("__tm_more"), (F.min(copies) < 0).alias("__tm_fewer"))
     same = F.lit(True)
@@ -49,17 +56,28 @@ def applied(before: DataFrame, changes: DataFrame, kind: str = "change", copies:
     return parts.withColumn("__tm_copy", F.explode(F.sequence(F.lit(1), left))).select(*names)
 
 
-def order_lines(orders: DataFrame, lineitem: DataFrame, day: datetime.datetime, days: int = 365) -> DataFrame:
-    """Lines of the orders placed in so many days up to the day, and whether they had been shipped by then."""
-    until = F.lit(day).cast("timestamp_ntz")
-    since = F.lit(day - datetime.timedelta(days=days)).cast("timestamp_ntz")
-    recent = orders.where((F.col("o_orderdate") > since) & (F.col("o_orderdate") <= until)).select("o_orderkey", "o_custkey")
-    state = F.when(F.col("l_shipdate") <= until, "shipped").otherwise("waiting")
-    lines = lineitem.select("l_orderkey", "l_returnflag", state.alias("state"))
-    return recent.join(lines, recent["o_orderkey"] == lines["l_orderkey"]).select("o_orderkey", "o_custkey", "l_returnflag", "state")
+def tasks_for(*tables: DataFrame) -> int:
+    """So many tasks that each gets about TASK_ROWS rows of the tables, however large they are."""
+    return max(1, -(-sum(t.count() for t in tables) // TASK_ROWS))
+
+
+def signed_lines(orders: DataFrame, lineitem: DataFrame, first: datetime.datetime, second: datetime.datetime, days: int = 365) -> DataFrame:
+    """Lines of the orders placed in so many days up to either day, whether they had been shipped by then, and copies: -1 for the first day, 1 for the second.
+
+    Orders and lines meet once for both days, in a number of tasks that follows the tables, so
+    what a task puts in order stays the same.
+    """
+    at = lambda day: F.lit(day).cast("timestamp_ntz")
+    placed = lambda day: (F.col("o_orderdate") > at(day - datetime.timedelta(days=days))) & (F.col("o_orderdate") <= at(day))
+    state = lambda day: F.when(F.col("l_shipdate") <= at(day), "shipped").otherwise("waiting")
+    tasks = tasks_for(orders, lineitem)
+    recent = orders.where(placed(first) | placed(second)).select("o_orderkey", "o_custkey", "o_orderdate").repartition(tasks, "o_orderkey")
+    lines = lineitem.select("l_orderkey", "l_returnflag", "l_shipdate").repartition(tasks, "l_orderkey")
+    both = recent.join(lines, recent["o_orderkey"] == lines["l_orderkey"])
+    each = [F.when(placed(day), F.struct(state(day).alias("state"), F.lit(sign).alias("copies"))) for day, sign in ((first, -1), (second, 1))]
+    return both.select("o_orderkey", "o_custkey", "l_returnflag", F.explode(F.array_compact(F.array(*each))).alias("__tm_day")).select("o_orderkey", "o_custkey", "l_returnflag", "__tm_day.*")
 
 
 def order_line_changes(orders: DataFrame, lineitem: DataFrame, first: datetime.datetime, second: datetime.datetime) -> DataFrame:
     """How the lines of recent orders changed from one day to the other, by order."""
-    at = lambda day: order_lines(orders, lineitem, day)
-    return difference(at(first), at(second), ["o_orderkey"])
+    return net_changes(signed_lines(orders, lineitem, first, second), ["o_orderkey"])
