@@ -132,6 +132,36 @@ def test_join_of_a_family_below_the_threshold(spark):
     assert got == brute.components(docs)
 
 
+@pytest.mark.parametrize("rows", [250_000, 400])
+def test_join_writes_small_tables_as_few_files(spark, monkeypatch, rows):
+    """As many files as their rows need, whatever the number of shuffle partitions; each file makes the executor's JVM spawn processes."""
+    held = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    files, real = {}, ngram_join.written
+
+    def counted(df, label, **more):
+        out = real(df, label, **more)
+        files.setdefault(label, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    monkeypatch.setattr(ngram_join, "TASK_ROWS", rows)
+    docs = [(k, " ".join(f"d{k // 4}x{j}" for j in range(60)) + f" tail{k % 4}" * (k % 4)) for k in range(120)]
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(table(spark, docs)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute.components(docs)
+    most = -(-120 * 16 // rows)
+    assert most < 6
+    for label in ("postings", "shared-tokens", "shared-postings", "components", "parents", "links", "open-tokens"):
+        assert max(files[label]) <= most, (label, files[label])
+    assert files["sets"] == [1]
+
+
 def test_join_of_repeated_ids(spark):
     rows = [(5, "one two three four five six"), (5, "one two three four five six"), (5, "quite another text of some words"), (9, "ONE two three four five six")]
     got = sorted(map(tuple, ngram_join.components(table(spark, rows)).collect()))

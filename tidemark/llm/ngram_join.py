@@ -43,6 +43,8 @@ WORDS, PIVOT_ROUNDS = 5, 2
 CHUNK_DOCS, CHUNK_SHINGLES, COLUMNS = 512, 500_000, 4096
 #: A token of more than one in so many postings is joined by a broadcast of at most so many rows.
 HOT_SHARE = 1024
+#: Rows of a small table, and shingles of sets, that one task writes, about.
+TASK_ROWS, TASK_SHINGLES = 250_000, 1_000_000
 #: Bits of a shingle's hash that propose a pair; a false meeting costs a comparison.
 TOKEN_BITS = 44
 CUT = np.uint64(2**64 - 2 ** (64 - TOKEN_BITS))
@@ -172,19 +174,22 @@ def by_token(left: DataFrame, right: DataFrame, hot: DataFrame | None) -> DataFr
     return left.join(F.broadcast(few), "token").unionByName(left.join(F.broadcast(hot), "token", "left_anti").join(others, "token"))
 
 
-def merged(component: DataFrame, links: DataFrame) -> DataFrame:
-    """component (node, comp) after linking; components point to their smallest neighbour until none is left."""
+def merged(component: DataFrame, links: DataFrame, tasks: int) -> DataFrame:
+    """component (node, comp) after linking; components point to their smallest neighbour until none is left.
+
+    tasks: how many write each table at most, of which there are two for each step.
+    """
     while True:
         at = lambda k: component.select(F.col("node").alias(k), F.col("comp").alias(f"{k}_comp"))
         open_links = links.join(at("a"), "a").join(at("b"), "b").where("a_comp != b_comp")
         ways = open_links.select(F.greatest("a_comp", "b_comp").alias("u"), F.least("a_comp", "b_comp").alias("v"))
-        parent = written(ways.groupBy("u").agg(F.min("v").alias("p")), "parents")
+        parent = written(ways.groupBy("u").agg(F.min("v").alias("p")), "parents", tasks=tasks)
         if parent.isEmpty():
             return component
         for _ in range(2):
             up = parent.select(F.col("u").alias("p"), F.col("p").alias("q"))
             parent = parent.join(up, "p", "left").select("u", F.coalesce("q", "p").alias("p"))
-        component = written(component.join(parent.withColumnRenamed("u", "comp"), "comp", "left").select("node", F.coalesce("p", "comp").alias("comp")), "components")
+        component = written(component.join(parent.withColumnRenamed("u", "comp"), "comp", "left").select("node", F.coalesce("p", "comp").alias("comp")), "components", tasks=tasks)
 
 
 def fits():
@@ -243,7 +248,7 @@ def compared(group: pa.Table) -> pa.Table:
     return pa.table({"a": number(left, "node")[i[first]], "b": number(right, "node")[j[first]]})
 
 
-def compared_in_chunks(at: DataFrame, open_tokens: DataFrame, component: DataFrame, sets: DataFrame, hot: DataFrame | None) -> DataFrame:
+def compared_in_chunks(at: DataFrame, open_tokens: DataFrame, component: DataFrame, sets: DataFrame, hot: DataFrame | None, tasks: int) -> DataFrame:
     """Links among what shares an open token but is in different components.
 
     Documents that open tokens connect are a family.  Those outside its largest component
@@ -251,10 +256,10 @@ def compared_in_chunks(at: DataFrame, open_tokens: DataFrame, component: DataFra
     most one link for two components.  Only families with several components come here.
     """
     star = by_token(at, open_tokens.select("token", F.col("pivot.node").alias("a")), hot).select("a", F.col("node").alias("b")).distinct()
-    star = written(star, "family-links")
+    star = written(star, "family-links", tasks=tasks)
     members = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()
     known = component.join(members, "node")
-    family = merged(known, star.where("a != b")).withColumnRenamed("comp", "family")
+    family = merged(known, star.where("a != b"), tasks).withColumnRenamed("comp", "family")
     tokens = at.groupBy("node").agg(F.collect_set("token").alias("prefix"))
     rows = known.join(family, "node").join(sets, "node").join(tokens, "node")
     rows = rows.withColumns({"size": F.size("set").cast("long"), "first": prefix(F.col("set")), "last": prefix(F.col("set"), True)})
@@ -270,25 +275,29 @@ def compared_in_chunks(at: DataFrame, open_tokens: DataFrame, component: DataFra
     mine, yes, no = F.col("chunk"), F.lit(True), F.lit(False)
     as_main = meet("rest_n", lambda k: task("main", k, mine, no, yes))
     as_rest = F.concat(meet("main_n", lambda k: task("main", mine, k, yes, no)), meet("rest_n", lambda k: task("rest", F.least(mine, k), F.greatest(mine, k), mine <= k, mine >= k)))
-    tasks = rows.withColumn("task", F.explode(F.when(side, as_main).otherwise(as_rest)))
-    return tasks.select("family", "task.*", "node", "comp", "size", "prefix", "first", "last", "set").groupBy("family", "kind", "i", "j").applyInArrow(compared, "a long, b long")
+    pieces = rows.withColumn("task", F.explode(F.when(side, as_main).otherwise(as_rest)))
+    return pieces.select("family", "task.*", "node", "comp", "size", "prefix", "first", "last", "set").groupBy("family", "kind", "i", "j").applyInArrow(compared, "a long, b long")
 
 
 def linked(found: DataFrame) -> DataFrame:
     """node, comp for every node that may have links."""
-    distinct = found.where(F.col("prefix").isNotNull()).select("node", "size", "common", F.explode("prefix").alias("token"))
-    distinct = written(distinct.distinct(), "postings")  # equal sets of several blocks propose the same
-    shared = written(distinct.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "shared-tokens")
+    some = found.where(F.col("prefix").isNotNull())
+    n_postings, n_shingles = some.agg(F.sum(F.size("prefix")), F.sum("size")).first()
+    # no table of nodes, tokens or links with pivots has more rows than there are postings
+    tasks, set_tasks = -(-(n_postings or 1) // TASK_ROWS), -(-(n_shingles or 1) // TASK_SHINGLES)
+    distinct = some.select("node", "size", "common", F.explode("prefix").alias("token"))
+    distinct = written(distinct.distinct(), "postings", tasks=tasks)  # equal sets of several blocks propose the same
+    shared = written(distinct.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "shared-tokens", tasks=tasks)
     # tokens of more than 1 / HOT_SHARE of the postings: at most HOT_SHARE of them
     hot = written(shared.where(F.col("n") > distinct.count() // HOT_SHARE).select("token"), "hot-tokens")
     if hot.isEmpty():
         hot = None
-    active = written(by_token(distinct, shared.select("token"), hot), "shared-postings")
+    active = written(by_token(distinct, shared.select("token"), hot), "shared-postings", tasks=tasks)
     discard(distinct, shared)
     owner = found.where(F.col("set").isNotNull()).groupBy("node").agg(F.min("block").alias("block"))
     owner = active.select("node").distinct().join(owner, "node")
-    sets = written(found.where(F.col("set").isNotNull()).select("node", "block", "set").join(owner, ["node", "block"]).select("node", "set"), "sets")
-    component = written(sets.select("node", F.col("node").alias("comp")), "components")
+    sets = written(found.where(F.col("set").isNotNull()).select("node", "block", "set").join(owner, ["node", "block"]).select("node", "set"), "sets", tasks=set_tasks)
+    component = written(sets.select("node", F.col("node").alias("comp")), "components", tasks=tasks)
     parts = ("node", "size", "common", "comp")
 
     def tokens_between(k: int) -> tuple[DataFrame, DataFrame]:
@@ -304,16 +313,16 @@ def linked(found: DataFrame) -> DataFrame:
         if k == 0:  # each document with the pivot that it meets most often
             best = Window.partitionBy("b").orderBy(F.desc("n"), "a")
             counts = counts.withColumn("place", F.row_number().over(best)).where("place = 1")
-        component = merged(component, written(verified(counts, sets), "links"))
+        component = merged(component, written(verified(counts, sets).distinct(), "links", tasks=tasks), tasks)
     at, open_tokens = tokens_between(PIVOT_ROUNDS)
     # only documents that meet another one that fits can have a link left
     meets = by_token(at, open_tokens.select("token"), hot).groupBy("token").agg(F.max("common").alias("most"))
     at = by_token(at, meets, hot).where(7 * F.least("common", "most") >= 3 * F.col("size") * 1.75)
     open_tokens = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct(*parts), "node").alias("pivot")).where("lo != hi")
-    open_tokens = written(open_tokens.select("token", "pivot"), "open-tokens")
+    open_tokens = written(open_tokens.select("token", "pivot"), "open-tokens", tasks=tasks)
     if not open_tokens.isEmpty():
         at = by_token(at.drop("most"), open_tokens.select("token"), hot)
-        component = merged(component, written(compared_in_chunks(at, open_tokens, component, sets, hot), "links"))
+        component = merged(component, written(compared_in_chunks(at, open_tokens, component, sets, hot, tasks), "links"), tasks)
     discard(active, sets)
     return component
 
