@@ -213,3 +213,64 @@ def test_empty_tables(spark):
     assert substring.remove_repeats(none).count() == 0
     assert ngram_join.components(none).count() == 0
     assert ngram_join.drop_near_duplicates(none).count() == 0
+
+
+def tables_written(monkeypatch):
+    """How many rows each table of the join has, by label."""
+    rows, real = {}, ngram_join.written
+
+    def counted(df, label, **more):
+        out = real(df, label, **more)
+        rows.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    return rows
+
+
+def test_join_compares_candidates_only(spark, monkeypatch):
+    """One chain through common lines, whose documents fit only the next one: what the last step compares follows the documents, not their square."""
+    part = lambda k: [f"p{k}x{j}" for j in range(40)]
+    docs = [(k, " ".join([*part(k), *part(k + 1), *(["a line of very many words that all of them have"] if k % 2 else [])])) for k in range(120)]
+    docs += [(1000 + k, " ".join(docs[k][1].split()[: -8 - k % 5])) for k in range(0, 120, 10)]
+    monkeypatch.setattr(ngram_join, "PIVOT_ROUNDS", 0)
+    rows = tables_written(monkeypatch)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(table(spark, docs).repartition(3)).collect()}
+    assert got == brute.components(docs)
+    assert len({c for _, c in got.values()}) == 120
+    assert 12 <= rows["candidates"][-1] <= 150
+
+
+def test_join_counts_copies_once(spark, monkeypatch):
+    """Copies with other ids add no posting, candidate or set, wherever they stand."""
+    docs = [(k, " ".join(f"d{k // 2}x{j}" for j in range(60)) + f" tail{k} of it" * (k % 2)) for k in range(30)]
+    copies = [(1000 * c + k, text.upper() if c == 2 else text) for c in range(5) for k, text in docs]
+    rows = tables_written(monkeypatch)
+    once = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(table(spark, docs).repartition(2)).collect()}
+    single = {k: v[0] for k, v in rows.items()}
+    rows.clear()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(table(spark, copies).repartition(5)).collect()}
+    assert got == {1000 * c + k: once[k] for c in range(5) for k, _ in docs} == brute.components(copies)
+    for label in ("postings", "shared-postings", "sets", "candidates"):
+        assert rows[label][0] == single[label] > 0
+
+
+@pytest.mark.parametrize("bits", [44, 5])
+def test_join_where_shingles_share_tokens_and_tokens_have_parts(spark, monkeypatch, bits):
+    """With few bits most documents hold one token twice; their order is open, and nothing may be left out for it."""
+    monkeypatch.setattr(ngram_join, "CUT", np.uint64(2**64 - 2 ** (64 - bits)))
+    monkeypatch.setattr(ngram_join, "PIVOT_ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "TOKEN_DOCS", 3)
+    monkeypatch.setattr(ngram_join, "CHUNK_DOCS", 5)
+    rng = random.Random(12)
+    docs = []
+    for k in range(90):
+        if k % 6 == 0:
+            base = [f"v{rng.randrange(300)}" for _ in range(rng.randrange(8, 50))]
+        copy = list(base)
+        for _ in range(rng.randrange(5)):
+            copy[rng.randrange(len(copy))] = f"u{rng.randrange(300)}"
+        docs.append((k, " ".join(copy)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(table(spark, docs).repartition(4)).collect()}
+    assert got == brute.components(docs)
+    assert len({c for _, c in got.values()}) < 90

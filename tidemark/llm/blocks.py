@@ -17,6 +17,7 @@ the logarithm of the number of shards, and not with that number.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable
 
 import struct
@@ -40,7 +41,7 @@ MERGED_SHARDS = 64
 REPORT = -1
 PIECES = "row long, shard long, n long, data binary"
 ANSWERS = "row long, shard long, keys long, total long, replies binary"
-SCHEMA = "block long, ids array<long>, lengths binary, words binary, vocabulary binary, n_words long"
+SCHEMA = "block long, ids array<long>, lengths binary, words binary, vocabulary binary, n_words long, texts binary"
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -105,19 +106,29 @@ def within(block: Block, n: int) -> np.ndarray:
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str, lower: bool = False) -> DataFrame:
-    """The documents as a written table of blocks.  Null text has no words."""
+    """The documents as a written table of blocks.  Null text has no words.
+
+    texts: a 64-bit hash of each document's words in their order.
+    """
+
+    def numbered() -> defaultdict:
+        """Gives each word that is looked up the next number."""
+        known: defaultdict = defaultdict()
+        known.default_factory = known.__len__
+        return known
 
     def run(batches):
         from pyspark import TaskContext
 
         task, made = TaskContext.get().partitionId(), 0
-        known: dict = {}
+        known = numbered()
         ids: list = []
         parts: list = []
+        texts: list = []
         held = 0
 
         def flush():
-            nonlocal known, ids, parts, held, made
+            nonlocal known, ids, parts, texts, held, made
             row = {
                 "block": (task << 32) + made,
                 "ids": ids,
@@ -125,11 +136,12 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, lower: bool = False) ->
                 "words": planes(np.concatenate(parts)),
                 "vocabulary": zstandard.compress(b"\n".join(known), 1),
                 "n_words": held,
+                "texts": np.array(texts, np.uint64).tobytes(),
             }
-            known, ids, parts, held, made = {}, [], [], 0, made + 1
+            known, ids, parts, texts, held, made = numbered(), [], [], [], 0, made + 1
             return pa.RecordBatch.from_pydict({k: [v] for k, v in row.items()}, schema)
 
-        schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("words", pa.binary()), ("vocabulary", pa.binary()), ("n_words", pa.int64())])
+        schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("words", pa.binary()), ("vocabulary", pa.binary()), ("n_words", pa.int64()), ("texts", pa.binary())])
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = text.as_buffer()
@@ -137,12 +149,9 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, lower: bool = False) ->
                 words = (raw.lower() if lower else raw).split()
                 if held and held + len(words) > BLOCK_WORDS:
                     yield flush()
-                try:
-                    numbers = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
-                except KeyError:
-                    numbers = np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint32, len(words))
                 ids.append(i)
-                parts.append(numbers)
+                parts.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
+                texts.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
                 held += len(words)
                 if len(ids) >= 50_000:
                     yield flush()

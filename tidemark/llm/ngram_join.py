@@ -17,9 +17,10 @@ of several orders:
 Pairs that pass are verified on the whole sets.  Only components are wanted, so a
 proposing shingle first pairs its documents with a pivot, in two rounds; documents that
 turn out to be in one component need no further pairs.  What then still lies in different
-components but shares a proposing shingle is compared chunk by chunk: the three orders'
-prefixes give the candidates, and only their whole sets are compared.  A shingle of very
-many documents is joined with its pivot by a broadcast of the few such shingles.
+components is paired by the proposing shingles it shares: what two sets share is shared by
+their prefixes or lies behind one of them, so a pair that shares too few is none.  The other two orders'
+prefixes and then whole sets are compared for pairs only, by pairs of chunks of documents.  A shingle of very
+many documents is joined with its pivot by a broadcast of the few such shingles, and with itself part by part.
 
 Defined cases: null or empty text has no shingles, is linked with nothing and is its own
 component; a text of any length is one set; a null id never is a component's name unless
@@ -35,12 +36,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import SHARD_KEYS, Block, Route, blocks, corpus_counts, exchange, mixed, ngrams, rows_of, with_replies, within
+from .blocks import SHARD_KEYS, Block, Route, blocks, corpus_counts, exchange, first_column, mixed, ngrams, rows_of, totals, with_replies, within
 from .shared import discard, load, written
 
 WORDS, PIVOT_ROUNDS = 5, 2
-#: Documents and shingles of a chunk in the last comparison, and shingles that it looks at together.
+#: Documents and shingles of a chunk whose pairs are compared, and documents that one is compared with at once.
 CHUNK_DOCS, CHUNK_SHINGLES, COLUMNS = 512, 500_000, 4096
+#: Documents of a part of a token that very many have.
+TOKEN_DOCS = 1024
 #: A token of more than one in so many postings is joined by a broadcast of at most so many rows.
 HOT_SHARE = 1024
 #: Rows of a small table, and shingles of sets, that one task writes, about.
@@ -51,9 +54,12 @@ CUT = np.uint64(2**64 - 2 ** (64 - TOKEN_BITS))
 
 
 class Sets:
-    """The shingle sets of a block: rows (doc, key), sorted, and what holds for each document."""
+    """The shingle sets of a block: rows (doc, key), sorted, and what holds for each document.
 
-    def __init__(self, block: Block):
+    first: the documents that no other one equals word for word, or that stand for those that do.
+    """
+
+    def __init__(self, block: Block, first: np.ndarray):
         h, n_docs = block.hashes(), len(block.lengths)
         at = within(block, WORDS)
         docs, keys = [block.document()[at]], [ngrams(h, WORDS)[at] if len(h) >= WORDS else np.zeros(0, np.uint64)]
@@ -63,7 +69,8 @@ class Sets:
                 docs.append(short)
                 keys.append(ngrams(h, k)[block.starts[short]])
         doc, key = np.concatenate(docs), np.concatenate(keys)
-        order = np.lexsort((key, doc))
+        order = np.argsort(key)
+        order = order[np.argsort(doc[order].astype(np.uint16), kind="stable")]  # a block has fewer documents
         doc, key = doc[order], key[order]
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
@@ -76,8 +83,12 @@ class Sets:
             total = cum[self.ends] - cum[self.ends - self.size]
             self.node = mixed(total ^ mixed(self.size.astype(np.uint64))).view(np.int64)
         self.slack = self.size // 4
+        # what lies behind the prefix; all of the set where two shingles are one token, whose order is open
+        same = np.zeros(n_docs, bool)
+        same[self.doc[1:][(self.doc[1:] == self.doc[:-1]) & ((self.key[1:] & CUT) == (self.key[:-1] & CUT))]] = True
+        self.rest = np.where(same, self.size, self.size - self.slack - 1)
         lead = np.zeros(n_docs, bool)  # of equal sets the first stands for all
-        lead[np.unique(self.node, return_index=True)[1]] = True
+        lead[first[np.unique(self.node[first], return_index=True)[1]]] = True
         self.rows = np.flatnonzero((lead & (self.size > 0))[self.doc])
         self.tokens = self.key[self.rows] & CUT
 
@@ -110,62 +121,61 @@ def lists(doc: np.ndarray, values: np.ndarray, present: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array(~present))
 
 
+def texts_of(row: dict) -> list[np.ndarray]:
+    """Hashes of the distinct texts of a block, and the place of the first document with each."""
+    return list(np.unique(np.frombuffer(row["texts"], np.uint64), return_index=True))
+
+
+def first_of_equals(columns, shard):
+    """1 for one of the blocks that ask for a key, 0 for the others."""
+    (at, total, _), reply = totals(columns, np.ones(len(columns[0]), np.int64)), np.zeros(len(columns[0]), np.uint64)
+    reply[at] = 1
+    return [reply], len(total), int(total.sum()), None
+
+
 def proposals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, block, node, size and common for every document; for nodes that may have links also prefix and set."""
+    """id, block, node, size, common and rest for every document; for nodes that may have links also prefix and set."""
     table = blocks(docs, id_col, text_col, lower=True)
-    total = (table.agg(F.sum("n_words")).first()[0] or 0) + 1
-    route = Route(lambda columns: columns[0], -(-total // SHARD_KEYS))
+    total, n_docs = table.agg(F.sum("n_words"), F.sum(F.size("ids"))).first()
+    first_of = Route(first_column, -(-(n_docs or 1) // SHARD_KEYS))
+    firsts = exchange(table, lambda row: texts_of(row)[:1], first_of, first_of_equals, "firsts")
+    table, plain = written(with_replies(table, {"firsts": firsts}), "blocks"), table
+    discard(plain, firsts)
+    route = Route(first_column, -(-((total or 0) + 1) // SHARD_KEYS))
+
+    def sets(row: dict) -> Sets:
+        keys, places = texts_of(row)
+        mine = first_of.returned(row["firsts"], [keys])
+        return Sets(Block(row), places[mine[0] > 0] if mine else places)
 
     def frequency(columns, shard):
         (total,), keys, every, report = corpus_counts(columns, shard)
         return [np.minimum(total, 255)], keys, every, report
 
-    seen = exchange(table, lambda row: Sets(Block(row)).keys(), route, frequency, "shingles", keys=1)
+    seen = exchange(table, lambda row: sets(row).keys(), route, frequency, "shingles", keys=1)
 
     def proposed(row: dict) -> pa.RecordBatch:
-        block = Block(row)
-        s = Sets(block)
+        s = sets(row)
         keys = s.keys()
         got = route.returned(row["seen"], keys)
         doc, token, common = s.prefixes(keys[0], got[0].astype(np.int64) if got else np.zeros(0, np.int64))
         present = np.bincount(doc, minlength=len(s.size)) > 0
         mine = present[s.doc]
         return pa.RecordBatch.from_arrays(
-            [pa.array(block.ids, pa.int64()), pa.array(np.full(len(s.size), block.number)), pa.array(s.node), pa.array(s.size), pa.array(common), lists(doc, token, present), lists(s.doc[mine], s.key[mine], present)],
-            ["id", "block", "node", "size", "common", "prefix", "set"],
+            [pa.array(row["ids"], pa.int64()), pa.array(np.full(len(s.size), row["block"])), pa.array(s.node), pa.array(s.size), pa.array(common), pa.array(s.rest), lists(doc, token, present), lists(s.doc[mine], s.key[mine], present)],
+            ["id", "block", "node", "size", "common", "rest", "prefix", "set"],
         )
 
     def run(batches):
         for row in rows_of(batches):
             yield proposed(row)
 
-    out = written(with_replies(table, {"seen": seen}).mapInArrow(run, "id long, block long, node long, size long, common long, prefix array<long>, set array<long>"), "proposals")
+    out = written(with_replies(table, {"seen": seen}).mapInArrow(run, "id long, block long, node long, size long, common long, rest long, prefix array<long>, set array<long>"), "proposals")
     discard(table)
     discard(seen)
     return out
 
 
-def prefix(tokens: Column, last: bool = False) -> Column:
-    """The first or last size // 4 + 1 of ascending tokens."""
-    n = F.floor(F.size(tokens) / 4).cast("int") + 1
-    return F.slice(tokens, F.size(tokens) - n + 1 if last else F.lit(1), n)
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that share prefixes in both hash orders and meet the threshold.
-
-    Only prefixes are shuffled for the first two filters; whole sets only for what passes both.
-    """
-    at = lambda k, what, name: sets.select(F.col("node").alias(k), what.alias(f"{k}_{name}"))
-    left = pairs.select("a", "b")
-    for last in (False, True):
-        left = left.join(at("a", prefix(F.col("set"), last), "prefix"), "a").join(at("b", prefix(F.col("set"), last), "prefix"), "b")
-        left = left.where(F.arrays_overlap("a_prefix", "b_prefix")).select("a", "b")
-    both = left.join(at("a", F.col("set"), "set"), "a").join(at("b", F.col("set"), "set"), "b")
-    shared = F.size(F.array_intersect("a_set", "b_set"))
-    return both.where(100 * shared >= 75 * (F.size("a_set") + F.size("b_set") - shared)).select("a", "b")
-
-
 def by_token(left: DataFrame, right: DataFrame, hot: DataFrame | None) -> DataFrame:
     """left joined with right, which has one row for a token; the few hot tokens of right, if any, are broadcast."""
     if hot is None:
@@ -197,86 +207,85 @@ def fits():
     return (4 * F.least("a_size", "b_size") >= 3 * F.greatest("a_size", "b_size")) & (7 * F.least("a_common", "b_common") >= 3 * (F.col("a_size") + F.col("b_size")))
 
 
-def shared_counts(left: pa.Table, right: pa.Table, name: str) -> np.ndarray:
-    """How many tokens of the list column each two rows share."""
-
-    def entries(part):
-        lists = part.column(name).combine_chunks()
-        return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy(), len(lists)
-
-    sides = entries(left), entries(right)
-    both = np.intersect1d(sides[0][1], sides[1][1])
-    shared = np.zeros((sides[0][2], sides[1][2]), np.float32)
-    inside = [(row[np.isin(key, both)], np.searchsorted(both, key[np.isin(key, both)]), n) for row, key, n in sides]
-    for lo in range(0, len(both), COLUMNS):
-        part = []
-        for row, at, n in inside:
-            use = (at >= lo) & (at < lo + COLUMNS)
-            part.append(np.zeros((n, min(COLUMNS, len(both) - lo)), np.float32))
-            part[-1][row[use], at[use] - lo] = 1
-        shared += part[0] @ part[1].T
-    return np.rint(shared).astype(np.int64)
+def shared_with(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many keys of each of the others are in one; all are sorted."""
+    if not len(one):
+        return np.zeros(len(others), np.int64)
+    flat = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    return np.bincount(np.repeat(np.arange(len(others)), [len(x) for x in others])[hit], minlength=len(others))
 
 
 def compared(group: pa.Table) -> pa.Table:
-    """Links between two chunks of documents (left and right; one chunk is both), one for each two components.
-
-    Candidates share a token of their prefixes in all three orders; whole sets are compared
-    only of documents that are in a candidate pair.
+    """Those pairs of the group that share prefixes in both hash orders and meet the threshold on the whole sets."""
+    docs, pairs = group.filter(group.column("node").is_valid()), group.filter(group.column("a").is_valid())
+    lists = docs.column("set").combine_chunks()
+    keys, ends = lists.flatten().to_numpy().view(np.uint64), np.cumsum(lists.value_lengths().to_numpy())
+    node = docs.column("node").to_numpy()
+    order = np.argsort(node)
+    ends, sizes, node = ends[order], lists.value_lengths().to_numpy().astype(np.int64)[order], node[order]
+    starts, most = ends - sizes, sizes // 4 + 1
+    a, b = (np.searchsorted(node, pairs.column(k).to_numpy()) for k in "ab")
+    by = np.argsort(a, kind="stable")
+    a, b = a[by], b[by]
+    cuts = np.flatnonzero(np.diff(a, prepend=-1))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for first, last in zip(cuts.tolist(), [*cuts[1:].tolist(), len(a)], strict=True):
+        x = int(a[first])
+        for lo in range(first, last, COLUMNS):
+            mine = b[lo : min(lo + COLUMNS, last)]
+            for near in (lambda y: keys[starts[y] : starts[y] + most[y]], lambda y: keys[ends[y] - most[y] : ends[y]]):
+                mine = mine[shared_with(near(x), [near(y) for y in mine]) > 0] if len(mine) else mine
+            if len(mine):
+                shared = shared_with(keys[starts[x] : ends[x]], [keys[starts[y] : ends[y]] for y in mine])
+                mine = mine[100 * shared >= 75 * (sizes[x] + sizes[mine] - shared)]
+                left.append(np.full(len(mine), x))
+                right.append(mine)
+    return pa.table({"a": node[np.concatenate(left)], "b": node[np.concatenate(right)]})
+
+
+def checked(pairs: DataFrame, sets: DataFrame, chunks: int, tasks: int) -> DataFrame:
+    """Those of the pairs (a, b) that share prefixes in both hash orders and meet the threshold, as a written table.
+
+    Documents are dealt into chunks, those with the same least partner together, and the pairs of
+    two chunks are compared in one task, which gets each document's set once, and none
+    that is in no pair.  So sets are sent twice for a pair at most, and once for hundreds of pairs where many
+    documents of a family are candidates of each other.
     """
-    left, right = (group.filter(group.column(side)) for side in ("is_left", "is_right"))
-    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    if not left.num_rows or not right.num_rows:
-        return none
-    number = lambda part, name: part.column(name).to_numpy()
-    candidate = number(left, "comp")[:, None] != number(right, "comp")[None, :]
-    for name in ("prefix", "first", "last"):
-        if candidate.any():
-            candidate &= shared_counts(left, right, name) > 0
-    i, j = np.nonzero(candidate)
-    if not len(i):
-        return none
-    rows, i = np.unique(i, return_inverse=True)
-    cols, j = np.unique(j, return_inverse=True)
-    left, right = left.take(pa.array(rows)), right.take(pa.array(cols))
-    shared = shared_counts(left, right, "set")[i, j]
-    meets = 100 * shared >= 75 * (number(left, "size")[i] + number(right, "size")[j] - shared)
-    i, j = i[meets], j[meets]
-    if not len(i):
-        return none
-    first = np.unique(np.stack([number(left, "comp")[i], number(right, "comp")[j]], 1), axis=0, return_index=True)[1]
-    return pa.table({"a": number(left, "node")[i[first]], "b": number(right, "node")[j[first]]})
-
-
-def compared_in_chunks(at: DataFrame, open_tokens: DataFrame, component: DataFrame, sets: DataFrame, hot: DataFrame | None, tasks: int) -> DataFrame:
-    """Links among what shares an open token but is in different components.
-
-    Documents that open tokens connect are a family.  Those outside its largest component
-    are compared with each other and with that component, chunk by chunk; a task emits at
-    most one link for two components.  Only families with several components come here.
+    pairs = written(pairs.repartition(tasks), "candidates", tasks=tasks)
+    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    nodes = ends.groupBy("node").agg(F.min("other").alias("label")).join(sets.select("node", "size"), "node")
+    parts = F.greatest(F.lit(1), F.ceil(F.count("*") / CHUNK_DOCS), F.ceil(F.sum("size") / CHUNK_SHINGLES))
+    labels = nodes.groupBy("label").agg(parts.alias("parts"))
+    chunk = F.pmod(F.xxhash64("label", F.pmod(F.xxhash64("node", F.lit(3)), "parts")), F.lit(chunks))
+    nodes = nodes.join(labels, "label").select("node", chunk.alias("chunk"))
+    at = lambda k: nodes.select(F.col("node").alias(k), F.col("chunk").alias(f"{k}_chunk"))
+    pairs = pairs.join(at("a"), "a").join(at("b"), "b")
+    pairs = pairs.select(F.least("a_chunk", "b_chunk").alias("i"), F.greatest("a_chunk", "b_chunk").alias("j"), "a", "b")
+    docs = pairs.select("i", "j", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "set"), "node")
+    rows = pairs.unionByName(docs, allowMissingColumns=True)
+    return written(rows.groupBy("i", "j").applyInArrow(compared, "a long, b long").repartition(tasks), "links", tasks=tasks)
+
+
+def candidates(at: DataFrame) -> DataFrame:
+    """Pairs (a, b) of documents of different components that fit and share enough tokens of their prefixes.
+
+    What two documents share is shared by their prefixes or lies behind the prefix of one of them.
+    Tokens of many documents are joined part by part.
     """
-    star = by_token(at, open_tokens.select("token", F.col("pivot.node").alias("a")), hot).select("a", F.col("node").alias("b")).distinct()
-    star = written(star, "family-links", tasks=tasks)
-    members = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()
-    known = component.join(members, "node")
-    family = merged(known, star.where("a != b"), tasks).withColumnRenamed("comp", "family")
-    tokens = at.groupBy("node").agg(F.collect_set("token").alias("prefix"))
-    rows = known.join(family, "node").join(sets, "node").join(tokens, "node")
-    rows = rows.withColumns({"size": F.size("set").cast("long"), "first": prefix(F.col("set")), "last": prefix(F.col("set"), True)})
-    per_component = rows.groupBy("family", "comp").agg(F.count("*").alias("docs"), F.sum("size").alias("shingles"))
-    largest = per_component.groupBy("family").agg(F.max_by("comp", F.struct("docs", "comp")).alias("main"))
-    side = F.col("comp") == F.col("main")
-    sides = per_component.join(largest, "family").groupBy("family", "main").agg(*[F.sum(F.when(c, F.col(v)).otherwise(0)).alias(f"{k}_{v}") for k, c in (("main", side), ("rest", ~side)) for v in ("docs", "shingles")])
-    chunks = lambda k: F.greatest(F.lit(1), F.ceil(F.col(f"{k}_docs") / CHUNK_DOCS), F.ceil(F.col(f"{k}_shingles") / CHUNK_SHINGLES)).cast("int")
-    sides = sides.select("family", "main", chunks("main").alias("main_n"), chunks("rest").alias("rest_n"))
-    rows = rows.join(sides, "family").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), F.when(side, F.col("main_n")).otherwise(F.col("rest_n"))).cast("int"))
-    meet = lambda n, row: F.transform(F.sequence(F.lit(0), F.col(n) - 1), row)
-    task = lambda kind, i, j, is_left, is_right: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), is_left.alias("is_left"), is_right.alias("is_right"))
-    mine, yes, no = F.col("chunk"), F.lit(True), F.lit(False)
-    as_main = meet("rest_n", lambda k: task("main", k, mine, no, yes))
-    as_rest = F.concat(meet("main_n", lambda k: task("main", mine, k, yes, no)), meet("rest_n", lambda k: task("rest", F.least(mine, k), F.greatest(mine, k), mine <= k, mine >= k)))
-    pieces = rows.withColumn("task", F.explode(F.when(side, as_main).otherwise(as_rest)))
-    return pieces.select("family", "task.*", "node", "comp", "size", "prefix", "first", "last", "set").groupBy("family", "kind", "i", "j").applyInArrow(compared, "a long, b long")
+    many = at.groupBy("token").agg(F.ceil(F.count("*") / TOKEN_DOCS).cast("int").alias("parts")).where("parts > 1")
+    at = at.join(many, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    at = at.withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), "parts").cast("int"))
+
+    def side(k: str, i: Column, j: Column) -> DataFrame:
+        return at.select("token", i.alias("i"), j.alias("j"), *[F.col(c).alias(f"{k}_{c}") for c in ("node", "size", "common", "rest", "comp")])
+
+    own = F.col("part")
+    left, right = side("a", own, F.explode(F.sequence(own, F.col("parts") - 1))), side("b", F.explode(F.sequence(F.lit(0), own)), own)
+    met = left.join(right, ["token", "i", "j"]).where("a_comp != b_comp and (i < j or a_node < b_node)").where(fits())
+    least = F.ceil(3 * (F.col("a_size") + F.col("b_size")) / 7).cast("long") - F.greatest("a_rest", "b_rest")
+    pairs = met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"), least.alias("least"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select("a", "b")
 
 
 def linked(found: DataFrame) -> DataFrame:
@@ -285,7 +294,7 @@ def linked(found: DataFrame) -> DataFrame:
     n_postings, n_shingles = some.agg(F.sum(F.size("prefix")), F.sum("size")).first()
     # no table of nodes, tokens or links with pivots has more rows than there are postings
     tasks, set_tasks = -(-(n_postings or 1) // TASK_ROWS), -(-(n_shingles or 1) // TASK_SHINGLES)
-    distinct = some.select("node", "size", "common", F.explode("prefix").alias("token"))
+    distinct = some.select("node", "size", "common", "rest", F.explode("prefix").alias("token"))
     distinct = written(distinct.distinct(), "postings", tasks=tasks)  # equal sets of several blocks propose the same
     shared = written(distinct.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "shared-tokens", tasks=tasks)
     # tokens of more than 1 / HOT_SHARE of the postings: at most HOT_SHARE of them
@@ -296,7 +305,9 @@ def linked(found: DataFrame) -> DataFrame:
     discard(distinct, shared)
     owner = found.where(F.col("set").isNotNull()).groupBy("node").agg(F.min("block").alias("block"))
     owner = active.select("node").distinct().join(owner, "node")
-    sets = written(found.where(F.col("set").isNotNull()).select("node", "block", "set").join(owner, ["node", "block"]).select("node", "set"), "sets", tasks=set_tasks)
+    sets = written(found.where(F.col("set").isNotNull()).select("node", "block", "size", "set").join(owner, ["node", "block"]).select("node", "size", "set"), "sets", tasks=set_tasks)
+    n_sets, n_shingles = sets.agg(F.count("*"), F.sum("size")).first()
+    chunks = max(1, -(-n_sets // CHUNK_DOCS), -(-(n_shingles or 0) // CHUNK_SHINGLES))
     component = written(sets.select("node", F.col("node").alias("comp")), "components", tasks=tasks)
     parts = ("node", "size", "common", "comp")
 
@@ -313,16 +324,14 @@ def linked(found: DataFrame) -> DataFrame:
         if k == 0:  # each document with the pivot that it meets most often
             best = Window.partitionBy("b").orderBy(F.desc("n"), "a")
             counts = counts.withColumn("place", F.row_number().over(best)).where("place = 1")
-        component = merged(component, written(verified(counts, sets).distinct(), "links", tasks=tasks), tasks)
-    at, open_tokens = tokens_between(PIVOT_ROUNDS)
+        component = merged(component, checked(counts.select("a", "b"), sets, chunks, tasks), tasks)
+    at = active.join(component, "node")
     # only documents that meet another one that fits can have a link left
-    meets = by_token(at, open_tokens.select("token"), hot).groupBy("token").agg(F.max("common").alias("most"))
-    at = by_token(at, meets, hot).where(7 * F.least("common", "most") >= 3 * F.col("size") * 1.75)
-    open_tokens = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct(*parts), "node").alias("pivot")).where("lo != hi")
-    open_tokens = written(open_tokens.select("token", "pivot"), "open-tokens", tasks=tasks)
-    if not open_tokens.isEmpty():
-        at = by_token(at.drop("most"), open_tokens.select("token"), hot)
-        component = merged(component, written(compared_in_chunks(at, open_tokens, component, sets, hot, tasks), "links"), tasks)
+    meets = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("common").alias("most")).where("lo != hi")
+    at = by_token(at, meets.select("token", "most"), hot).where(7 * F.least("common", "most") >= 3 * F.col("size") * 1.75)
+    at = written(at.drop("most"), "open-tokens", tasks=tasks)
+    if not at.isEmpty():
+        component = merged(component, checked(candidates(at), sets, chunks, tasks), tasks)
     discard(active, sets)
     return component
 
